@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from florilege.llm import op4_suffix_dedup, op5_substring_dedup
+from florilege.llm import op1_packing, op4_suffix_dedup, op5_substring_dedup, op8_decontamination, op9_toxicity
 
 QUERIES = {
+    "op1_packing": op1_packing.query,
     "op4_suffix_dedup": op4_suffix_dedup.query,
     "op5_substring_dedup": op5_substring_dedup.query,
+    "op8_decontamination": op8_decontamination.query,
+    "op9_toxicity": op9_toxicity.query,
 }
 ORACLE = {
     "op5_substring_dedup": op5_substring_dedup.ORACLE,
+    "op8_decontamination": op8_decontamination.ORACLE,
 }

@@ -184,7 +184,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = core.squeezed(base).alias("d").join(spans.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._h") == F.col("s._h")), "left").select("d._id", "d._z", "s.starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in core.slices(batches):
             kept, cut, size = [], [], []
             for i, text in enumerate(core.unsqueeze(b.column(1))):
                 merged = merge(b.column(2)[i].as_py() or [], length)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from florilege.llm import core, repeats
 from florilege.llm.op4_suffix_dedup import gaps, merge
+from florilege.session import stage
 
 WINDOW = 35
 GRAM = 12
@@ -52,7 +53,7 @@ def _windows(window: int, kind: str):
     """The Rabin-Karp hashes of each asked run's windows, as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in core.slices(batches):
             for i, text in enumerate(core.unsqueeze(b.column(2))):
                 raw = np.frombuffer(text, np.uint8)
                 _, codes, _ = zip(*core.batch_words(raw, np.array([0, len(raw)])), strict=True)
@@ -82,8 +83,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         core.squeezed(base).dropDuplicates(["_id", "_h"]).alias("d").join(ask.alias("r"), F.col("d._id").eqNullSafe(F.col("r._id")) & (F.col("d._h") == F.col("r._h")))
         .select("d._id", "d._h", "d._z", "r.runs").mapInArrow(*_windows(window, kind))
     )
-    from florilege.session import stage
-
     return repeats.sure_starts(seen).unionByName(repeats.counted(stage(rows, "word-windows")))
 
 
@@ -96,7 +95,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = core.squeezed(base).alias("d").join(spans.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._h") == F.col("s._h")), "left").select("d._id", "d._z", "s.starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in core.slices(batches):
             kept, cut, size = [], [], []
             for i, text in enumerate(core.unsqueeze(b.column(1))):
                 words = text.split()

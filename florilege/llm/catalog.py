@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from florilege.llm import op1_packing, op4_suffix_dedup, op5_substring_dedup, op8_decontamination, op9_toxicity
+from florilege.llm import op1_packing, op2_extraction, op4_suffix_dedup, op5_substring_dedup, op6_pii, op7_quality, op8_decontamination, op9_toxicity, op10_jaccard_join
 
 QUERIES = {
     "op1_packing": op1_packing.query,
+    "op2_extraction": op2_extraction.query,
     "op4_suffix_dedup": op4_suffix_dedup.query,
     "op5_substring_dedup": op5_substring_dedup.query,
+    "op6_pii": op6_pii.query,
+    "op7_quality": op7_quality.query,
     "op8_decontamination": op8_decontamination.query,
     "op9_toxicity": op9_toxicity.query,
+    "op10_jaccard_join": op10_jaccard_join.query,
 }
 ORACLE = {
     "op5_substring_dedup": op5_substring_dedup.ORACLE,
     "op8_decontamination": op8_decontamination.ORACLE,
+    "op10_jaccard_join": op10_jaccard_join.ORACLE,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from florilege.llm import op1_packing, op2_extraction, op4_suffix_dedup, op5_substring_dedup, op6_pii, op7_quality, op8_decontamination, op9_toxicity, op10_jaccard_join
+from florilege.llm import op1_packing, op2_extraction, op3_line_dedup, op4_suffix_dedup, op5_substring_dedup, op6_pii, op7_quality, op8_decontamination, op9_toxicity, op10_jaccard_join
 
 QUERIES = {
     "op1_packing": op1_packing.query,
     "op2_extraction": op2_extraction.query,
+    "op3_line_dedup": op3_line_dedup.query,
     "op4_suffix_dedup": op4_suffix_dedup.query,
     "op5_substring_dedup": op5_substring_dedup.query,
     "op6_pii": op6_pii.query,

@@ -30,7 +30,7 @@ from florilege.session import stage
 LIMIT = 2048
 END_ID = 0
 SALTS = 256
-KNOWN = 400_000  # words whose ids a worker remembers
+KNOWN = 1_200_000  # words whose ids a worker remembers
 _GAPS = bytes(0x20 if c in (0x09, 0x0A, 0x0D) else c for c in range(256))
 
 
@@ -105,27 +105,76 @@ def plan(counts: dict[int, int], limit: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+class WordIds:
+    """Ids of words (as bytes) under a word-level BPE tokenizer, remembered.
+
+    White space, and the seam between an ASCII letter or digit and a final run of common marks, always
+    part pre-tokens, so a word's ids are its stem's and its marks' ids. Stems of letters alone are one
+    pre-token each; a list of them is encoded in one call and parted where a word-end token stands."""
+
+    MARKS = b"%$#*&!.,|"
+    SOLID = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+    def __init__(self, model):
+        self.encode = model.encode_batch_fast
+        vocabulary = model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        new = list(words - self.words.keys())
+        if len(self.words) + len(self.stems) + 2 * len(new) > KNOWN:
+            self.words, self.stems = {b"": b""}, {b"": b""}
+            new = list(words - self.words.keys())
+        parts, ask = [], set()
+        for w in new:
+            stem = w.rstrip(self.MARKS)
+            if not stem or stem[-1] not in self.SOLID:
+                stem = w
+            marks = w[len(stem) :]
+            if b"<|" not in stem:
+                stem = stem.lower()  # of ASCII only; the model lowers the rest
+            parts.append((w, stem, marks))
+            if stem not in self.stems:
+                ask.add(stem)
+            if marks not in self.stems:
+                ask.add(marks)
+        letters, others = [], []
+        for x in ask:
+            (letters if x.decode("utf-8").isalpha() else others).append(x)
+        for at in range(0, len(letters), 20_000):
+            self._one_each(letters[at : at + 20_000])
+        self._each(others)
+        self.words.update((w, self.stems[s] + self.stems[m]) for w, s, m in parts)
+        return self.words
+
+    def _each(self, stems: list[bytes]) -> None:
+        for at in range(0, len(stems), 10_000):
+            part = stems[at : at + 10_000]
+            for x, e in zip(part, self.encode([x.decode("utf-8") for x in part], add_special_tokens=False), strict=True):
+                self.stems[x] = np.array(e.ids, "<u4").tobytes()
+
+    def _one_each(self, stems: list[bytes]) -> None:
+        ids = np.array(self.encode([b" ".join(stems).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        stop = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(stop) != len(stems):  # some letter's lower case holds a mark, which parts the word
+            return self._each(stems)
+        flat, a = ids.tobytes(), 0
+        for x, b in zip(stems, stop, strict=True):
+            self.stems[x] = flat[4 * a : 4 * b]
+            a = b
+
+
 def _pieces(tokenizer: str, limit: int, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(tokenizer).encode_batch_fast
-        known: dict[bytes, bytes] = {b"": b""}
+        model = Tokenizer.from_file(tokenizer)
+        ids_of = WordIds(model)
         end = np.array([end_id], "<u4").tobytes()
-
-        def learn(words: set[bytes]) -> None:
-            new = list(words - known.keys())
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                known[b""] = b""
-                new = list(words)
-                new.remove(b"") if b"" in words else None
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for w, e in zip(part, encode([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-
         for b in batches:
             raw, off = core.utf8(b.column(1))
             n = len(off) - 1
@@ -134,7 +183,7 @@ def _pieces(tokenizer: str, limit: int, end_id: int, kind: str):
                 to = max(at + 1, int(np.searchsorted(off, off[at] + core.BLOCK, "right")) - 1)
                 # no pre-token spans white space, so ids can be looked up word by word
                 split = [raw[off[i] : off[i + 1]].tobytes().translate(_GAPS).split(b" ") for i in range(at, to)]
-                learn(set().union(*split))
+                known = ids_of.learn(set().union(*split))
                 who, piece, start, length, crc = [], [], [], [], []
                 for i, words in enumerate(split, at):
                     ids = b"".join(map(known.__getitem__, words)) + end

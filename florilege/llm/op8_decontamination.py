@@ -108,6 +108,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumnRenamed("_id", id_col)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+    """``docs`` without the documents in which any window of the benchmark occurs; all columns stay."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(0).alias("_0")).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{text_col}`").isNull().alias("_null"))
+    rows = rows.select(F.struct("_row", "_null").alias("_row"), "_text")
+    got = contamination(rows, benchmark, "_row", "_text", item_col, item_text, window, budget).where(F.size("spans") == 0)
+    text = F.when(~F.col("_row._null"), F.col("_t")).cast(docs.schema[text_col].dataType)
+    return got.select(*(text.alias(c) if c == text_col else F.col(f"_row._row.`{c}`") for c in docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     got = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return got.select(

@@ -105,15 +105,39 @@ def plan(counts: dict[int, int], limit: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+_PLAIN = np.frombuffer(bytes(0x20 if c in (0x09, 0x0A, 0x0D) else c + 32 if 65 <= c <= 90 else c for c in range(256)), np.uint8)
+_MARK = np.zeros(256, bool)
+_MARK[list(b"%$#*&!.,|")] = True
+_SOLID = np.zeros(256, bool)
+_SOLID[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
+def parted(raw: np.ndarray, off: np.ndarray) -> list[list[bytes]]:
+    """The texts raw[off[i]:off[i + 1]] as lists of words that can be tokenized one by one.
+
+    White space always parts pre-tokens, and so does the seam between an ASCII letter or digit and a final
+    run of common marks. Case is dropped, of ASCII letters here and of others by the tokenizer - unless
+    that could make a special token out of ordinary text."""
+    body = raw[off[0] : off[-1]]
+    at = off - off[0]
+    if b"<|" in body.tobytes():
+        flat = body.tobytes().translate(_GAPS)
+    else:
+        low = _PLAIN[body]
+        step = np.diff(np.concatenate(([0], _MARK[low].view(np.int8), [0])))
+        s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        s = s[(np.append(low, 0x20)[e] == 0x20) & (s > 0) & _SOLID[low[s - 1]]] if len(s) else s
+        flat = np.insert(low, s, 0x20).tobytes()
+        at = at + np.searchsorted(s, at)
+    at = at.tolist()
+    return [flat[a:b].split(b" ") for a, b in zip(at, at[1:], strict=False)]
+
+
 class WordIds:
     """Ids of words (as bytes) under a word-level BPE tokenizer, remembered.
 
-    White space, and the seam between an ASCII letter or digit and a final run of common marks, always
-    part pre-tokens, so a word's ids are its stem's and its marks' ids. Stems of letters alone are one
-    pre-token each; a list of them is encoded in one call and parted where a word-end token stands."""
-
-    MARKS = b"%$#*&!.,|"
-    SOLID = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    A word of letters alone is one pre-token; a list of such is encoded in one call and parted where a
+    word-end token stands."""
 
     def __init__(self, model):
         self.encode = model.encode_batch_fast
@@ -121,50 +145,34 @@ class WordIds:
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {b"": b""}
-        self.stems: dict[bytes, bytes] = {b"": b""}
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        new = list(words - self.words.keys())
-        if len(self.words) + len(self.stems) + 2 * len(new) > KNOWN:
-            self.words, self.stems = {b"": b""}, {b"": b""}
-            new = list(words - self.words.keys())
-        parts, ask = [], set()
-        for w in new:
-            stem = w.rstrip(self.MARKS)
-            if not stem or stem[-1] not in self.SOLID:
-                stem = w
-            marks = w[len(stem) :]
-            if b"<|" not in stem:
-                stem = stem.lower()  # of ASCII only; the model lowers the rest
-            parts.append((w, stem, marks))
-            if stem not in self.stems:
-                ask.add(stem)
-            if marks not in self.stems:
-                ask.add(marks)
-        letters, others = [], []
-        for x in ask:
-            (letters if x.decode("utf-8").isalpha() else others).append(x)
-        for at in range(0, len(letters), 20_000):
-            self._one_each(letters[at : at + 20_000])
-        self._each(others)
-        self.words.update((w, self.stems[s] + self.stems[m]) for w, s, m in parts)
+        new = list(words.difference(self.words))
+        if len(self.words) + len(new) > KNOWN:
+            self.words = {b"": b""}
+            new = list(words.difference(self.words))
+        if new:
+            text = b" ".join(new).decode("utf-8").split(" ")
+            letters = [i for i, ok in enumerate(map(str.isalpha, text)) if ok]
+            for at in range(0, len(letters), 20_000):
+                part = letters[at : at + 20_000]
+                self._one_each([new[i] for i in part], [text[i] for i in part])
+            rest = set(range(len(new))).difference(letters)
+            self._each([new[i] for i in rest], [text[i] for i in rest])
         return self.words
 
-    def _each(self, stems: list[bytes]) -> None:
-        for at in range(0, len(stems), 10_000):
-            part = stems[at : at + 10_000]
-            for x, e in zip(part, self.encode([x.decode("utf-8") for x in part], add_special_tokens=False), strict=True):
-                self.stems[x] = np.array(e.ids, "<u4").tobytes()
+    def _each(self, words: list[bytes], text: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            for x, e in zip(words[at : at + 10_000], self.encode(text[at : at + 10_000], add_special_tokens=False), strict=True):
+                self.words[x] = np.array(e.ids, "<u4").tobytes()
 
-    def _one_each(self, stems: list[bytes]) -> None:
-        ids = np.array(self.encode([b" ".join(stems).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
-        stop = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(stop) != len(stems):  # some letter's lower case holds a mark, which parts the word
-            return self._each(stems)
-        flat, a = ids.tobytes(), 0
-        for x, b in zip(stems, stop, strict=True):
-            self.stems[x] = flat[4 * a : 4 * b]
-            a = b
+    def _one_each(self, words: list[bytes], text: list[str]) -> None:
+        ids = np.array(self.encode([" ".join(text)], add_special_tokens=False)[0].ids, "<u4")
+        stop = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(stop) != len(words):  # some letter's lower case holds a mark, which parts the word
+            return self._each(words, text)
+        flat = ids.tobytes()
+        self.words.update(zip(words, map(flat.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
 
 
 def _pieces(tokenizer: str, limit: int, end_id: int, kind: str):
@@ -181,8 +189,7 @@ def _pieces(tokenizer: str, limit: int, end_id: int, kind: str):
             at = 0
             while at < n:
                 to = max(at + 1, int(np.searchsorted(off, off[at] + core.BLOCK, "right")) - 1)
-                # no pre-token spans white space, so ids can be looked up word by word
-                split = [raw[off[i] : off[i + 1]].tobytes().translate(_GAPS).split(b" ") for i in range(at, to)]
+                split = parted(raw, off[at : to + 1])
                 known = ids_of.learn(set().union(*split))
                 who, piece, start, length, crc = [], [], [], [], []
                 for i, words in enumerate(split, at):

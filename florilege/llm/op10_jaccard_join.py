@@ -8,9 +8,10 @@ sketch of fixed size over all shingles of all documents, so a passage shared by
 corpus is among the lists that are probed, never merged.
 
 Equal sets are one node, however many documents have them (a worker hands each on once). Links are
-first tested between neighbours in a list (sorted by size), then components are formed, and
-only pairs in different components are tested on: members of a group of near copies aren't
-paired off. That second step takes every remaining pair of every list, so no link is lost.
+first tested between neighbours in a list (sorted by size), then components are formed; for a few rounds one
+member of each component of a list is tested with one of the next component, which joins what belongs
+together, so the members of a group of near copies aren't paired off. At last every pair of a list
+that is still in different components is tested, so no link is lost.
 
 Sizes: shingles are 64-bit hashes; the sketch (2**22 counters) is the only thing broadcast.
 
@@ -39,6 +40,9 @@ THRESHOLD = Fraction(85, 100)
 SLOTS = 1 << 22
 PARTS = 64  # the sketch travels in as many pieces
 NEAR = 2  # neighbours tested first
+CROWD = 256  # a list with more members still apart is searched block by block
+BLOCK = 256  # sets of a block
+ROUNDS = 3  # of tests between components of a list before all that are still apart are paired
 
 
 def shingles(codes: np.ndarray, k: int) -> np.ndarray:
@@ -179,9 +183,9 @@ def _short_lists(k: int, t: Fraction, levels):
 
 
 def _possible(t: Fraction, nx, ny, px, py):
-    """Whether sets of nx <= ny shingles that first meet at places px and py of their order can be alike."""
+    """Whether sets of nx and ny shingles that first meet at places px and py of their order can be alike."""
     need = (nx + ny) * t.numerator // (t.numerator + t.denominator)  # rounded down: never too strict
-    return (nx * t.denominator >= ny * t.numerator) & (np.minimum(nx - px, ny - py) >= need)
+    return (np.minimum(nx, ny) * t.denominator >= np.maximum(nx, ny) * t.numerator) & (np.minimum(nx - px, ny - py) >= need)
 
 
 def _neighbours(t: Fraction, near: int):
@@ -239,6 +243,78 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, t: Fraction, tag: str) -
     return stage(both.mapInArrow(*_verify(k, t)), tag)
 
 
+def t_occurrence(x: np.ndarray, lists: dict[int, np.ndarray], sizes: np.ndarray, t: Fraction) -> list[int]:
+    """Which of the indexed sets (of these sizes) are alike to x, by DivideSkip: the short inverted lists of x are merged,
+    the longest only probed for candidates that the short ones leave possible."""
+    mine = sorted((lists[v] for v in x.tolist() if v in lists), key=len)
+    least = required(t, len(x))
+    if len(mine) < least:
+        return []
+    long = max(0, min(least - 1, len(mine) - 1, least // 2 + 1))
+    short, probed = mine[: len(mine) - long], mine[len(mine) - long :]
+    count = np.bincount(np.concatenate(short), minlength=len(sizes)) if short else np.zeros(len(sizes), np.int64)
+    # alike sets share (|x| + |y|) t / (1 + t) shingles at least
+    need = -(-(len(x) + sizes) * t.numerator // (t.numerator + t.denominator))
+    hopeful = np.flatnonzero(count >= np.maximum(need - long, 1))
+    for p in probed:
+        if not len(hopeful):
+            break
+        at = np.minimum(np.searchsorted(p, hopeful), len(p) - 1)
+        count[hopeful] += p[at] == hopeful
+    return hopeful[(count[hopeful] * t.denominator >= t.numerator * (len(x) + sizes[hopeful] - count[hopeful]))].tolist()
+
+
+def _block_search(k: int, t: Fraction):
+    """One pair of blocks: links between sets of different components, as many as join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c, label, block = (table.column(x).to_numpy() for x in ("c", "l", "block"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        have = [_one(z, k) for z in core.unsqueeze(table.column("_z").combine_chunks())]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        values = np.concatenate([have[r] for r in right]) if len(right) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(right)), [len(have[r]) for r in right]) if len(right) else np.zeros(0, np.int64)
+        order = np.lexsort((owner, values))
+        values, owner = values[order], owner[order]
+        edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+        lists = dict(zip(values[edge].tolist(), np.split(owner, edge[1:]), strict=True)) if len(values) else {}
+        sizes = np.array([len(have[r]) for r in right], np.int64)
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        out = []
+        for q in left:
+            for r in t_occurrence(have[q], lists, sizes, t) if len(sizes) else []:
+                a, b = find(int(label[q])), find(int(label[right[r]]))
+                if a != b:
+                    root[a] = b
+                    out.append((min(int(c[q]), int(c[right[r]])), max(int(c[q]), int(c[right[r]]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run, "a long, b long"
+
+
+def _crowds(crowd: DataFrame, labels: DataFrame, texts: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Links inside crowds: members are dealt to blocks, every pair of blocks is one bounded task."""
+    count = crowd.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    dealt = crowd.join(stage(count, "jaccard-crowds"), "crowd").join(labels, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    each = dealt.select("crowd", "c", "l", "block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("o"))
+    pairs = each.select("crowd", "c", "l", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    return pairs.join(texts, "c").groupBy("crowd", "i", "j").applyInArrow(*_block_search(k, t))
+
+
+def _open(lists: DataFrame, group: DataFrame) -> DataFrame:
+    """Lists with members of more than one component, each with its component ``l``."""
+    known = lists.join(group.select(F.col("v").alias("c"), "l"), "c", "left").withColumn("l", F.coalesce("l", "c"))
+    token = W.partitionBy("token")
+    apart = known.withColumns({"_a": F.min("l").over(token), "_b": F.max("l").over(token)}).where("_a <> _b")
+    return stage(apart.select("token", "c", "n", "pos", "l"), "jaccard-open")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """One row per document: ``id_col, _h`` (the text's hash), ``n_shingles``, ``component_id`` (smallest id reachable)."""
     base = core.documents(docs, id_col, text_col)
@@ -257,27 +333,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         core.squeezed(base).dropDuplicates(["_id", "_h"]).alias("d").join(wanted.alias("w"), F.col("d._id").eqNullSafe(F.col("w._i")) & (F.col("d._h") == F.col("w._g"))).select("w.c", "d._z"),
         "jaccard-texts",
     )
-    first = lists.repartition("token").sortWithinPartitions("token", "n", "c").select("token", "c", "n", "pos").mapInArrow(*_neighbours(threshold, NEAR)).distinct()
+    first = stage(lists.repartition("token").sortWithinPartitions("token", "n", "c").select("token", "c", "n", "pos").mapInArrow(*_neighbours(threshold, NEAR)).distinct(), "jaccard-first")
     links = _linked(first, texts, words, threshold, "jaccard-links")
     group = components(links)
-    # every pair of a list whose sets are still apart
-    known = lists.join(group.select(F.col("v").alias("c"), "l"), "c", "left").withColumn("l", F.coalesce("l", "c"))
-    mixed = W.partitionBy("token")
-    open_ = stage(known.withColumns({"_a": F.min("l").over(mixed), "_b": F.max("l").over(mixed)}).where("_a <> _b").drop("_a", "_b", "m"), "jaccard-open")
+    tested = first
+    open_ = _open(lists, group)
+    for r in range(ROUNDS):
+        # one member of each component of a list meets one of the next, in another order in every list and round
+        one = open_.groupBy("token", "l").agg(F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("h"), "c", "n", "pos")).alias("m"))
+        one = one.select("token", "m.c", "m.n", "m.pos", F.xxhash64("l", "token", F.lit(r)).alias("o")).repartition("token").sortWithinPartitions("token", "o", "c").drop("o")
+        pairs = stage(one.mapInArrow(*_neighbours(threshold, 1)).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-round")
+        if not pairs.limit(1).count():
+            break
+        tested = tested.unionByName(pairs)
+        more = _linked(pairs, texts, words, threshold, "jaccard-round-links")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        group = components(links)
+        open_ = _open(lists, group)
+    # lists that are still long: their sets are searched in blocks, each set against all others of its crowd
+    size = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("hub"))
+    crowded = stage(open_.join(size.where(F.col("m") > CROWD), "token").select("hub", "c", "l").distinct(), "jaccard-crowded")
+    crowd = components(crowded.where("hub <> c"), "hub", "c").select(F.col("v").alias("c"), F.col("l").alias("crowd"))
+    if crowded.limit(1).count():
+        more = _crowds(crowd, crowded.select("c", "l").distinct(), texts, words, threshold)
+        links = stage(links.unionByName(more), "jaccard-links")
+        group = components(links)
+        open_ = _open(lists, group)
+    # every pair of a list whose sets are still apart and haven't met in a crowd: lists of CROWD sets at most, or of
+    # several crowds and others
+    open_ = stage(open_.join(crowd, "c", "left"), "jaccard-rest-lists")
     x, y = open_.alias("x"), open_.alias("y")
     num, den = threshold.numerator, threshold.denominator
     apart = (
         x.join(
             y,
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.l") != F.col("y.l"))
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.l") != F.col("y.l")) & ~F.coalesce(F.col("x.crowd") == F.col("y.crowd"), F.lit(False))
             & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.c") < F.col("y.c"))))
             & (F.col("x.n") * den >= F.col("y.n") * num)
             & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= F.floor((F.col("x.n") + F.col("y.n")) * num / (num + den))),
         )
         .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
-    apart = apart.join(first, ["a", "b"], "left_anti")
-    rest = _linked(apart, texts, words, threshold, "jaccard-rest")
+    apart = apart.join(tested, ["a", "b"], "left_anti")
+    rest = _linked(stage(apart, "jaccard-apart"), texts, words, threshold, "jaccard-rest")
     if rest.limit(1).count():
         group = components(links.unionByName(rest))
     placed = nodes.where("n > 0").join(group.select(F.col("v").alias("c"), "l"), "c", "left").select("_id", "_h", "n", F.coalesce("l", "c").alias("l"))

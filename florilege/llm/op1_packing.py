@@ -30,6 +30,7 @@ from florilege.session import stage
 LIMIT = 2048
 END_ID = 0
 SALTS = 256
+PART = 1 << 21  # bytes of text parted into words at once
 KNOWN = 1_200_000  # words whose ids a worker remembers
 _GAPS = bytes(0x20 if c in (0x09, 0x0A, 0x0D) else c for c in range(256))
 
@@ -188,7 +189,7 @@ def _pieces(tokenizer: str, limit: int, end_id: int, kind: str):
             n = len(off) - 1
             at = 0
             while at < n:
-                to = max(at + 1, int(np.searchsorted(off, off[at] + core.BLOCK, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(off, off[at] + PART, "right")) - 1)
                 split = parted(raw, off[at : to + 1])
                 known = ids_of.learn(set().union(*split))
                 who, piece, start, length, crc = [], [], [], [], []

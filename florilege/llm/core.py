@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
-BLOCK = 1 << 19  # elements hashed at once; bounds a worker's memory
+BLOCK = 1 << 18  # elements hashed at once; bounds a worker's memory
 _POS = U((1 << 28) - 1)
 
 
@@ -133,7 +133,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.RecordBatch]:
     """Batches of ``most`` rows at most, where each row may unpack to a whole text."""
     for b in batches:
         for at in range(0, b.num_rows, most):

@@ -157,7 +157,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in core.slices(batches, 1024):
             raw, off = core.utf8(b.column(2))
             null = b.column(2).is_null().to_pylist()
             texts = [None if null[i] else press.compress(raw[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)]

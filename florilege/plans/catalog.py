@@ -1,4 +1,621 @@
-"""All queries of the library and their SQL, by name."""
+"""All queries of the library and their SQL, by name. Each runs over whole tables of ``sf_dir``.
+
+In the driver's tables a document's language stands for its label, its source for its source, and its id for
+its place in reading order."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from florilege.functions import grams, text
+from florilege.operators import dedup, detectors, features, foreign, linear, metrics, quality, splits
+from florilege.plans import corpus, train
+from florilege.session import shared_dir, stage
+from florilege.streaming import score as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), "source", F.col("lang").alias("label"), "text")
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+DOCS = "(SELECT doc_id AS seq, source, lang AS label, text FROM documents)"
+TOKENS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+
+# --- statistics ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT label, count(*) AS samples, sum(len({TOKENS}))::BIGINT AS tokens, round(sum(len({TOKENS})) / count(*), 1) AS average FROM {DOCS} GROUP BY label")
+def corpus_stats_by_label(spark, sf):
+    return quality.sample_counts(documents(spark, sf), ["label"])
+
+
+@query(f"SELECT source, label, count(*) AS samples, sum(len({TOKENS}))::BIGINT AS tokens, round(sum(len({TOKENS})) / count(*), 1) AS average FROM {DOCS} GROUP BY ROLLUP (source, label)")
+def corpus_stats_rollup(spark, sf):
+    d = documents(spark, sf).select("source", "label", F.size(text.tokens("text")).cast("long").alias("t"))
+    n = d.rollup("source", "label").agg(F.count(F.lit(1)).alias("samples"), F.sum("t").alias("tokens"))
+    return n.withColumn("average", text.average(F.col("tokens"), F.col("samples")))
+
+
+@query(f"SELECT source, label, count(*) AS samples FROM {DOCS} GROUP BY CUBE (source, label)")
+def samples_cube_source_label(spark, sf):
+    return quality.cube_counts(documents(spark, sf), "source", "label")
+
+
+_LABELS = ["de", "en", "es", "fr"]
+
+
+@query("SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in _LABELS) + ", count(*) FILTER (lang IN ('de', 'en', 'es', 'fr')) AS total FROM documents GROUP BY source")
+def samples_pivot_label(spark, sf):
+    return quality.pivot_counts(documents(spark, sf), "source", "label", _LABELS)
+
+
+_RANK = "row_number() OVER (PARTITION BY label ORDER BY md5('42|' || seq::VARCHAR), seq) AS r, count(*) OVER (PARTITION BY label) AS n"
+_RATIO = f"(SELECT *, CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'test' ELSE 'train' END AS split FROM (SELECT *, {_RANK} FROM {DOCS}))"
+
+
+@query(f"""
+WITH c AS (SELECT split, label FROM (VALUES ('train'), ('dev'), ('test')) s(split), (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')) l(label)),
+d AS (SELECT split, label, count(*) AS samples, sum(len({TOKENS}))::BIGINT AS tokens FROM {_RATIO} GROUP BY ALL)
+SELECT split, label, coalesce(samples, 0)::BIGINT AS samples, coalesce(tokens, 0)::BIGINT AS tokens, coalesce(round(tokens / samples, 1), 0.0) AS average FROM c LEFT JOIN d USING (split, label)""")
+def split_stats_zero_filled(spark, sf):
+    rows = spark.createDataFrame([(s, x) for s in ("train", "dev", "test") for x in (*_LABELS, "it")], "split string, label string")
+    return quality.zero_filled(splits.by_ratio(documents(spark, sf), "seq"), rows, ["split", "label"])
+
+
+def _length_sql(by: str) -> str:
+    return f"""WITH g AS (SELECT {by}, list_sort(list(length(text))) AS l, avg(length(text)) AS m FROM {DOCS} GROUP BY {by}), s AS (SELECT *, len(l) AS n FROM g)
+SELECT {by}, n::BIGINT AS n, l[1]::BIGINT AS min, round_even((l[(n - 1) // 2 + 1] + l[n // 2 + 1]) / 2, 0)::BIGINT AS median, l[least(floor(n * 0.75)::BIGINT, n - 1) + 1]::BIGINT AS p75,
+l[least(floor(n * 0.9)::BIGINT, n - 1) + 1]::BIGINT AS p90, round_even(m, 0)::BIGINT AS mean, l[n]::BIGINT AS max FROM s"""
+
+
+@query(_length_sql("label"))
+def length_stats(spark, sf):
+    return quality.length_stats(documents(spark, sf), ["label"])
+
+
+@query(_length_sql("source"))
+def length_stats_by_source(spark, sf):
+    return quality.length_stats(documents(spark, sf), ["source"])
+
+
+@query(f"""
+WITH g AS (SELECT label, list_sort(list(length(text))) AS l, count(*) AS n FROM {DOCS} GROUP BY label),
+q AS (SELECT label, l[n // 4 + 1] AS q1, l[3 * n // 4 + 1] AS q3, (l[(n - 1) // 2 + 1] + l[n // 2 + 1]) / 2 AS median FROM g)
+SELECT label, any_value(q1)::BIGINT AS q1, any_value(median)::DOUBLE AS median, any_value(q3)::BIGINT AS q3, min(length(text)) FILTER (i)::BIGINT AS whisker_low, max(length(text)) FILTER (i)::BIGINT AS whisker_high, count(*) FILTER (NOT i) AS outliers
+FROM (SELECT d.label, text, q1, q3, median, length(text) BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS i FROM {DOCS} d JOIN q USING (label)) GROUP BY label""")
+def boxplot_stats(spark, sf):
+    return quality.box_stats(documents(spark, sf), ["label"])
+
+
+@query(f"SELECT label, char, count(*) AS n FROM (SELECT label, unnest(string_split(text, '')) AS char FROM {DOCS}) WHERE char <> '' GROUP BY ALL")
+def char_inventory(spark, sf):
+    return quality.char_inventory(documents(spark, sf), ["label"])
+
+
+@query("SELECT entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '&(?:[a-zA-Z]{2,8}|#[0-9]{1,6}|#x[0-9a-fA-F]{1,6});')) AS entity FROM pages) GROUP BY entity")
+def entity_hits(spark, sf):
+    return quality.entity_hits(table(spark, sf, "pages"), "html")
+
+
+@query("WITH d AS (SELECT replace(replace(text, '. ', '.' || chr(160)), 'tion', 'ti' || chr(173) || 'on') AS text FROM documents), h AS (SELECT c, len(string_split(text, c)) - 1 AS k FROM d, (VALUES (chr(160)), (chr(173))) v(c) WHERE contains(text, c)) "
+       "SELECT c AS char, sum(k)::BIGINT AS n, count(*) AS texts, CASE c WHEN chr(160) THEN 'Non-Breaking Space' ELSE 'Soft Hyphen' END AS name FROM h GROUP BY c")
+def suspicious_chars(spark, sf):
+    d = table(spark, sf, "documents").select(F.replace(F.replace("text", F.lit(". "), F.lit(". ")), F.lit("tion"), F.lit("ti­on")).alias("text"))
+    return quality.suspicious_chars(d)
+
+
+@query(f"SELECT label, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) AS place FROM {DOCS}) WHERE place <= 10")
+def first_examples(spark, sf):
+    return quality.first_examples(documents(spark, sf), "label", ["seq"]).select("label", "seq", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH p AS (SELECT label, seq, row_number() OVER (PARTITION BY label ORDER BY seq) AS place FROM {DOCS}), q AS (SELECT label, seq, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || seq::VARCHAR)) AS pick FROM p WHERE place <= 50)
+SELECT * FROM q WHERE pick <= 5""")
+def display_sample(spark, sf):
+    return quality.display_sample(documents(spark, sf), "label", "seq").select("label", "seq", F.col("pick").cast("long").alias("pick"))
+
+
+@query("SELECT role, count(*) AS n FROM conversations WHERE length(text) < 40 GROUP BY role")
+def short_texts(spark, sf):
+    return quality.short_texts(table(spark, sf, "conversations"), 40).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH l AS (SELECT label, seq, i - 1 AS line, trim(x) AS text FROM (SELECT label, seq, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {DOCS})),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq, line) AS place FROM l WHERE length(text) >= 50) SELECT label, seq, line::BIGINT AS line, text, place FROM r WHERE place <= 100""")
+def paragraph_extract_topn(spark, sf):
+    return quality.paragraphs(documents(spark, sf), "label", "seq", 50, 100).select("label", "seq", F.col("line").cast("long").alias("line"), "text", F.col("place").cast("long").alias("place"))
+
+
+# --- cleaning -----------------------------------------------------------------------------------
+
+
+def _normal(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', '$URL$', 'g'), '[0-9]+', '$NUM$', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT seq, {_normal('text')} AS text FROM {DOCS}")
+def normalize_text(spark, sf):
+    return documents(spark, sf).select("seq", text.normalize("text").alias("text"))
+
+
+#: the entities that occur in the driver's pages
+_ENTITIES = {"&amp;": "&", "&copy;": "©", "&middot;": "·", "&quot;": '"'}
+
+
+def _decoded(c: str) -> str:
+    for k, v in _ENTITIES.items():
+        c = f"replace({c}, '{k}', '{v}')"
+    return c
+
+
+@query(f"SELECT page_id, {_normal(_decoded('html'))} AS text FROM pages")
+def normalize_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.normalize_plain("html", _ENTITIES).alias("text"))
+
+
+
+
+def _clean(c: str) -> str:
+    c = f"regexp_replace({c}, '\\$(NE|NUM|URL)\\$', ' ', 'g')"
+    c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_ \\-'']', ' ', 'g')"
+    c = f"replace(replace(' ' || {c} || ' ', ' -', '  '), '- ', '  ')"
+    return f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT seq, {_clean(_normal('text'))} AS text FROM {DOCS}")
+def clean_for_training(spark, sf):
+    return documents(spark, sf).select("seq", text.clean_for_training(text.normalize("text")).alias("text"))
+
+
+_SENTENCES = "string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"SELECT seq, (i - 1)::BIGINT AS i, s AS sentence FROM (SELECT seq, unnest({_SENTENCES.format('text')}) AS s, generate_subscripts({_SENTENCES.format('text')}, 1) AS i FROM {DOCS})")
+def sentence_split(spark, sf):
+    return documents(spark, sf).select("seq", F.posexplode(text.sentences("text")).alias("i", "sentence")).select("seq", F.col("i").cast("long").alias("i"), "sentence")
+
+
+_RULES = {"en": "äöüÄÖÜ", "es": "äöüÄÖÜ", "fr": "äöüÄÖÜ", "de": "äÄ"}
+
+
+def _masked(c: str) -> str:
+    for t in foreign.ALLOWED:
+        c = f"replace({c}, '{t}', '$NE$')"
+    return c
+
+
+_BAD = "regexp_matches({0}, CASE label WHEN 'de' THEN '[äÄ]' ELSE '[äöüÄÖÜ]' END)"
+_JUDGED = f"(SELECT *, CASE WHEN {_BAD.format('m')} THEN {_SENTENCES.format('m')} END AS ss FROM (SELECT *, {_masked('text')} AS m FROM {DOCS}))"
+_PATTERN = "CASE label WHEN 'de' THEN '[äÄ]' ELSE '[äöüÄÖÜ]' END"
+_FILTERED = f"(SELECT seq, source, label, coalesce(new, text) AS text, new IS NOT NULL AS changed FROM (SELECT *, CASE WHEN ss IS NOT NULL THEN trim(array_to_string(list_filter(ss, lambda s: NOT regexp_matches(s, p)), ' ')) END AS new FROM (SELECT *, {_PATTERN} AS p FROM {_JUDGED})) WHERE new IS NULL OR new <> '')"
+
+
+@query(f"SELECT seq, label, text, changed FROM {_FILTERED}")
+def foreign_filter(spark, sf):
+    return foreign.foreign_filter(documents(spark, sf), _RULES).select("seq", "label", "text", "changed")
+
+
+@query(f"WITH s AS (SELECT label, unnest(ss) AS s FROM {_JUDGED} WHERE ss IS NOT NULL), w AS (SELECT label, unnest(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) AS word FROM s WHERE {_BAD.format('s')}) SELECT word, count(*) AS count FROM w WHERE {_BAD.format('word')} GROUP BY word")
+def foreign_triggers(spark, sf):
+    return foreign.foreign_triggers(documents(spark, sf), _RULES)
+
+
+# --- duplicates ---------------------------------------------------------------------------------
+
+_WITHIN = "(SELECT seq, source, label, text FROM (SELECT *, row_number() OVER (PARTITION BY source, label, text ORDER BY seq) AS k FROM {0}) WHERE k = 1)"
+_MIXED = "(SELECT doc_id AS seq, source, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS label, text FROM documents)"
+_PRIORITY = "substring(source, 4)::INT"
+_ACROSS = "(SELECT seq, source, label, text FROM (SELECT *, min(label) OVER t AS la, max(label) OVER t AS lb, min(p) OVER t AS best FROM (SELECT *, " + _PRIORITY + " AS p FROM {0}) WINDOW t AS (PARTITION BY text)) WHERE la = lb AND p = best)"
+
+
+def _mixed(spark, sf) -> DataFrame:
+    return documents(spark, sf).withColumn("label", F.when(F.col("seq") % 7 == 0, "xx").otherwise(F.col("label")))
+
+
+def _priority() -> Column:
+    return F.substring("source", 4, 9).cast("int")
+
+
+@query("SELECT seq, source, label FROM " + _WITHIN.format(DOCS))
+def dedup_within_source(spark, sf):
+    return dedup.within_source(documents(spark, sf)).select("seq", "source", "label")
+
+
+@query("SELECT seq, source, label FROM " + _ACROSS.format(_WITHIN.format(DOCS)))
+def dedup_cross_source(spark, sf):
+    return dedup.across_sources(dedup.within_source(documents(spark, sf)), _priority()).select("seq", "source", "label")
+
+
+@query("SELECT seq, source, label FROM " + _ACROSS.format(_WITHIN.format(_MIXED)))
+def dedup_contradictory(spark, sf):
+    return dedup.across_sources(dedup.within_source(_mixed(spark, sf)), _priority()).select("seq", "source", "label")
+
+
+@query(f"""WITH d AS (SELECT *, {_PRIORITY} AS p FROM {_WITHIN.format(_MIXED)}), t AS (SELECT text, min(label) <> max(label) AS c, min(p) AS best, count(DISTINCT (source, label)) AS places FROM d GROUP BY text)
+SELECT (SELECT count(*) FROM t WHERE c) AS contradictory, (SELECT count(*) FROM t WHERE NOT c AND places > 1) AS redundant, (SELECT count(*) FROM d JOIN t USING (text) WHERE c OR p > best) AS removed""")
+def dedup_report(spark, sf):
+    return dedup.dedup_counts(dedup.within_source(_mixed(spark, sf)), _priority())
+
+
+@query(f"SELECT md5(text) AS text_md5, count(DISTINCT (source, label)) AS places, count(*) AS rows FROM {DOCS} WHERE length(text) >= 40 GROUP BY text HAVING count(DISTINCT (source, label)) > 1 ORDER BY rows DESC, text_md5 LIMIT 50")
+def duplicate_report(spark, sf):
+    return dedup.duplicate_report(documents(spark, sf)).select("text_md5", "places", "rows")
+
+
+# --- splits -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT seq, label, split FROM {_RATIO}")
+def split_ratio(spark, sf):
+    return splits.by_ratio(documents(spark, sf), "seq").select("seq", "label", "split")
+
+
+@query(f"SELECT seq, label, CASE WHEN r <= floor(n * 0.1) THEN 'test' WHEN r <= 2 * floor(n * 0.1) THEN 'dev' ELSE 'train' END AS split FROM (SELECT *, {_RANK} FROM {DOCS})")
+def split_three_way(spark, sf):
+    return splits.three_way(documents(spark, sf), "seq").select("seq", "label", "split")
+
+
+@query(f"SELECT seq, label, CASE WHEN n >= 120 AND r <= 60 THEN 'dev' WHEN n >= 120 AND r <= 120 THEN 'test' ELSE 'train' END AS split FROM (SELECT *, {_RANK} FROM {DOCS})")
+def split_balanced(spark, sf):
+    return splits.balanced(documents(spark, sf), "seq", 60, 60).select("seq", "label", "split")
+
+
+@query(f"SELECT seq, label FROM (SELECT *, {_RANK} FROM {DOCS}) WHERE r <= greatest(1, floor(n * 0.2))")
+def stratified_subset(spark, sf):
+    return splits.stratified_subset(documents(spark, sf), "seq").select("seq", "label")
+
+
+@query(f"SELECT seq, label, ((r - 1) % 5)::INTEGER AS fold FROM (SELECT *, {_RANK} FROM {DOCS})")
+def stratified_folds(spark, sf):
+    return splits.folds(documents(spark, sf), "seq").select("seq", "label", "fold")
+
+
+_CORPUS_SQL = _ACROSS.format("(SELECT seq, source, label, text FROM " + _FILTERED.replace(DOCS, _WITHIN.format(DOCS)) + ")")
+
+
+@query(f"""SELECT seq, source, label, CASE source WHEN 'src0' THEN CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'test_a' ELSE 'train' END WHEN 'src1' THEN CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'test_c' ELSE 'train' END
+WHEN 'src3' THEN 'test_d' ELSE 'train' END AS split, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5('42|' || seq::VARCHAR), seq) AS r, count(*) OVER (PARTITION BY source, label) AS n FROM {_CORPUS_SQL})""")
+def corpus_build(spark, sf):
+    """Dedup within sources, sentence filter, dedup across sources, allocation to splits: one lineage."""
+    d = foreign.foreign_filter(dedup.within_source(documents(spark, sf)), _RULES).drop("changed")
+    d = stage(dedup.across_sources(d, _priority()), "corpus")
+    fifth = F.greatest(F.lit(1), F.floor(F.col("total") * 0.2))
+    plan = {"src0": F.when(F.col("rank") <= fifth, "test_a").otherwise("train"), "src1": F.when(F.col("rank") <= fifth, "test_c").otherwise("train"), "src3": F.lit("test_d")}
+    return splits.allocate(d, "seq", plan).select("seq", "source", "label", "split", F.md5("text").alias("text_md5"))
+
+
+# --- features -----------------------------------------------------------------------------------
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+
+
+def _char_sql(src: str, cols: str, low: int, high: int) -> str:
+    return f"(SELECT {cols}, substring(t, i, n) AS term FROM (SELECT {cols}, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT {cols}, ' ' || unnest({_WORDS}) || ' ' AS t FROM {src}), (SELECT unnest(range({low}, {high + 1})) AS n)))"
+
+
+@query(f"SELECT role, term, count(*) AS n FROM {_char_sql('conversations', 'role', 1, 3)} GROUP BY ALL")
+def char_ngram_counts(spark, sf):
+    return table(spark, sf, "conversations").select("role", F.explode(grams.char_grams("text", 1, 3)).alias("term")).groupBy("role", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WB = f"(SELECT role, ' ' || unnest({TOKENS.replace('text', 'lower(text)')}) || ' ' AS t FROM conversations)"
+
+
+@query(f"SELECT role, term, count(*) AS n FROM (SELECT role, substring(t, i, n) AS term FROM (SELECT role, t, n, unnest(range(1, greatest(1, length(t) - n + 1) + 1)) AS i FROM {_WB}, (SELECT unnest(range(2, 5)) AS n) WHERE length(t) >= n OR n = 2)) GROUP BY ALL")
+def char_ngram_counts_library(spark, sf):
+    return table(spark, sf, "conversations").select("role", F.explode(grams.char_grams_wb("text", 2, 4)).alias("term")).groupBy("role", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH w AS (SELECT lang AS label, {_WORDS} AS ws FROM documents), u AS (SELECT label, unnest(ws) AS term FROM w UNION ALL SELECT label, ws[i] || ' ' || ws[i + 1] FROM (SELECT label, ws, unnest(range(1, len(ws))) AS i FROM w WHERE len(ws) >= 2))
+SELECT label, term, count(*) AS n FROM u GROUP BY ALL""")
+def word_ngram_counts(spark, sf):
+    return documents(spark, sf).select("label", F.explode(grams.word_grams("text", 1, 2)).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CHAR, _WORD, _TOP = (1, 2), (1, 1), {"char": 400, "word": 2000}
+_MODEL = f"""
+WITH counts AS (SELECT id, space, term, count(*) AS tf FROM (SELECT seq AS id, 'char' AS space, term FROM {_char_sql(DOCS, 'seq', *_CHAR)} UNION ALL SELECT seq, 'word', unnest({_WORDS}) FROM {DOCS}) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM documents),
+top AS (SELECT * FROM (SELECT space, term, count(*) AS df, sum(tf)::BIGINT AS tf, row_number() OVER (PARTITION BY space ORDER BY sum(tf) DESC, term) AS k FROM counts GROUP BY space, term) WHERE k <= CASE space WHEN 'char' THEN 400 ELSE 2000 END),
+vocab AS (SELECT space, term, df, tf, ln((n + 1) / (df + 1)) + 1 AS idf, (row_number() OVER (PARTITION BY space ORDER BY term) - 1)::INTEGER AS idx FROM top, n),
+raw AS (SELECT id, space, term, idx, (1 + ln(c.tf)) * idf AS w FROM counts c JOIN vocab v USING (space, term)),
+feats AS (SELECT id, space, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id, space)) AS w FROM raw),
+sizes AS (SELECT label AS class, count(*) AS n, (row_number() OVER (ORDER BY label) - 1)::INTEGER AS class_id FROM {DOCS} GROUP BY label),
+coef AS (SELECT space, class_id, idx, any_value(term) AS term, any_value(class) AS class, sum(w) / any_value(s.n) AS val FROM feats f JOIN {DOCS} d ON f.id = d.seq JOIN sizes s ON s.class = d.label GROUP BY space, class_id, idx),
+dots AS (SELECT id, class_id, sum(w * val) AS s FROM feats JOIN coef USING (space, idx) GROUP BY id, class_id),
+scores AS (SELECT seq AS id, class_id, class, coalesce(s, 0.0) AS score FROM {DOCS} CROSS JOIN sizes LEFT JOIN dots ON dots.id = seq AND dots.class_id = sizes.class_id)
+""".replace("SELECT seq AS id, class_id, class, coalesce", "SELECT seq AS id, sizes.class_id, class, coalesce")
+
+
+def _fitted(spark, sf) -> tuple[linear.LinearModel, DataFrame, DataFrame]:
+    """The class-mean model of the documents, their features and the documents themselves."""
+    d = documents(spark, sf)
+    counts = stage(features.term_counts(d, "seq", features.spaces("text", _CHAR, _WORD)), "counts")
+    vocab = stage(features.vocabulary(counts, d.count(), _TOP), "vocabulary")
+    feats = features.tfidf(counts, vocab)
+    coef, heads = linear.class_means(feats, d.select(F.col("seq").alias("id"), F.col("label").alias("class")))
+    return linear.LinearModel(vocab, stage(coef, "coef"), stage(heads, "intercept"), _CHAR, _WORD), feats, d
+
+
+@query(_MODEL + "SELECT space, term, df, tf, round(idf, 6) AS idf, idx FROM vocab")
+def vocab_topk(spark, sf):
+    return _fitted(spark, sf)[0].vocab.select("space", "term", "df", "tf", F.round("idf", 6).alias("idf"), "idx")
+
+
+@query(_MODEL + "SELECT id, space, term, round(w, 5) AS w FROM feats")
+def tfidf_weights(spark, sf):
+    return _fitted(spark, sf)[1].select("id", "space", "term", F.round("w", 5).alias("w"))
+
+
+@query(_MODEL + "SELECT id, class_id, class, round(score, 5) AS score FROM scores")
+def linear_scores(spark, sf):
+    model, _, d = _fitted(spark, sf)
+    return linear.score(model, d, "seq").select("id", "class_id", "class", F.round("score", 5).alias("score"))
+
+
+@query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
+def predict_label(spark, sf):
+    model, _, d = _fitted(spark, sf)
+    return linear.predict(linear.score(model, d, "seq"))
+
+
+@query(_MODEL + "SELECT id, class, round(exp(score - max(score) OVER d) / sum(exp(score)) OVER d * exp(max(score) OVER d), 5) AS share FROM scores WINDOW d AS (PARTITION BY id)")
+def soft_scores(spark, sf):
+    model, _, d = _fitted(spark, sf)
+    return linear.soft_scores(linear.score(model, d, "seq")).select("id", "class", F.round("share", 5).alias("share"))
+
+
+@query(_MODEL + "SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS place, class FROM scores")
+def ranked_shares(spark, sf):
+    model, _, d = _fitted(spark, sf)
+    return linear.ranked_shares(linear.score(model, d, "seq")).select("id", F.col("place").cast("long").alias("place"), "class")
+
+
+@query(_MODEL + "SELECT class, place, space, term, round(val, 5) AS val FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY val DESC, space, term) AS place FROM coef WHERE val > 0) WHERE place <= 10")
+def top_features(spark, sf):
+    return linear.top_features(_fitted(spark, sf)[0]).select("class", F.col("place").cast("long").alias("place"), "space", "term", F.round("val", 5).alias("val"))
+
+
+@query(_MODEL + "SELECT (SELECT count(*) FROM coef WHERE val <> 0) AS nnz, (SELECT count(*) FROM vocab) AS terms, round((SELECT count(*) FROM coef WHERE val <> 0) / ((SELECT count(*) FROM vocab) * (SELECT count(*) FROM sizes)), 6) AS density")
+def coef_density(spark, sf):
+    model, _, _ = _fitted(spark, sf)
+    return linear.density(model.coef, model.vocab, len(model.classes())).select("nnz", "terms", F.round("density", 6).alias("density"))
+
+
+@query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
+def export_import_predict(spark, sf):
+    """Predictions of a model that went through its JSON form and back."""
+    model, _, d = _fitted(spark, sf)
+    return linear.predict(linear.score(linear.load(spark, linear.export(model)), d, "seq"))
+
+
+# --- detectors ----------------------------------------------------------------------------------
+
+
+def _share(marks, c: str = "text") -> str:
+    left = c
+    for m in marks:
+        left = f"replace({left}, '{m}', '')"
+    return f"CASE WHEN length({c}) > 0 THEN (length({c}) - length({left})) / (length({c}) / 100.0) ELSE 0 END"
+
+
+_D = detectors
+_MARKER = (
+    f"CASE WHEN {_share(_D.GERMAN)} > 0.4 THEN 'de' WHEN {_share(_D.LADIN)} > 0.4 THEN CASE WHEN {_share(_D.PUTER)} > 0.04 THEN 'rm-puter' ELSE 'rm-vallader' END WHEN {_share(_D.SUTSILVAN)} > 0.25 THEN 'rm-sutsilv' "
+    f"WHEN {_share(_D.SURMIRAN)} > 0.02 THEN 'rm-surmiran' WHEN {_share(_D.GRISCHUN)} > 0.25 THEN 'rm-rumgr' ELSE 'rm-sursilv' END"
+)
+
+
+@query(f"SELECT seq, round({_share(_D.LADIN)}, 6) AS ladin, {_MARKER} AS lang FROM {DOCS}")
+def marker_detector(spark, sf):
+    return documents(spark, sf).select("seq", F.round(text.share_of("text", detectors.LADIN), 6).alias("ladin"), detectors.marker_label("text").alias("lang"))
+
+
+@query(f"SELECT seq, {_MARKER} AS lang FROM {DOCS}")
+def marker_detector_sql(spark, sf):
+    """The detector as an SQL function."""
+    detectors.register_sql(spark)
+    return documents(spark, sf).select("seq", F.expr("marker_label(text)").alias("lang"))
+
+
+@query(f"SELECT seq, {_MARKER} AS lang FROM (SELECT seq, {_normal('text')} AS text FROM {DOCS})")
+def stream_marker_labels(spark, sf):
+    """The detector over a stream of files, written until nothing is left to read."""
+    import uuid
+
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = spark.read.parquet(f"{sf}/documents.parquet").schema
+    stream = spark.readStream.schema(source).parquet(f"{sf}/documents.parquet*")
+    out = streaming.labelled(stream).select(F.col("doc_id").alias("seq"), "lang")
+    out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
+
+
+def _trigram_sql(src: str, cols: str) -> str:
+    t = "' ' || lower(trim(regexp_replace(regexp_replace(text, '[!-@]+', ' ', 'g'), '\\s+', ' ', 'g'))) || ' '"
+    return f"(SELECT {cols}, substring(t, i, 3) AS trigram FROM (SELECT {cols}, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT {cols}, {t} AS t FROM {src})))"
+
+
+_PROFILE = f"profile AS (SELECT lang, trigram, (k - 1) AS rank FROM (SELECT lang, trigram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, trigram) AS k FROM {_trigram_sql('documents', 'lang')} GROUP BY lang, trigram) WHERE k <= 300)"
+_DISTANCE = f"""WITH {_PROFILE}, c AS (SELECT item_id AS id, trigram, count(*) AS n FROM {_trigram_sql("benchmark WHERE length(text) >= 10 AND regexp_matches(text, '[A-Za-z]')", 'item_id')} GROUP BY ALL),
+d AS (SELECT id, l.lang, sum(coalesce(abs(n - rank - 1), 300))::BIGINT AS distance, count(*) AS kinds FROM c CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.trigram = c.trigram GROUP BY id, l.lang)"""
+
+
+def _profile(spark, sf) -> DataFrame:
+    return stage(detectors.trigram_profile(table(spark, sf, "documents"), "lang"), "profile")
+
+
+@query(f"WITH {_PROFILE} SELECT lang, trigram, rank::INTEGER AS rank FROM profile")
+def trigram_profile(spark, sf):
+    return detectors.trigram_profile(table(spark, sf, "documents"), "lang").select("lang", "trigram", "rank")
+
+
+@query(_DISTANCE + " SELECT id, lang, distance, round(1 - (distance - min(distance) OVER w) / (300 * kinds - min(distance) OVER w), 6) AS confidence FROM d WINDOW w AS (PARTITION BY id)")
+def trigram_distance(spark, sf):
+    d = detectors.trigram_distances(table(spark, sf, "benchmark"), "item_id", _profile(spark, sf), longest=None)
+    return d.select("id", "lang", F.col("distance").cast("long").alias("distance"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(_DISTANCE + " SELECT id, lang FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, lang) AS k FROM d) WHERE k = 1")
+def trigram_predict(spark, sf):
+    return detectors.trigram_label(table(spark, sf, "benchmark"), "item_id", _profile(spark, sf), longest=None)
+
+
+_LETTERS = "list_filter(regexp_extract_all(text, '\\p{L}+(?:''\\p{L}+)*'), lambda x: length(x) >= 2)"
+_LEXICON = f"""WITH lex AS (SELECT lang, word FROM (SELECT lang, unnest(list_distinct({_LETTERS})) AS word FROM documents) GROUP BY ALL HAVING count(*) >= 3),
+tok AS (SELECT id, word, count(*) AS n FROM (SELECT item_id AS id, unnest({_LETTERS}) AS word FROM benchmark) GROUP BY ALL),
+acc AS (SELECT id, word, n, coalesce(langs, []) AS langs FROM tok LEFT JOIN (SELECT word, list_sort(list(lang)) AS langs FROM lex GROUP BY word) USING (word)),
+sc AS (SELECT b.item_id AS id, l.lang, coalesce(w, 0) / coalesce(total, 1) AS score FROM benchmark b CROSS JOIN (SELECT DISTINCT lang FROM lex) l LEFT JOIN (SELECT id, lang, sum(n / k) AS w FROM (SELECT id, n, len(langs) AS k, unnest(langs) AS lang FROM acc) GROUP BY ALL) x ON x.id = b.item_id AND x.lang = l.lang
+LEFT JOIN (SELECT id, sum(n / len(langs)) * len(list(1)) / count(*) AS total FROM acc WHERE len(langs) > 0 GROUP BY id) t ON t.id = b.item_id),
+best AS (SELECT id, lang, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS k FROM sc) WHERE k = 1)
+""".replace("sum(n / len(langs)) * len(list(1)) / count(*)", "sum(n / len(langs) * len(langs) / len(langs))")
+
+
+def _lexicon(spark, sf) -> DataFrame:
+    return stage(detectors.lexicon(table(spark, sf, "documents"), "lang", least_docs=3), "lexicon")
+
+
+@query(_LEXICON + "SELECT id, lang, round(score, 6) AS score FROM sc")
+def coverage_scores(spark, sf):
+    return detectors.coverage(table(spark, sf, "benchmark"), "item_id", _lexicon(spark, sf)).select("id", "lang", F.round("score", 6).alias("score"))
+
+
+@query(_LEXICON + "SELECT id, CASE WHEN score = 0 THEN 'und' ELSE lang END AS lang, round(score, 6) AS score FROM best")
+def coverage_predict(spark, sf):
+    return detectors.coverage_label(detectors.coverage(table(spark, sf, "benchmark"), "item_id", _lexicon(spark, sf))).select("id", "lang", F.round("score", 6).alias("score"))
+
+
+@query(_LEXICON + "SELECT id, CASE WHEN score < 0.5 THEN 'mixed' ELSE lang END AS lang FROM best")
+def coverage_mixed(spark, sf):
+    return detectors.coverage_label(detectors.coverage(table(spark, sf, "benchmark"), "item_id", _lexicon(spark, sf)), mixed=0.5).select("id", "lang")
+
+
+@query(_LEXICON + "SELECT id, word, n, array_to_string(langs, ',') AS langs, round(CASE WHEN len(langs) > 0 THEN 1.0 / len(langs) ELSE 0.0 END, 6)::DOUBLE AS weight, len(langs) = 0 AS not_found FROM acc")
+def word_breakdown(spark, sf):
+    b = detectors.word_breakdown(table(spark, sf, "benchmark"), "item_id", _lexicon(spark, sf))
+    return b.select("id", "word", "n", F.array_join("langs", ",").alias("langs"), F.round("weight", 6).alias("weight"), "not_found")
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+#: the marker detector's answers read as one of the tables' languages, so that it can be right at times
+_READ = {"de": "de", "rm-puter": "de", "rm-vallader": "de", "rm-sutsilv": "fr", "rm-rumgr": "fr", "rm-surmiran": "es"}
+_PREDICTED = "(SELECT seq, source AS \"set\", label AS y, CASE lang " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _READ.items()) + f" ELSE 'en' END AS p FROM (SELECT seq, source, label, {_MARKER} AS lang FROM {DOCS}))"
+_CLASSES = f"""WITH e AS (SELECT * FROM {_PREDICTED}), t AS (SELECT "set", y AS class, count(*) AS support, count(*) FILTER (y = p) AS tp FROM e GROUP BY ALL), s AS (SELECT "set", p AS class, count(*) AS said FROM e GROUP BY ALL),
+pr AS (SELECT "set", class, support, coalesce(tp / said, 0.0) AS precision, tp / support AS recall FROM t LEFT JOIN s USING ("set", class)),
+k AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pr)
+"""
+
+
+def _predicted(spark, sf) -> DataFrame:
+    lang = F.coalesce(F.create_map(*(F.lit(x) for kv in _READ.items() for x in kv))[detectors.marker_label("text")], F.lit("en"))
+    return documents(spark, sf).select("seq", F.col("source").alias("set"), F.col("label").alias("y"), lang.alias("p"))
+
+
+@query(f'SELECT "set", count(*) AS n_samples, round(avg((y = p)::INT), 6) AS accuracy FROM {_PREDICTED} GROUP BY "set"')
+def accuracy_by_set(spark, sf):
+    return metrics.accuracy(_predicted(spark, sf), ["set"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(_CLASSES + 'SELECT "set", class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM k')
+def per_class_prf(spark, sf):
+    r = metrics.per_class(_predicted(spark, sf), ["set"])
+    return r.select("set", "class", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query(_CLASSES + 'SELECT "set", round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM k GROUP BY "set"')
+def macro_f1(spark, sf):
+    r = metrics.macro(_predicted(spark, sf), ["set"])
+    return r.select("set", *(F.round(c, 6).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1")))
+
+
+@query(f"""WITH e AS (SELECT * FROM {_PREDICTED}), c AS (SELECT DISTINCT "set", y AS class FROM e), g AS (SELECT a."set", a.class AS y, b.class AS p FROM c a JOIN c b USING ("set")), n AS (SELECT "set", y, p, count(*) AS n FROM e GROUP BY ALL)
+SELECT "set", y, p, coalesce(n, 0)::BIGINT AS n, round(CASE WHEN sum(n) OVER w > 0 THEN coalesce(n, 0) / sum(n) OVER w ELSE 0.0 END, 6) AS share FROM g LEFT JOIN n USING ("set", y, p) WINDOW w AS (PARTITION BY "set", y)""")
+def confusion_matrix(spark, sf):
+    return metrics.confusion(_predicted(spark, sf), ["set"]).withColumn("share", F.round("share", 6))
+
+
+@query(f'SELECT "set", y, count(*) AS n FROM {_PREDICTED} GROUP BY ALL')
+def class_distribution(spark, sf):
+    return metrics.class_distribution(_predicted(spark, sf), ["set"])
+
+
+_RESULTS = f"""WITH e AS (SELECT 'markers' AS model, "set", y, p FROM {_PREDICTED} UNION ALL SELECT 'constant', source, lang, 'en' FROM documents), r AS (SELECT model, "set", 'accuracy' AS metric, round(avg((y = p)::INT), 6) AS value FROM e GROUP BY model, "set")
+"""
+
+
+def _both(spark, sf) -> DataFrame:
+    p = _predicted(spark, sf)
+    e = p.select(F.lit("markers").alias("model"), "set", "y", "p").unionByName(p.select(F.lit("constant").alias("model"), "set", "y", F.lit("en").alias("p")))
+    return metrics.accuracy(e, ["model", "set"]).select("model", "set", F.lit("accuracy").alias("metric"), F.round("accuracy", 6).alias("value"))
+
+
+@query(_RESULTS + 'SELECT model, "set", metric, value, value = max(value) OVER w AND max(value) OVER w > min(value) OVER w AS best, value = min(value) OVER w AND max(value) OVER w > min(value) OVER w AS worst FROM r WINDOW w AS (PARTITION BY "set", metric)')
+def best_worst_model(spark, sf):
+    return metrics.best_worst(_both(spark, sf))
+
+
+@query(_RESULTS + """SELECT "set", metric, a.value AS a, b.value AS b, round(b.value - a.value, 6) AS delta, abs(b.value - a.value) < 0.001 AS alike FROM (SELECT * FROM r WHERE model = 'markers') a FULL JOIN (SELECT * FROM r WHERE model = 'constant') b USING ("set", metric)""")
+def compare_results_delta(spark, sf):
+    r = _both(spark, sf)
+    return metrics.compare(r.where("model = 'markers'"), r.where("model = 'constant'")).withColumn("delta", F.round("delta", 6))
+
+
+# --- training (iterative: no SQL) ---------------------------------------------------------------
+
+_SMALL = train.LOGISTIC | {"char": (1, 2), "max_char": 400, "max_word": 1000}
+
+
+def _labelled(spark, sf) -> DataFrame:
+    return documents(spark, sf).select(F.col("seq").alias("id"), F.col("label").alias("class"), "text")
+
+
+@query()
+def train_lr_predict(spark, sf):
+    """Logistic regression fitted on four folds, its labels for the fifth."""
+    return _held_out(spark, sf, train.fit_logistic)
+
+
+@query()
+def train_svm_predict(spark, sf):
+    return _held_out(spark, sf, train.fit_svm)
+
+
+def _held_out(spark, sf, fit) -> DataFrame:
+    d = stage(splits.folds(_labelled(spark, sf), "id", 5, "class"), "folds")
+    x, vocab = train.vectors(d, _SMALL)
+    seen = x.join(d.where("fold < 4").select("id"), "id")
+    classes, fitted = fit(seen, d.select("id", "class"), _SMALL["C"], 30)
+    model = train.as_tables(classes, fitted, vocab, _SMALL)
+    said = linear.predict(linear.score(model, d.where("fold = 4"), "id"))
+    return said.join(d.select("id", F.col("class").alias("y")), "id").select("id", "y", F.col("class").alias("p"))
+
+
+@query()
+def search_best_params(spark, sf):
+    """Random search with stratified folds on a stratified subset: scores of each configuration."""
+    sub = stage(splits.stratified_subset(_labelled(spark, sf), "id", 0.2, "class"), "subset")
+    params = [p | {"char": (1, 2), "max_char": 300, "max_word": 600, "word": (1, 1)} for p in train.draws("logistic", 2)]
+    return train.best(train.search(sub, params, "logistic", k=3, iterations=15))
+
 
-QUERIES: dict = {}
-ORACLE: dict = {}

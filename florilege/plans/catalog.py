@@ -391,7 +391,7 @@ def ranked_shares(spark, sf):
     return linear.ranked_shares(linear.score(model, d, "seq")).select("id", F.col("place").cast("long").alias("place"), "class")
 
 
-@query(_MODEL + "SELECT class, place, space, term, round(val, 5) AS val FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY val DESC, space, term) AS place FROM coef WHERE val > 0) WHERE place <= 10")
+@query(_MODEL + "SELECT class, place, space, term, round(val, 5) AS val FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(val, 6) DESC, space, term) AS place FROM coef WHERE val > 0) WHERE place <= 10")
 def top_features(spark, sf):
     return linear.top_features(_fitted(spark, sf)[0]).select("class", F.col("place").cast("long").alias("place"), "space", "term", F.round("val", 5).alias("val"))
 

@@ -119,6 +119,35 @@ def winnow(e: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, k:
     return {"piece": np.searchsorted(starts, lo, "right") - 1, "lo": lo, "n": n, "rel": p - lo, "anchor": h[p], "ctx": ctx}
 
 
+def collapse(r: dict[str, np.ndarray], salt: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of one block with their weight ``w``: of equal runs the first stays, with weight 2, and all windows of
+    such runs come as spans of weight 0, neighbours joined, each under an anchor of its own. A passage
+    that is repeated within a text or a block so costs a few rows, however often it is.
+    ``salt``: a hash of each piece."""
+    n = len(r["lo"])
+    if not n:
+        return r | {"w": np.zeros(0, np.int32)}
+    key = mix(r["anchor"] ^ mix(r["ctx"]))
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    size = np.diff(np.append(np.flatnonzero(new), n))
+    many = np.empty(n, bool)
+    many[order] = np.repeat(size > 1, size)
+    first = np.zeros(n, bool)
+    first[order[new]] = True
+    keep = np.flatnonzero(~many | first)
+    out = {k: v[keep] for k, v in r.items()} | {"w": np.where(many[keep], 2, 1).astype(np.int32)}
+    again = np.flatnonzero(many)
+    if len(again):
+        lo, end, piece = r["lo"][again], (r["lo"] + r["n"])[again], r["piece"][again]
+        start = np.flatnonzero(np.concatenate(([True], (lo[1:] != end[:-1]) | (piece[1:] != piece[:-1]))))
+        stop = np.append(start[1:], len(again)) - 1
+        zero = np.zeros(len(start), np.int64)
+        more = {"piece": piece[start], "lo": lo[start], "n": end[stop] - lo[start], "rel": zero, "anchor": mix(salt[piece[start]] ^ mix(lo[start].astype(np.uint64))), "ctx": zero.astype(np.uint64), "w": zero.astype(np.int32)}
+        out = {k: np.concatenate([out[k], more[k]]) for k in out}
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes and the n + 1 offsets of a string or binary column, without a copy (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -36,17 +36,18 @@ def _runs(length: int, gram: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = core.utf8(b.column(1))
+            keys = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for pieces in core.blocks(np.diff(off), length - 1):
                 doc, frm, to = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
                 body = np.concatenate([raw[off[d] + f : off[d] + t] for d, f, t in pieces])
                 ends = np.cumsum(to - frm)
                 starts = ends - (to - frm)
-                r = core.winnow(core.BYTE_CODE[body], starts, ends, length, gram)
+                r = core.collapse(core.winnow(core.BYTE_CODE[body], starts, ends, length, gram), keys[doc])
                 p = r["piece"]
                 who = pa.array(doc[p])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(who), b.column(2).take(who), pa.array(r["lo"] - starts[p] + frm[p]), pa.array(r["n"].astype(np.int32)), pa.array(r["rel"].astype(np.int32)), pa.array(r["anchor"].view(np.int64)), pa.array(r["ctx"].view(np.int64))],
-                    ["_id", "_h", "lo", "n", "rel", "anchor", "ctx"],
+                    [b.column(0).take(who), b.column(2).take(who), pa.array(r["lo"] - starts[p] + frm[p]), pa.array(r["n"].astype(np.int32)), pa.array(r["rel"].astype(np.int32)), pa.array(r["anchor"].view(np.int64)), pa.array(r["ctx"].view(np.int64)), pa.array(r["w"])],
+                    ["_id", "_h", "lo", "n", "rel", "anchor", "ctx", "w"],
                 )
 
     return run, f"_id {kind}, _h long, {repeats.RUN}"

@@ -8,7 +8,9 @@ windows meet by anchor in one shuffle of a few small rows per document:
 * the rest, at the rims of repeated passages, are settled window by window by the caller.
 
 Of several equal runs only the first is handed on (``kind`` PROVIDER) to be compared with
-runs that stand alone (``kind`` SOLO), so a group of copies of any size adds one row.
+runs that stand alone (``kind`` SOLO), so a group of copies of any size adds one row. Equal runs of one
+block are merged before the shuffle (``core.collapse``): weight 2 stands for two or more, weight 0
+marks spans that are settled already.
 """
 
 from __future__ import annotations
@@ -20,22 +22,22 @@ from pyspark.sql import functions as F
 from florilege.session import stage
 
 SURE, PROVIDER, SOLO = 0, 1, 2
-RUN = "lo long, n int, rel int, anchor long, ctx long"
+RUN = "lo long, n int, rel int, anchor long, ctx long, w int"
 
 
 def marked(runs: DataFrame, tag: str) -> DataFrame:
     """Keep runs whose anchor recurs; add ``kind`` and ``nctx`` (distinct contents of the anchor)."""
     by = W.partitionBy("anchor")
     seen = (
-        runs.withColumns({"_c": F.count(F.lit(1)).over(by), "_mn": F.min("ctx").over(by), "_mx": F.max("ctx").over(by)})
-        .where("_c > 1")
+        runs.withColumns({"_c": F.sum("w").over(by), "_mn": F.min("ctx").over(by), "_mx": F.max("ctx").over(by)})
+        .where("_c > 1 OR w = 0")
     )
     alike = W.partitionBy("anchor", "ctx")
     mixed = F.col("_mn") != F.col("_mx")
     rank = F.row_number().over(alike.orderBy("_id", "_h", "lo"))
-    out = seen.withColumns({"_n": F.count(F.lit(1)).over(alike), "_r": rank}).withColumn(
+    out = seen.withColumns({"_n": F.sum("w").over(alike), "_r": rank}).withColumn(
         "kind",
-        F.when(~mixed, SURE).when(F.col("_n") == 1, SOLO).when(F.col("_r") == 1, PROVIDER).otherwise(SURE),
+        F.when(~mixed | (F.col("w") == 0), SURE).when(F.col("_n") == 1, SOLO).when(F.col("_r") == 1, PROVIDER).otherwise(SURE),
     )
     out = out.withColumn("nctx", F.sum(F.when(F.col("_r") == 1, 1).otherwise(0)).over(by))
     return stage(out.select("_id", "_h", "lo", "n", "rel", "anchor", F.col("kind").cast("int").alias("kind"), F.col("nctx").cast("int").alias("nctx")), tag)

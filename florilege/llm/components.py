@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.session import stage
 
+PART = 200_000  # links contracted by one task
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one task as stars: each node with the smallest node it reaches by them."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for b in batches:
+        for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = find(s), find(t)
+            if a != c:
+                root[max(a, c)] = min(a, c)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(v) for v in root], pa.int64())], ["v", "l"])
+
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, part: int = PART) -> DataFrame:
     """``v, l``: each linked node and the smallest node it can reach.
 
-    Labels fall to the smallest label among the neighbours, then jump to their own label's label; a
-    path halves each round. Every round is written to shared storage, so lineage stays short. A hub's
-    neighbours are reduced by a map-side minimum."""
-    plain = links.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s <> t")
+    Links are dealt to tasks of ``part`` each, which contract theirs to stars. With one task that is the result;
+    with more, labels of the contracted links fall to the smallest label among the neighbours, then jump to
+    their own label's label, so a path halves each round. Every round is written to shared storage, so
+    lineage stays short. A hub's neighbours are reduced by a map-side minimum."""
+    plain = stage(links.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s <> t"), "cc-links")
+    tasks = max(1, -(-plain.count() // part))
+    stars = stage(plain.repartition(tasks).mapInArrow(_contract, "v long, l long"), "cc-stars")
+    if tasks == 1:
+        return stars
+    plain = stars.where("v <> l").select(F.col("v").alias("s"), F.col("l").alias("t"))
     both = stage(plain.unionByName(plain.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct(), "cc-links")
     label = stage(both.groupBy(F.col("s").alias("v")).agg(F.least(F.min("t"), F.col("s")).alias("l")), "cc-labels")
     for _ in range(rounds):

@@ -80,8 +80,10 @@ def test_t_occurrence():
 
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(20)] + [(30, 31), (32, 31), (40, 40)]
-    got = {r.v: r.l for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30, 32: 30}
+    for part in (1000, 3):  # 3: several tasks, then label rounds
+        got = {r.v: r.l for r in components(spark.createDataFrame(pairs, "a long, b long"), part=part).collect()}
+        assert got == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30, 32: 30}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_line_dedup(spark):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        _own[app] = tempfile.mkdtemp(prefix="florilege-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        if local:
+            _own[app] = tempfile.mkdtemp(prefix="florilege-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        else:
+            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return _own[app]
 
 
@@ -33,9 +40,19 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application has staged so far. Call it when its results are written: DataFrames that still
+    read a stage can't be computed afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def local_session(app: str, cores: int | str = 8, partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench."""
     spark = (

@@ -123,3 +123,18 @@ def test_coverage(spark):
 def test_registry(spark):
     docs = spark.createDataFrame([(1, "ü ö s-ch")], "id long, text string")
     assert detectors.REGISTRY["markers"](docs).first().lang == "rm-vallader"
+
+
+def test_model_as_detector(spark, model):
+    detectors.register("means", linear.as_detector(model))
+    assert detectors.REGISTRY.pop("means")(spark.createDataFrame([(1, "dd cc")], "id long, text string")).first().lang == "y"
+
+
+def test_stages_are_released(spark):
+    from florilege import session
+
+    df = session.stage(spark.range(5).toDF("x"), "t")
+    assert df.count() == 5
+    session.release(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        df.count()

@@ -40,6 +40,7 @@ THRESHOLD = Fraction(85, 100)
 SLOTS = 1 << 22
 PARTS = 64  # the sketch travels in as many pieces
 NEAR = 2  # neighbours tested first
+LIGHT = 200_000  # pairs that are broadcast rather than joined by a shuffle of texts
 CROWD = 256  # a list with more members still apart is searched block by block
 BLOCK = 256  # sets of a block
 ROUNDS = 3  # of tests between components of a list before all that are still apart are paired
@@ -216,17 +217,19 @@ def _neighbours(t: Fraction, near: int):
 
 
 def _verify(k: int, t: Fraction):
-    """Pairs with both texts: keep those that are alike."""
+    """Rows (a, b, text) sorted by a: a's own text comes first (b null), then those of its partners. Alike pairs stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
+        own: tuple[int, np.ndarray] | None = None
         for b in core.slices(batches):
-            ok = []
-            for a, x, y in zip(b.column(0).to_pylist(), core.unsqueeze(b.column(2)), core.unsqueeze(b.column(3)), strict=True):
-                if last is None or last[0] != a:
-                    last = (a, _one(x, k))
-                ok.append(alike(last[1], _one(y, k), t))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            left, right = [], []
+            for a, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), core.unsqueeze(b.column(2)), strict=True):
+                if c is None:
+                    own = (a, _one(text, k))
+                elif own is not None and own[0] == a and alike(own[1], _one(text, k), t):
+                    left.append(a)
+                    right.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run, "a long, b long"
 
@@ -237,10 +240,13 @@ def _one(text: bytes, k: int) -> np.ndarray:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, t: Fraction, tag: str) -> DataFrame:
-    """The alike ones of distinct pairs (a, b)."""
-    with_a = pairs.join(texts.select(F.col("c").alias("a"), F.col("_z").alias("za")), "a")
-    both = with_a.join(texts.select(F.col("c").alias("b"), F.col("_z").alias("zb")), "b").select("a", "b", "za", "zb")
-    return stage(both.mapInArrow(*_verify(k, t)), tag)
+    """The alike ones of distinct staged pairs (a, b). Every text goes once to each a it is asked for; a list of asked
+    texts that is short enough is broadcast, so that texts stay where they lie."""
+    asked = pairs.select("a", F.col("b").alias("c"), "b").unionByName(pairs.select("a", F.col("a").alias("c"), F.lit(None).cast("long").alias("b")).distinct())
+    few = pairs.count() <= LIGHT
+    rows = texts.join(F.broadcast(asked) if few else asked, "c").select("a", "b", "_z")
+    rows = rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return stage(rows.mapInArrow(*_verify(k, t)), tag)
 
 
 def t_occurrence(x: np.ndarray, lists: dict[int, np.ndarray], sizes: np.ndarray, t: Fraction) -> list[int]:

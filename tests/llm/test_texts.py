@@ -200,3 +200,17 @@ def test_sql(spark, name):
     want = con.sql(catalog.ORACLE[name])
     df = catalog.QUERIES[name](spark, sf).select(*want.columns)
     assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
+def test_near_duplicates_keep_one_of_each(spark):
+    import corpus_pipeline
+    from tests.llm.test_joins import brute
+
+    rows = texts()
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()), key=str)
+    group = {i: (n, c) for i, n, c in brute(rows)}
+    want = {(i, t) for i, t in rows if not group[i][0]}  # without words: all stay
+    for c in {c for n, c in group.values() if n}:
+        ids = [(i, t) for i, t in rows if group[i] == (group[i][0], c) and group[i][0]]
+        want.add(min(ids, key=lambda x: (x[0] is not None, x[0] or 0)))
+    assert got == sorted(want, key=str)

@@ -14,6 +14,9 @@ from florilege.llm import op1_packing, op3_line_dedup, op8_decontamination, op9_
 from florilege.session import stage
 
 
+FEW = 500_000  # documents that are broadcast rather than joined by a shuffle of texts
+
+
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with ``n_chars`` following the text where there is one."""
     size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
@@ -35,13 +38,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest id; rows that repeat it go, too. A document
     without words is in no group and stays."""
-    group = op10_jaccard_join.jaccard_components(docs).withColumnRenamed("doc_id", "_i")
-    first = group.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("_i", "_h")).alias("m")).select("m._i", F.col("m._h").alias("_g"))
-    blank = group.where("n_shingles = 0").select("_i", F.col("_h").alias("_g")).distinct()
-    keep = stage(first.unionByName(blank).withColumn("_k", F.xxhash64("_i", "_g")), "near-duplicates")
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).withColumn("_k", F.xxhash64("doc_id", "_h"))
-    got = keyed.alias("d").join(keep.alias("k"), (F.col("d._k") == F.col("k._k")) & F.col("d.doc_id").eqNullSafe(F.col("k._i")) & F.col("d._h").eqNullSafe(F.col("k._g")), "left_semi")
-    return got.dropDuplicates(["_k", "doc_id", "_h"]).drop("_k", "_h")
+    group = stage(op10_jaccard_join.jaccard_components(docs).withColumnRenamed("doc_id", "_i"), "near-duplicates")
+    first = group.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("_i", "_h")).alias("m")).select(F.col("m._i").alias("_a"), F.col("m._h").alias("_b"))
+    each = group.groupBy("_i", "_h").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
+    stays = first.withColumn("stays", F.lit(True))
+    fate = each.join(stays, F.col("_i").eqNullSafe(F.col("_a")) & (F.col("_h") == F.col("_b")), "left").withColumn("stays", F.coalesce("stays", F.col("n") == 0))
+    # what goes, and what stays but is repeated: usually few rows, so the texts needn't move
+    odd = stage(fate.where("NOT stays OR rows > 1").select("_i", F.col("_h").alias("_g"), "stays"), "near-duplicates-odd")
+    odd = F.broadcast(odd) if odd.count() <= FEW else odd
+    keyed = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
+    once = keyed.join(odd, same, "left_anti")
+    again = keyed.join(odd.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    return once.unionByName(again).drop("_h")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ columns with any name pass by without a clash. A document is identified by its i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    # Arrays of a megabyte or more go back to the system when they are freed (M_MMAP_THRESHOLD, which by default
+    # grows with use): Python workers idle beside the JVM, and what they hold counts as the executor's.
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+except (AttributeError, OSError):  # another C library
+    pass
+
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = U(pow(int(BASE), -1, 1 << 64))

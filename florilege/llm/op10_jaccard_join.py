@@ -83,6 +83,13 @@ def alike(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
     return both * t.denominator >= t.numerator * (len(x) + len(y) - both)
 
 
+def _count(sketch: np.ndarray, held: list[np.ndarray]) -> None:
+    """Add the shingles of some sets to the sketch, and forget the sets."""
+    slot, n = np.unique((np.concatenate(held) & core.U(SLOTS - 1)).astype(np.int64), return_counts=True)
+    sketch[slot] += n.astype(np.uint32)
+    held.clear()
+
+
 def _survey(k: int, kind: str):
     """A row per document (size, two codes of its set), and at the end the partition's sketch."""
 
@@ -103,12 +110,11 @@ def _survey(k: int, kind: str):
                 c2.append(set_code(s, 2))
                 held.append(s)
                 if len(held) >= 512:
-                    sketch += np.bincount((np.concatenate(held) & core.U(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    held.clear()
+                    _count(sketch, held)
             size = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(np.array(c2, np.uint64).view(np.int64)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
         if held:
-            sketch += np.bincount((np.concatenate(held) & core.U(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            _count(sketch, held)
         if kinds is not None:
             press = zstandard.ZstdCompressor(level=1)
             blobs = [press.compress(p.tobytes()) for p in np.split(sketch, PARTS)]

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ LIMIT = 2048
 END_ID = 0
 SALTS = 256
 PART = 1 << 21  # bytes of text parted into words at once
-KNOWN = 1_200_000  # words whose ids a worker remembers
+KNOWN = 1_500_000  # words whose ids a worker remembers
 _GAPS = bytes(0x20 if c in (0x09, 0x0A, 0x0D) else c for c in range(256))
 
 
@@ -176,13 +177,18 @@ class WordIds:
         self.words.update(zip(words, map(flat.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One memory of words per worker process and tokenizer, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(path))
+
+
 def _pieces(tokenizer: str, limit: int, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        ids_of = WordIds(model)
+        ids_of = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             raw, off = core.utf8(b.column(1))

@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose word-shingle sets are alike, and the components they form.
 
 Method: T-occurrence search as in DivideSkip. Two sets with Jaccard >= t share at least
-T = ceil(t |x|) shingles, so any partner of x stands in at least one of its |x| - T + 1 shortest
+T = ceil(t |x|) shingles, so any partner of x stands in at least four of its |x| - T + 4 shortest
 inverted lists: those short lists are merged for candidates, the other lists, the longest, are only
-probed by binary search for a candidate at hand. Which lists are long is known from a counting
+probed by binary search for a candidate at hand. (Sets too small to be alike to a different set are
+in no list.) Which lists are long is known from a counting
 sketch of fixed size over all shingles of all documents, so a passage shared by a third of the
 corpus is among the lists that are probed, never merged.
 
@@ -43,7 +44,8 @@ NEAR = 2  # neighbours tested first
 LIGHT = 200_000  # pairs that are broadcast rather than joined by a shuffle of texts
 CROWD = 256  # a list with more members still apart is searched block by block
 BLOCK = 256  # sets of a block
-ROUNDS = 3  # of tests between components of a list before all that are still apart are paired
+SHARED = 4  # short lists in which partners must meet
+ROUNDS = 1  # of tests between components of a list before all that are still apart are paired
 
 
 def shingles(codes: np.ndarray, k: int) -> np.ndarray:
@@ -71,6 +73,16 @@ def required(t: Fraction, n: int) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
+def smallest(t: Fraction) -> int:
+    """The least size of a set that can be alike to a different one: t / (1 - t)."""
+    return -(-t.numerator // (t.denominator - t.numerator)) if t < 1 else 1 << 62
+
+
+def meetings(t: Fraction) -> int:
+    """In how many short lists partners meet at least (T of the search): ``SHARED``, or all they share if that is less."""
+    return min(SHARED, required(t, smallest(t)))
+
+
 def alike(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
     """Jaccard >= t, by probing the longer sorted set for the shorter one's shingles."""
     if len(x) > len(y):
@@ -170,12 +182,12 @@ def _short_lists(k: int, t: Fraction, levels):
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(c, np.uint64), size).view(np.int64)), pa.array(np.repeat(np.array(n, np.int32), size)), pa.array(np.concatenate(pos).astype(np.int32))], ["token", "c", "n", "pos"])
 
             for s in sets(raw, off, k):
-                if not len(s) or (code := set_code(s, 1)) in seen:
+                if len(s) < smallest(t) or (code := set_code(s, 1)) in seen:
                     continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(code)
-                p = len(s) - required(t, len(s)) + 1
+                p = len(s) - required(t, len(s)) + meetings(t)
                 token.append(ordered(s, level)[:p])
                 c.append(code)
                 n.append(len(s))
@@ -190,9 +202,9 @@ def _short_lists(k: int, t: Fraction, levels):
 
 
 def _possible(t: Fraction, nx, ny, px, py):
-    """Whether sets of nx and ny shingles that first meet at places px and py of their order can be alike."""
+    """Whether sets of nx and ny shingles can be alike, where one of their first meetings is at places px and py of their order."""
     need = (nx + ny) * t.numerator // (t.numerator + t.denominator)  # rounded down: never too strict
-    return (np.minimum(nx, ny) * t.denominator >= np.maximum(nx, ny) * t.numerator) & (np.minimum(nx - px, ny - py) >= need)
+    return (np.minimum(nx, ny) * t.denominator >= np.maximum(nx, ny) * t.numerator) & (np.minimum(nx - px, ny - py) + meetings(t) - 1 >= need)
 
 
 def _neighbours(t: Fraction, near: int):
@@ -216,10 +228,10 @@ def _neighbours(t: Fraction, near: int):
                 z.append(np.maximum(c[i], c[i + d]))
             tail = [v[-near:] for v in x]
             if a and sum(map(len, a)):
-                pair = np.unique(np.stack([np.concatenate(a), np.concatenate(z)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+                pair, times = np.unique(np.stack([np.concatenate(a), np.concatenate(z)], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(times)], ["a", "b", "times"])
 
-    return run, "a long, b long"
+    return run, "a long, b long, times long"
 
 
 def _verify(k: int, t: Fraction):
@@ -321,7 +333,8 @@ def _crowds(crowd: DataFrame, labels: DataFrame, texts: DataFrame, k: int, t: Fr
 
 def _open(lists: DataFrame, group: DataFrame) -> DataFrame:
     """Lists with members of more than one component, each with its component ``l``."""
-    known = lists.join(group.select(F.col("v").alias("c"), "l"), "c", "left").withColumn("l", F.coalesce("l", "c"))
+    labels = group.select(F.col("v").alias("c"), "l")
+    known = lists.join(F.broadcast(labels) if labels.count() <= LIGHT else labels, "c", "left").withColumn("l", F.coalesce("l", "c"))
     token = W.partitionBy("token")
     apart = known.withColumns({"_a": F.min("l").over(token), "_b": F.max("l").over(token)}).where("_a <> _b")
     return stage(apart.select("token", "c", "n", "pos", "l"), "jaccard-open")
@@ -345,7 +358,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         core.squeezed(base).dropDuplicates(["_id", "_h"]).alias("d").join(wanted.alias("w"), F.col("d._id").eqNullSafe(F.col("w._i")) & (F.col("d._h") == F.col("w._g"))).select("w.c", "d._z"),
         "jaccard-texts",
     )
-    first = stage(lists.repartition("token").sortWithinPartitions("token", "n", "c").select("token", "c", "n", "pos").mapInArrow(*_neighbours(threshold, NEAR)).distinct(), "jaccard-first")
+    first = stage(lists.repartition("token").sortWithinPartitions("token", "n", "c").select("token", "c", "n", "pos").mapInArrow(*_neighbours(threshold, NEAR)).groupBy("a", "b").agg(F.sum("times").alias("times")).where("times > 1").select("a", "b"), "jaccard-first")
     links = _linked(first, texts, words, threshold, "jaccard-links")
     group = components(links)
     tested = first
@@ -354,7 +367,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # one member of each component of a list meets one of the next, in another order in every list and round
         one = open_.groupBy("token", "l").agg(F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("h"), "c", "n", "pos")).alias("m"))
         one = one.select("token", "m.c", "m.n", "m.pos", F.xxhash64("l", "token", F.lit(r)).alias("o")).repartition("token").sortWithinPartitions("token", "o", "c").drop("o")
-        pairs = stage(one.mapInArrow(*_neighbours(threshold, 1)).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-round")
+        pairs = stage(one.mapInArrow(*_neighbours(threshold, 1)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-round")
         if not pairs.limit(1).count():
             break
         tested = tested.unionByName(pairs)
@@ -384,9 +397,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             (F.col("x.token") == F.col("y.token")) & (F.col("x.l") != F.col("y.l")) & ~F.coalesce(F.col("x.crowd") == F.col("y.crowd"), F.lit(False))
             & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.c") < F.col("y.c"))))
             & (F.col("x.n") * den >= F.col("y.n") * num)
-            & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= F.floor((F.col("x.n") + F.col("y.n")) * num / (num + den))),
+            & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + (meetings(threshold) - 1) >= F.floor((F.col("x.n") + F.col("y.n")) * num / (num + den))),
         )
-        .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+        .groupBy(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= meetings(threshold)).select("a", "b")
     )
     apart = apart.join(tested, ["a", "b"], "left_anti")
     rest = _linked(stage(apart, "jaccard-apart"), texts, words, threshold, "jaccard-rest")

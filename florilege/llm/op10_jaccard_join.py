@@ -355,7 +355,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rep = nodes.where("n > 0").groupBy("c").agg(F.min(F.struct("_id", "_h")).alias("r"))
     wanted = lists.select("c").distinct().join(rep, "c").select("c", F.col("r._id").alias("_i"), F.col("r._h").alias("_g"))
     texts = stage(
-        core.squeezed(base).dropDuplicates(["_id", "_h"]).alias("d").join(wanted.alias("w"), F.col("d._id").eqNullSafe(F.col("w._i")) & (F.col("d._h") == F.col("w._g"))).select("w.c", "d._z"),
+        core.squeezed(base).alias("d").join(wanted.alias("w"), F.col("d._id").eqNullSafe(F.col("w._i")) & (F.col("d._h") == F.col("w._g"))).select("w.c", "d._z").dropDuplicates(["c"]),
         "jaccard-texts",
     )
     first = stage(lists.repartition("token").sortWithinPartitions("token", "n", "c").select("token", "c", "n", "pos").mapInArrow(*_neighbours(threshold, NEAR)).groupBy("a", "b").agg(F.sum("times").alias("times")).where("times > 1").select("a", "b"), "jaccard-first")
@@ -376,7 +376,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         links = links.unionByName(more)
         group = components(links)
-        open_ = _open(lists, group)
+        open_ = _open(open_.drop("l"), group)
     # lists that are still long: their sets are searched in blocks, each set against all others of its crowd
     size = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("hub"))
     crowded = stage(open_.join(size.where(F.col("m") > CROWD), "token").select("hub", "c", "l").distinct(), "jaccard-crowded")
@@ -385,10 +385,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = _crowds(crowd, crowded.select("c", "l").distinct(), texts, words, threshold)
         links = stage(links.unionByName(more), "jaccard-links")
         group = components(links)
-        open_ = _open(lists, group)
+        open_ = _open(open_.drop("l"), group)
     # every pair of a list whose sets are still apart and haven't met in a crowd: lists of CROWD sets at most, or of
     # several crowds and others
-    open_ = stage(open_.join(crowd, "c", "left"), "jaccard-rest-lists")
+    open_ = stage(open_.join(F.broadcast(crowd) if crowd.count() <= LIGHT else crowd, "c", "left"), "jaccard-rest-lists")
     x, y = open_.alias("x"), open_.alias("y")
     num, den = threshold.numerator, threshold.denominator
     apart = (

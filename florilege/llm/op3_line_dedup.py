@@ -5,9 +5,9 @@ document holding a line is the line's owner; a document's rare lines lead to its
 that most of them lead to is compared line by line. Matched lines of a pair are put in order by patience
 diff (the longest increasing run of positions; the k-th copy of a line in one text matches the k-th
 in the other, so every line is unique). Stretches of matched lines adjacent in both texts are common
-blocks. A block is deleted from the later document if it holds a rare line or at least
-``least_lines`` lines; a single line that is common all over the corpus is no evidence of overlap
-and stays. Each line meets its owner only, never all its other holders, so the work is linear in lines.
+blocks. A block is deleted from the later document if it holds at least ``least_lines`` lines, a line of at
+least ``long_words`` words (in however many documents), or a rare line; a short single line that is common all
+over the corpus is no evidence of overlap and stays. Each line meets its owner only, never all its other holders, so the work is linear in lines.
 
 Lines are compared without white space at their ends; blank lines match nothing and don't part a
 block. Rare: in at most ``rare`` documents and of at least ``least_words`` words. A document all of whose
@@ -35,6 +35,7 @@ from florilege.session import stage
 RARE = 50
 LEAST_WORDS = 5
 LEAST_LINES = 2
+LONG_WORDS = 7
 
 
 def split_lines(text: bytes) -> list[bytes]:
@@ -107,8 +108,8 @@ def patience(pairs: list[tuple[int, int]]) -> list[int]:
 
 
 def deleted(matches: dict, inked: list[int], least_lines: int) -> set[int]:
-    """Positions to delete: ``matches`` holds for each earlier document (position, its position, rare) of
-    matched lines, positions counted over non-blank lines on both sides; ``inked`` maps back."""
+    """Positions to delete: ``matches`` holds for each earlier document (position, its position, whether the line
+    is evidence by itself) of matched lines, positions counted over non-blank lines on both sides; ``inked`` maps back."""
     gone: set[int] = set()
     for rows in matches.values():
         rows = sorted(set(rows))
@@ -124,30 +125,30 @@ def deleted(matches: dict, inked: list[int], least_lines: int) -> set[int]:
     return gone
 
 
-def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Matched lines of each document: ``_id, _h, matches`` array of (pos, oid, oh, opos, rare); positions count
-    non-blank lines."""
+def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """Matched lines of each document: ``_id, _h, matches`` array of (pos, oid, oh, opos, alone); positions count
+    non-blank lines, ``alone`` lines are evidence by themselves: rare or long."""
     base = core.documents(docs, id_col, text_col)
     rows = base.select("_id", "_t", "_h").mapInArrow(*_lines(core.id_type(base)))
     rows = stage(rows.dropDuplicates(["_id", "_h", "pos"]).withColumn("pos", (F.row_number().over(W.partitionBy("_id", "_h").orderBy("pos")) - 1).cast("int")), "lines")
     # the owner of each line; counting and choosing are map-side, so a line of a third of all texts is as cheap as any
     owner = stage(rows.groupBy("code", "k").agg(F.min(F.struct("_id", "_h", "pos")).alias("o"), F.count(F.lit(1)).alias("df")).where("df > 1"), "line-owners")
-    met = rows.alias("r").join(owner.alias("w"), ["code", "k"]).select("code", "k", "r._id", "r._h", "r.pos", F.col("o._id").alias("oid"), F.col("o._h").alias("oh"), F.col("o.pos").alias("opos"), ((F.col("df") <= rare) & (F.col("words") >= least_words)).alias("rare"))
-    met = stage(met.where(~(F.col("_id").eqNullSafe(F.col("oid")) & (F.col("_h") == F.col("oh")))), "line-matches")
+    met = rows.alias("r").join(owner.alias("w"), ["code", "k"]).select("code", "k", "r._id", "r._h", "r.pos", F.col("o._id").alias("oid"), F.col("o._h").alias("oh"), F.col("o.pos").alias("opos"), ((F.col("df") <= rare) & (F.col("words") >= least_words)).alias("rare"), (F.col("words") >= long_words).alias("long"))
+    met = stage(met.withColumn("alone", F.col("rare") | F.col("long")).drop("long").where(~(F.col("_id").eqNullSafe(F.col("oid")) & (F.col("_h") == F.col("oh")))), "line-matches")
     # the earlier document most of a text's lines lead to, rare ones first: its other lines are looked up, too
     votes = met.groupBy("_id", "_h", "oid", "oh").agg(F.sum(F.col("rare").cast("long")).alias("v"), F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("_id", "_h").agg(F.max(F.struct(F.col("v"), F.col("n"), F.struct(F.col("oid"), F.col("oh")).alias("o"))).alias("b")).select("_id", "_h", "b.o.oid", "b.o.oh")
     best = stage(best, "line-partners")
-    asked = met.alias("m").join(best.alias("b"), F.col("m._id").eqNullSafe(F.col("b._id")) & (F.col("m._h") == F.col("b._h"))).where(~(F.col("m.oid").eqNullSafe(F.col("b.oid")) & (F.col("m.oh") == F.col("b.oh")))).select("m._id", "m._h", "m.pos", "m.code", "m.k", "m.rare", F.col("b.oid").alias("oid"), F.col("b.oh").alias("oh"))
+    asked = met.alias("m").join(best.alias("b"), F.col("m._id").eqNullSafe(F.col("b._id")) & (F.col("m._h") == F.col("b._h"))).where(~(F.col("m.oid").eqNullSafe(F.col("b.oid")) & (F.col("m.oh") == F.col("b.oh")))).select("m._id", "m._h", "m.pos", "m.code", "m.k", "m.alone", F.col("b.oid").alias("oid"), F.col("b.oh").alias("oh"))
     asked = stage(asked, "line-lookups")
-    more = asked.alias("a").join(rows.alias("r"), F.col("a.oid").eqNullSafe(F.col("r._id")) & (F.col("a.oh") == F.col("r._h")) & (F.col("a.code") == F.col("r.code")) & (F.col("a.k") == F.col("r.k"))).select("a._id", "a._h", "a.pos", "a.oid", "a.oh", F.col("r.pos").alias("opos"), "a.rare")
-    both = met.select("_id", "_h", "pos", "oid", "oh", "opos", "rare").unionByName(more)
-    return both.groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "oid", "oh", "opos", "rare")).alias("matches"))
+    more = asked.alias("a").join(rows.alias("r"), F.col("a.oid").eqNullSafe(F.col("r._id")) & (F.col("a.oh") == F.col("r._h")) & (F.col("a.code") == F.col("r.code")) & (F.col("a.k") == F.col("r.k"))).select("a._id", "a._h", "a.pos", "a.oid", "a.oh", F.col("r.pos").alias("opos"), "a.alone")
+    both = met.select("_id", "_h", "pos", "oid", "oh", "opos", "alone").unionByName(more)
+    return both.groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "oid", "oh", "opos", "alone")).alias("matches"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with common blocks deleted from ``text_col``; ``_lines`` and ``_deleted`` count non-blank lines."""
-    found = alignments(docs, id_col, text_col, rare, least_words)
+    found = alignments(docs, id_col, text_col, rare, least_words, long_words)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     text = F.col(f"`{text_col}`").cast("string")
     packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`") for c in rest)).alias("_rest"))
@@ -176,7 +177,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lines.append(len(inked))
                 found: dict = {}
                 for m in b.column(3)[i].as_py() or []:
-                    found.setdefault((m["oid"], m["oh"]), []).append((m["pos"], m["opos"], m["rare"]))
+                    found.setdefault((m["oid"], m["oh"]), []).append((m["pos"], m["opos"], m["alone"]))
                 cut = deleted(found, inked, least_lines)
                 gone.append(len(cut))
                 if cut:

@@ -110,6 +110,14 @@ def test_common_single_line_stays(spark):
     assert sum(r._deleted for r in op3.line_dedup(table(spark, rows[:10])).collect()) == 9
 
 
+def test_long_single_line_goes_from_any_number(spark):
+    line = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, f"own {i} before\n{line}\nown {i} after") for i in range(60)]
+    for part in (rows, rows[:10]):
+        got = {r.doc_id: r.text for r in op3.line_dedup(table(spark, part)).collect()}
+        assert got == {i: t if i == 0 else f"own {i} before\nown {i} after" for i, t in part}
+
+
 def hits(text, items, window=10):
     import re
 

@@ -2,12 +2,15 @@
 
 Method: a document is aligned with earlier documents (smaller id) that share its lines. The first
 document holding a line is the line's owner; a document's rare lines lead to its owners, and the owner
-that most of them lead to is compared line by line. Matched lines of a pair are put in order by patience
+that most of them lead to is compared line by line. Two lines in a row are looked up like a line, too:
+the first document that has them in a row is compared there, so a common block of two lines or more is met
+whole even if its lines were first seen in different documents. Matched lines of a pair are put in order by patience
 diff (the longest increasing run of positions; the k-th copy of a line in one text matches the k-th
 in the other, so every line is unique). Stretches of matched lines adjacent in both texts are common
 blocks. A block is deleted from the later document if it holds at least ``least_lines`` lines, a line of at
 least ``long_words`` words (in however many documents), or a rare line; a short single line that is common all
-over the corpus is no evidence of overlap and stays. Each line meets its owner only, never all its other holders, so the work is linear in lines.
+over the corpus is no evidence of overlap and stays. Each line and each two lines in a row
+meet their owner only, never all other holders, so the work is linear in lines.
 
 Lines are compared without white space at their ends; blank lines match nothing and don't part a
 block. Rare: in at most ``rare`` documents and of at least ``least_words`` words. A document all of whose
@@ -42,8 +45,20 @@ def split_lines(text: bytes) -> list[bytes]:
     return text.split(b"\n")
 
 
+def copies(doc: np.ndarray, code: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """How many equal codes precede each one in its text."""
+    order = np.lexsort((pos, code, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (code[order][1:] != code[order][:-1])
+    start = np.flatnonzero(new)
+    k = np.empty(len(order), np.int64)
+    k[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return k
+
+
 def line_rows(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Non-blank lines of each text: doc, pos, code of the stripped line, how many equal ones precede it in its text, words."""
+    """Non-blank lines of each text: doc, pos, code of the stripped line, how many equal ones precede it in its text,
+    words; code and copies of the two lines in a row that begin there (``last``: none do)."""
     size = np.diff(off)
     joint = np.full(int(size.sum()) + len(size), 0x0A, np.uint8)
     end = np.cumsum(size + 1) - 1
@@ -61,13 +76,12 @@ def line_rows(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     doc, pos, a, b = doc[full], pos[full], a[full], b[full]
     lo, hi = ws[a], we[b - 1]
     code = core.mix(core.between(core.prefix(core.BYTE_CODE[joint]), lo, hi) ^ core.mix((hi - lo).astype(np.uint64)))
-    order = np.lexsort((pos, code, doc))
-    new = np.ones(len(order), bool)
-    new[1:] = (doc[order][1:] != doc[order][:-1]) | (code[order][1:] != code[order][:-1])
-    start = np.flatnonzero(new)
-    k = np.empty(len(order), np.int64)
-    k[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    return {"doc": doc, "pos": pos, "code": code, "k": k, "words": b - a}
+    last = np.ones(len(doc), bool)
+    last[:-1] = doc[1:] != doc[:-1]
+    two = core.mix(code * core.BASE + np.append(code[1:], core.U(0)))[~last]
+    pair, pk = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.int64)
+    pair[~last], pk[~last] = two, copies(doc[~last], two, pos[~last])
+    return {"doc": doc, "pos": pos, "code": code, "k": copies(doc, code, pos), "words": b - a, "pair": pair, "pk": pk, "last": last}
 
 
 def _lines(kind: str):
@@ -79,10 +93,10 @@ def _lines(kind: str):
                 to = max(at + 1, int(np.searchsorted(off, off[at] + core.BLOCK, "right")) - 1)
                 r = line_rows(raw, off[at : to + 1])
                 who = pa.array(r["doc"] + at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), pa.array(r["pos"].astype(np.int32)), pa.array(r["code"].view(np.int64)), pa.array(r["k"].astype(np.int32)), pa.array(r["words"].astype(np.int32))], ["_id", "_h", "pos", "code", "k", "words"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), pa.array(r["pos"].astype(np.int32)), pa.array(r["code"].view(np.int64)), pa.array(r["k"].astype(np.int32)), pa.array(r["words"].astype(np.int32)), pa.array(r["pair"].view(np.int64), mask=r["last"]), pa.array(r["pk"].astype(np.int32))], ["_id", "_h", "pos", "code", "k", "words", "pair", "pk"])
                 at = to
 
-    return run, f"_id {kind}, _h long, pos int, code long, k int, words int"
+    return run, f"_id {kind}, _h long, pos int, code long, k int, words int, pair long, pk int"
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[int]:
@@ -112,7 +126,10 @@ def deleted(matches: dict, inked: list[int], least_lines: int) -> set[int]:
     is evidence by itself) of matched lines, positions counted over non-blank lines on both sides; ``inked`` maps back."""
     gone: set[int] = set()
     for rows in matches.values():
-        rows = sorted(set(rows))
+        alone: dict[tuple[int, int], bool] = {}
+        for a, b, x in rows:
+            alone[a, b] = alone.get((a, b), False) or x
+        rows = [(a, b, alone[a, b]) for a, b in sorted(alone, key=lambda x: (x[0], -x[1]))]  # so a line is taken once
         keep = [rows[i] for i in patience([(a, b) for a, b, _ in rows])]
         block: list[tuple[int, int, bool]] = []
         for r in [*keep, None]:
@@ -143,6 +160,13 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = stage(asked, "line-lookups")
     more = asked.alias("a").join(rows.alias("r"), F.col("a.oid").eqNullSafe(F.col("r._id")) & (F.col("a.oh") == F.col("r._h")) & (F.col("a.code") == F.col("r.code")) & (F.col("a.k") == F.col("r.k"))).select("a._id", "a._h", "a.pos", "a.oid", "a.oh", F.col("r.pos").alias("opos"), "a.alone")
     both = met.select("_id", "_h", "pos", "oid", "oh", "opos", "alone").unionByName(more)
+    # the owner of each two lines in a row: it holds them in a row, whatever documents had either line before
+    twos = rows.where("pair IS NOT NULL").select("pair", "pk", "_id", "_h", "pos")
+    first = stage(twos.groupBy("pair", "pk").agg(F.min(F.struct("_id", "_h", "pos")).alias("o"), F.count(F.lit(1)).alias("df")).where("df > 1").select("pair", "pk", "o"), "line-pair-owners")
+    held = twos.alias("r").join(first.alias("w"), ["pair", "pk"]).select("r._id", "r._h", "r.pos", F.col("o._id").alias("oid"), F.col("o._h").alias("oh"), F.col("o.pos").alias("opos"))
+    held = held.where(~(F.col("_id").eqNullSafe(F.col("oid")) & (F.col("_h") == F.col("oh"))))
+    step = F.explode(F.array(F.lit(0), F.lit(1)))
+    both = both.unionByName(held.withColumn("step", step).select("_id", "_h", (F.col("pos") + F.col("step")).alias("pos"), "oid", "oh", (F.col("opos") + F.col("step")).alias("opos"), F.lit(False).alias("alone")))
     return both.groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "oid", "oh", "opos", "alone")).alias("matches"))
 
 

@@ -118,6 +118,20 @@ def test_long_single_line_goes_from_any_number(spark):
         assert got == {i: t if i == 0 else f"own {i} before\nown {i} after" for i, t in part}
 
 
+def test_block_whose_lines_were_first_seen_apart(spark):
+    verse, rare = ["the sea", "was calm", "at night"], [f"rare line number {k} of the first" for k in range(10)]
+    rows = [(1, "\n".join(rare)), *((2 + i, f"x{i}\n{v}\ny{i}") for i, v in enumerate(verse)), (5, "\n".join(["b", *verse, "bb"])), (6, "\n".join([*rare, "d", *verse, "dd"]))]
+    got = {r.doc_id: r.text for r in op3.line_dedup(table(spark, rows)).collect()}
+    assert got == dict(rows) | {6: "d\ndd"}
+
+
+def test_lines_in_a_row_without_their_counts(spark):
+    # the second "a b" of the later document is the first one in a row
+    rows = [(1, "a b\nq\nz"), (2, "c d\nr"), (3, "a b\nc d\ns"), (4, "a b\nt\na b\nc d\nu")]
+    got = {r.doc_id: r.text for r in op3.line_dedup(table(spark, rows)).collect()}
+    assert got == dict(rows) | {4: "a b\nt\nu"}
+
+
 def hits(text, items, window=10):
     import re
 

@@ -7,6 +7,8 @@ again as the next stage's docs. All but the last return the columns of ``documen
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from florilege.session import stage
 
 
 FEW = 500_000  # documents that are broadcast rather than joined by a shuffle of texts
+NEAR_WORDS = 5  # words of a shingle, and the similarity, of near copies
+NEAR = Fraction(4, 5)
 
 
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -37,9 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest id; rows that repeat it go, too. A document
-    without words is in no group and stays."""
-    group = stage(op10_jaccard_join.jaccard_components(docs).withColumnRenamed("doc_id", "_i"), "near-duplicates")
-    first = group.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("_i", "_h")).alias("m")).select(F.col("m._i").alias("_a"), F.col("m._h").alias("_b"))
+    without words is in no group and stays. Near: five-word shingles, similarity 0.8 or more."""
+    group = stage(op10_jaccard_join.jaccard_components(docs, words=NEAR_WORDS, threshold=NEAR).withColumnRenamed("doc_id", "_i"), "near-duplicates")
+    first = group.where("n_shingles > 0").groupBy("_l").agg(F.min(F.struct("_i", "_h")).alias("m")).select(F.col("m._i").alias("_a"), F.col("m._h").alias("_b"))
     each = group.groupBy("_i", "_h").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
     stays = first.withColumn("stays", F.lit(True))
     fate = each.join(stays, F.col("_i").eqNullSafe(F.col("_a")) & (F.col("_h") == F.col("_b")), "left").withColumn("stays", F.coalesce("stays", F.col("n") == 0))

@@ -341,7 +341,8 @@ def _open(lists: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """One row per document: ``id_col, _h`` (the text's hash), ``n_shingles``, ``component_id`` (smallest id reachable)."""
+    """One row per document: ``id_col, _h`` (the text's hash), ``n_shingles``, ``component_id`` (smallest id reachable),
+    ``_l`` (the component's own label, null without words; components of null ids only differ in nothing else)."""
     base = core.documents(docs, id_col, text_col)
     kind = core.id_type(base)
     survey = stage(base.select("_id", "_t", "_h").mapInArrow(*_survey(words, kind)), "jaccard-sets")
@@ -408,8 +409,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = nodes.where("n > 0").join(group.select(F.col("v").alias("c"), "l"), "c", "left").select("_id", "_h", "n", F.coalesce("l", "c").alias("l"))
     placed = stage(placed, "jaccard-placed")
     least = stage(placed.groupBy("l").agg(F.min("_id").alias("component_id")), "jaccard-least")
-    out = placed.join(least, "l").select("_id", "_h", F.col("n").alias("n_shingles"), "component_id")
-    empty = nodes.where("n = 0").select("_id", "_h", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
+    out = placed.join(least, "l").select("_id", "_h", F.col("n").alias("n_shingles"), "component_id", F.col("l").alias("_l"))
+    empty = nodes.where("n = 0").select("_id", "_h", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(None).cast("long").alias("_l"))
     return out.unionByName(empty).withColumnRenamed("_id", id_col)
 
 

@@ -214,3 +214,22 @@ def test_near_duplicates_keep_one_of_each(spark):
         ids = [(i, t) for i, t in rows if group[i] == (group[i][0], c) and group[i][0]]
         want.add(min(ids, key=lambda x: (x[0] is not None, x[0] or 0)))
     assert got == sorted(want, key=str)
+
+
+def test_near_duplicates_of_five_words(spark):
+    import corpus_pipeline
+
+    base = [f"t{k}" for k in range(1000)]
+    far = list(base)
+    for k in range(20, 1000, 45):  # 22 scattered changes: similarity 0.80 of five words, below 0.85 of four
+        far[k] = f"z{k}"
+    rows = [(1, " ".join(base)), (2, " ".join(far)), (3, sentence(3, 60))]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()} == {1, 3}
+
+
+def test_near_duplicates_keep_unlike_null_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, sentence(1, 60)), (None, sentence(2, 60)), (None, sentence(2, 60) + " tail"), (None, None), (4, sentence(3, 60))]
+    got = [r.text for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()]
+    assert len(got) == 4 and {sentence(1, 60), sentence(3, 60), None} < set(got)

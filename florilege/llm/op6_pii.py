@@ -3,7 +3,8 @@
 Method: a CRF over word-shape features with the labels O and B/I of each kind, trained by gradient steps
 on the small labelled table below and decoded by Viterbi, many sequences at once in numpy. Its
 sequences are the stretches of a text near a word with a digit, an @ or a spelt-out "at"/"dot" (two
-words either side); the whole text is searched for them. What it finds must also be well formed for
+words either side, five before a "dot", so that "ann at example dot com" is in one); the whole text is
+searched for them. Long stretches are decoded in overlapping parts. What it finds must also be well formed for
 its kind, and doesn't replace or overlap what the patterns found.
 
 Edge cases: null and empty texts have no spans; offsets are code points, end excluded; repeated rows and
@@ -280,21 +281,30 @@ def trained(rows: int = 600, rounds: int = 120, seed: int = 5) -> Crf:
 
 _TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|\bdot\b", re.I)
 _WORD = re.compile(r"[^\s]+")
+_DOT = re.compile(r"[(\[]dot[)\]]|\bdot\b", re.I)
 REACH = 2
-LONGEST = 64  # words of one sequence; longer stretches (number tables) continue in the next
+BEFORE_DOT = 5  # local part, "at" and host, and the two words before them
+LONGEST = 128  # words of one sequence; longer stretches (number tables) continue in the next
+MARGIN = 20  # a sequence begins so many words before the last one's spans end to count; a card in single digits has 19
 
 
-def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Word ranges near triggers, as sequences."""
+def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """Word ranges near triggers, as sequences, and from which to which word (excluded) of it spans may begin."""
     if not _TRIGGER.search(text):
         return
     words = [m.span() for m in _WORD.finditer(text)]
     hot = np.fromiter((bool(_TRIGGER.search(text, a, b)) for a, b in words), bool, len(words))
     near = np.convolve(hot, np.ones(2 * REACH + 1), "full")[REACH : REACH + len(words)] > 0 if len(words) else hot
+    if _DOT.search(text):
+        for i in [i for i in np.flatnonzero(hot).tolist() if _DOT.search(text, *words[i])]:
+            near[max(0, i - BEFORE_DOT) : i] = True
     edge = np.flatnonzero(np.diff(np.concatenate(([0], near.astype(np.int8), [0]))))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        for k in range(a, b, LONGEST):
-            yield words[k : min(b, k + LONGEST)]
+        k, lo = a, 0
+        while b - k > LONGEST:
+            yield words[k : k + LONGEST], lo, LONGEST - MARGIN
+            k, lo = k + LONGEST - 2 * MARGIN, MARGIN
+        yield words[k:b], lo, b - k
 
 
 def well_formed(kind: int, s: str) -> bool:
@@ -310,14 +320,14 @@ def well_formed(kind: int, s: str) -> bool:
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model: Crf, batch: int = 256) -> list[list[tuple[int, int, int]]]:
     """What the model finds beyond the base spans of each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    held: list[tuple[int, list[tuple[int, int]]]] = []
+    held: list[tuple[int, list[tuple[int, int]], int, int]] = []
 
     def settle() -> None:
         rows = []
-        for i, seq in held:
+        for i, seq, _, _ in held:
             words = [texts[i][a:b] for a, b in seq]
             rows.append([features(words, t) for t in range(len(words))])
-        for (i, seq), path in zip(held, model.viterbi(rows), strict=True):
+        for (i, seq, lo, hi), path in zip(held, model.viterbi(rows), strict=True):
             t = 0
             while t < len(path):
                 label = LABELS[path[t]]
@@ -331,14 +341,14 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model:
                     while a < b and texts[i][a] in _EDGE:
                         a += 1
                     kind = KINDS.index(label[2:])
-                    if well_formed(kind, texts[i][a:b]) and all(b <= x or y <= a for x, _, y in base[i]):
+                    if lo <= t < hi and (not out[i] or out[i][-1][2] <= a) and well_formed(kind, texts[i][a:b]) and all(b <= x or y <= a for x, _, y in base[i]):
                         out[i].append((a, kind, b))
                 t = u
         held.clear()
 
     for i, text in enumerate(texts):
-        for seq in stretches(text):
-            held.append((i, seq))
+        for seq, lo, hi in stretches(text):
+            held.append((i, seq, lo, hi))
             if len(held) == batch:
                 settle()
     settle()

@@ -102,6 +102,23 @@ def test_pii(spark):
     assert op6.find(empty(spark)).count() == 0
 
 
+def added(text):
+    return [(k, text[a:b]) for a, k, b in op6.added_spans([text], [op6.base_spans(text)], op6.trained())[0]]
+
+
+def test_spelt_out_address_without_digits():
+    for text in ("write to ann at example dot com", "please write to ann at example dot com for details", "ann at example dot com", "words before ann (at) example (dot) org words after"):
+        assert [k for k, _ in added(text)] == [0], text
+    assert added("write to ann at example dot com") == [(0, "ann at example dot com")]
+    assert added("he was at home and a dot on the map") == []
+
+
+def test_spans_across_parts_of_a_long_stretch():
+    for n in range(20, 140, 3):  # wherever a part ends
+        text = " ".join(["12 of"] * n + ["call", "044", "123", "45", "67", "before", "noon"] + ["12 of"] * 60)
+        assert added(text) == [(3, "044 123 45 67")], n
+
+
 def test_quality_counts(spark):
     rows = [(1, "a b c a b c\nx|y\n\nx|y"), (2, None), (3, ""), (4, "é é é é"), (5, "one"), (5, "one"), (None, "A# b"), (6, sentence(1, 20000))]
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines) for r in op7.statistics(table(spark, rows)).collect()}

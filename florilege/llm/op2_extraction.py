@@ -67,7 +67,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         if line:
             lines.append(line)
             weights.append(0 if aside else max(0, len(line) - linked))
-            inside.append(article > 0)
+            inside.append(article > 0 and not aside)
         linked = 0
 
     def close(i: int) -> None:
@@ -136,6 +136,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     art = np.array(inside)
     if (w[art] > 0).any():
         w[~art] = 0
+        w[art] = np.maximum(w[art], 1)  # linked lines of the article are text of it, too
         surge = 1
     return "\n".join("\n".join(lines[a:b]) for a, b in regions(w, surge, window))
 

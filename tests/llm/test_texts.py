@@ -102,6 +102,11 @@ def test_pii(spark):
     assert op6.find(empty(spark)).count() == 0
 
 
+def test_linked_lines_of_an_article_stay():
+    page = "<body><p><a href='/'>Home of the site</a></p><article><h1><a href='/x'>A linked headline</a></h1><p>Some text.</p><nav><a href='/n'>Next</a></nav><p><a href='/y'>A linked paragraph of the article</a></p></article></body>"
+    assert op2.main_text(page) == "A linked headline\nSome text.\nA linked paragraph of the article"
+
+
 def added(text):
     return [(k, text[a:b]) for a, k, b in op6.added_spans([text], [op6.base_spans(text)], op6.trained())[0]]
 

@@ -176,6 +176,15 @@ def test_toxicity(spark):
     assert op9.score(empty(spark), model).count() == 0
 
 
+def test_toxic_word_weighs_once():
+    # "vile" is toxic only; what follows it is as usual after it, so the pair adds nothing to the second word
+    words = {"code": np.array([1, 2], np.uint64), "n0": np.array([0, 1000]), "n1": np.array([600, 1000]), "k0": np.array([0, 500]), "k1": np.array([500, 500])}
+    pairs = {"a": np.array([1], np.uint64), "b": np.array([2], np.uint64), "n0": np.array([0]), "n1": np.array([60])}
+    m = op9.estimate(words, pairs, {"k0": 10_000, "k1": 10_000, "n0": 20_000, "n1": 20_000}, 2.0, 0.2, True)
+    assert m.gain[0] > 1 and len(m.pair) == 1
+    assert abs(m.pair_gain[0] - m.gain[1]) < 0.1
+
+
 def test_pipeline(spark, tmp_path):
     """The stages over a small folder, against what each must do."""
     import corpus_pipeline

@@ -158,7 +158,7 @@ def normalize_text(spark, sf):
     return documents(spark, sf).select("seq", text.normalize("text").alias("text"))
 
 
-#: the entities that occur in the driver's pages
+#: the entities that occur in the driver's pages; the SQL has no others
 _ENTITIES = {"&amp;": "&", "&copy;": "©", "&middot;": "·", "&quot;": '"'}
 
 
@@ -170,7 +170,7 @@ def _decoded(c: str) -> str:
 
 @query(f"SELECT page_id, {_normal(_decoded('html'))} AS text FROM pages")
 def normalize_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.normalize_plain("html", _ENTITIES).alias("text"))
+    return table(spark, sf, "pages").select("page_id", text.normalize("html").alias("text"))
 
 
 

@@ -2,16 +2,17 @@
 
 Method: longest-previous-factor arrays. A suffix array of the whole corpus can't be built in
 one place, so candidates are first brought together: each 200-byte window belongs to an anchor
-inside it, and only runs of windows whose anchor recurs go on (``repeats``). Runs of equal content
-are settled there. What remains - the rims of repeated passages - is cut out with its surroundings,
-grouped by anchor, and suffix-sorted in batches of a few MB; previous and next smaller positions in
-suffix order give each position's longest earlier match (and, mirrored, longest later match).
-An anchor with more than ``HOT`` distinct contents isn't put into one task: its windows are
-hashed and counted by Spark, which spreads them.
+inside it, and only runs of windows whose anchor recurs go on (``repeats``). Of runs with equal content one
+goes on for all. These are cut out with their surroundings, grouped by anchor and suffix-sorted in batches of a few
+hundred KB; previous and next smaller positions in suffix order give each position's longest earlier
+match. A start with an earlier match of ``length`` bytes is a later copy, the match's source the copy before it.
+An anchor with many contents is dealt to groups of about ``PART`` of them, so no task gets it whole; what has no
+earlier match in its group goes on as one hash per distinct window, counted across the groups by Spark.
 
 Edge cases: a null or empty text and one shorter than ``length`` bytes keep everything (n_spans 0);
-repeated rows are copies of each other and lose every covered byte; bytes are counted on UTF-8.
-Null ids are kept. An empty table gives an empty result.
+repeated rows are copies of each other and lose every covered byte (ties have no order here); bytes are counted on UTF-8;
+a very long text is cut into overlapping blocks. Null ids are kept. An empty table gives an empty result. Other columns,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 
 from florilege.llm import core, repeats
 from florilege.llm.suffix import previous_factor
+from florilege.session import stage
 
 LENGTH = 200
 GRAM = 96  # anchor size: long enough that common short lines don't become anchors
-HOT = 4096
-BATCH = 1 << 20  # bytes suffix-sorted at once
+PART = 1024  # contents of one anchor in a task's group
+BATCH = 1 << 18  # bytes suffix-sorted at once
 
 
 def _runs(length: int, gram: int, kind: str):
@@ -70,35 +72,35 @@ def _cut(length: int, kind: str):
     return run, f"_id {kind}, _h long, lo long, n int, rel int, anchor long, kind int, nctx int, bytes binary"
 
 
-def repeated_starts(raw: np.ndarray, off: np.ndarray, n: np.ndarray, length: int, later_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of texts raw[off[i]:off[i+1]]: for text i, which of its first n[i] positions start a string of
-    ``length`` that starts elsewhere too (or, with later_only, earlier too)."""
-    size = np.diff(off)
-    joint = np.empty(len(raw) + len(size), np.uint32)
-    ends = np.cumsum(size + 1) - 1
-    take = np.ones(len(joint), bool)
-    take[ends] = False
-    joint[take] = raw
-    joint[ends] = 256 + np.arange(len(size), dtype=np.uint32)  # separators match nothing
-    lpf, lnf = previous_factor(joint, length)
-    hit = lpf >= length if later_only else (lpf >= length) | (lnf >= length)
-    begin = np.concatenate(([0], ends[:-1] + 1))
-    for i, k in enumerate(n.tolist()):
-        yield i, hit[begin[i] : begin[i] + k]
+def repeated_starts(raw: np.ndarray, off: np.ndarray, length: int, later_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts raw[off[i]:off[i+1]]: at which positions a string of ``length`` starts that starts earlier too (the later
+    copies), and at which one starts that starts elsewhere. An earliest copy is the source of a later one's longest
+    previous factor; with later_only it counts as kept, so both results are the same."""
+    lpf, source = previous_factor(raw, off, length)
+    later = lpf >= length
+    again = later.copy()
+    if not later_only:
+        again[source[later]] = True
+    return later, again
 
 
-def _sorted(length: int, kind: str):
-    """Suffix-sorts batches of runs; a batch ends only between anchors."""
+def _sorted(length: int, part: int, kind: str):
+    """Suffix-sorts batches of runs; a batch ends only between (anchor, part) groups. Spans of starts that
+    recur in the batch have ``ask`` 0. Of an anchor in several parts, one row for each window that has
+    no earlier copy in the batch follows: it may recur in another part (``ask`` 1: it wants to know, 2: it
+    is settled and only counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for b in batches:
-            anchor = b.column(5).to_numpy()
+            if not b.num_rows:
+                continue
+            group = np.stack([b.column(5).to_numpy(), b.column(9).to_numpy()])
             _, off = core.utf8(b.column(8))
-            cuts = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
             at = 0
-            if held and held[-1].column(5)[-1].as_py() != (anchor[0] if len(anchor) else None) and size >= BATCH:
+            if last != tuple(group[:, 0].tolist()) and size >= BATCH:
                 yield from settle(held)
                 held, size = [], 0
             for c in cuts.tolist():
@@ -108,6 +110,7 @@ def _sorted(length: int, kind: str):
                     held, size, at = [], 0, c
             held.append(b.slice(at))
             size += int(off[-1] - off[at])
+            last = tuple(group[:, -1].tolist())
         yield from settle(held)
 
     def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,48 +119,37 @@ def _sorted(length: int, kind: str):
             return
         t = t.combine_chunks()
         raw, off = core.utf8(t.column(8))
-        raw = raw[off[0] : off[-1]]
-        n = t.column(3).to_numpy()
-        who, a, b = [], [], []
+        raw, off = raw[off[0] : off[-1]], off - off[0]
+        later, again = repeated_starts(raw, off, length)
+        n, lo, rel = (t.column(i).to_numpy().astype(np.int64) for i in (3, 2, 4))
         solo = t.column(6).to_numpy() == repeats.SOLO
-        lo = t.column(2).to_numpy()
-        for i, hit in repeated_starts(raw, off - off[0], n, length):
-            if solo[i] and hit.any():
-                d = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-                s, e = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
-                who += [i] * len(s)
-                a += (lo[i] + s).tolist()
-                b += (lo[i] + e).tolist()
-        if who:
-            w = pa.array(who)
-            yield from pa.Table.from_arrays([t.column(0).take(w), t.column(1).take(w), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["_id", "_h", "a", "b"]).to_batches()
-
-    return run, f"_id {kind}, _h long, a long, b long"
-
-
-def _hashed(length: int, kind: str):
-    """Every window of a hot anchor's runs as a row with its hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, off = core.utf8(b.column(8))
-            n = b.column(3).to_numpy().astype(np.int64)
-            if not len(n):
-                continue
-            sums = core.prefix(core.BYTE_CODE[raw[off[0] : off[-1]]])
-            who = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-            start = (off[:-1] - off[0])[who] + k
-            w = pa.array(who)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(w), b.column(1).take(w), pa.array(b.column(2).to_numpy()[who] + k), pa.array(b.column(6).to_numpy()[who] == repeats.SOLO), pa.array(b.column(5).to_numpy()[who]), pa.array((b.column(4).to_numpy()[who] - k).astype(np.int32)), pa.array(core.mix(core.between(sums, start, start + length)).view(np.int64))],
-                ["_id", "_h", "at", "solo", "anchor", "rel", "code"],
-            )
-
-    return run, f"_id {kind}, _h long, at long, solo boolean, anchor long, rel int, code long"
-
-
-def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, hot: int = HOT) -> DataFrame:
+        hit = again & np.repeat(solo, np.diff(off))
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+        s, e = edge[::2], edge[1::2]  # no span crosses texts: the last starts of a text lack bytes
+        who = np.searchsorted(off, s, "right") - 1
+        yield from rows(t, who, lo[who] + s - off[who], lo[who] + e - off[who], np.zeros(len(s), np.int32))
+        split = t.column(7).to_numpy() > part
+        if split.any():
+            first = np.flatnonzero(~later & np.repeat(split, np.diff(off)))
+            who = np.searchsorted(off, first, "right") - 1
+            k = first - off[who]
+            inside = k < n[who]
+            first, who, k = first[inside], who[inside], k[inside]
+            sums = core.prefix(core.BYTE_CODE[raw])
+            code = core.mix(core.between(sums, first, first + length)).view(np.int64)
+            ask = np.where(solo[who] & ~again[first], 1, 2).astype(np.int32)
+            yield from rows(t, who, lo[who] + k, lo[who] + k + 1, ask, t.column(5).to_numpy()[who], (rel[who] - k).astype(np.int32), code)
+
+    def rows(t, who, a, b, ask, anchor=None, rel=None, code=None) -> Iterator[pa.RecordBatch]:
+        w, none = pa.array(who), np.zeros(len(who), np.int64)
+        more = [pa.array(none if x is None else x).cast(kind_) for x, kind_ in ((anchor, pa.int64()), (rel, pa.int32()), (code, pa.int64()))]
+        out = pa.Table.from_arrays([t.column(0).take(w), t.column(1).take(w), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ask), *more], ["_id", "_h", "a", "b", "ask", "anchor", "rel", "code"])
+        yield from out.to_batches(max_chunksize=65536)
+
+    return run, f"_id {kind}, _h long, a long, b long, ask int, anchor long, rel int, code long"
+
+
+def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, part: int = PART) -> DataFrame:
     """Window starts that recur: ``_id, _h, a, b`` (starts a to b, b excluded; intervals may touch)."""
     gram = gram or max(1, length * GRAM // LENGTH)
     base = core.documents(docs, id_col, text_col)
@@ -168,20 +160,19 @@ def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         core.squeezed(base).dropDuplicates(["_id", "_h"]).alias("d").join(ask.alias("r"), F.col("d._id").eqNullSafe(F.col("r._id")) & (F.col("d._h") == F.col("r._h")))
         .select("d._id", "d._h", "d._z", "r.runs").mapInArrow(*_cut(length, kind))
     )
-    pieces = pieces.repartition("anchor")
-    cold = pieces.where(F.col("nctx") <= hot).sortWithinPartitions("anchor", "_id", "_h", "lo").mapInArrow(*_sorted(length, kind))
-    out = repeats.sure_starts(seen).unionByName(cold)
-    if seen.where((F.col("nctx") > hot) & (F.col("kind") != repeats.SURE)).limit(1).count():
-        out = out.unionByName(repeats.counted(pieces.where(F.col("nctx") > hot).mapInArrow(*_hashed(length, kind))))
-    return out
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("_id", "_h", "lo"), F.ceil(F.col("nctx") / F.lit(part))))
+    pieces = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "_id", "_h", "lo")
+    got = stage(pieces.mapInArrow(*_sorted(length, part, kind)), "suffix-found")
+    across = got.where("ask > 0").select("_id", "_h", F.col("a").alias("at"), (F.col("ask") == 1).alias("solo"), "anchor", "rel", "code")
+    return repeats.sure_starts(seen).unionByName(got.where("ask = 0").select("_id", "_h", "a", "b")).unionByName(repeats.counted(across))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, part: int = PART) -> DataFrame:
     """One row per document: ``id_col, kept`` (binary: the remaining bytes), ``spans`` (removed byte
     ranges, maximal, end excluded) and ``n_bytes``."""
     base = core.documents(docs, id_col, text_col)
     kind = core.id_type(base)
-    spans = repeats.per_document(removal_spans(docs, id_col, text_col, length, gram, hot), ["a", "b"], "starts")
+    spans = repeats.per_document(removal_spans(docs, id_col, text_col, length, gram, part), ["a", "b"], "starts")
     joined = core.squeezed(base).alias("d").join(spans.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._h") == F.col("s._h")), "left").select("d._id", "d._z", "s.starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,12 @@ def char_grams(c: Column | str, low: int, high: int) -> Column:
     return bound(padded, lambda p: F.flatten(F.concat(*(F.transform(p, _sized(n)) for n in range(low, high + 1)))))
 
 
+def word_char_grams(word: Column | str, low: int, high: int) -> Column:
+    """The n-grams of one word, padded by a blank on either side."""
+    padded = F.concat(F.lit(" "), as_column(word), F.lit(" "))
+    return F.concat(*(_windows(padded, n) for n in range(low, high + 1)))
+
+
 def char_grams_wb(c: Column | str, low: int, high: int) -> Column:
     """n-grams inside white-space words with their punctuation; a word no longer than n yields itself once, at the
     first such n, and nothing for larger n."""
@@ -62,4 +68,11 @@ def word_grams(c: Column | str, low: int, high: int) -> Column:
 def trigrams(c: Column | str) -> Column:
     """Trigrams of the text without ASCII digits and punctuation, in lower case, a blank at either end."""
     t = F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(F.regexp_replace(as_column(c), r"[!-@]+", " "), r"\s+", " "))), F.lit(" "))
-    return bound(t, lambda x: _windows(x, 3))
+    return bound(F.split(t, ""), _threes)
+
+
+def _threes(x: Column) -> Column:
+    """Three neighbours each of an array of characters. Places in an array are found at once, those in a UTF-8 string by
+    walking it, so a long text costs what its length says."""
+    at = F.when(F.size(x) >= 3, F.sequence(F.lit(0), F.size(x) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))

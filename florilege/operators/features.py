@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,13 +22,23 @@ def spaces(text: Column | str, char: tuple[int, int] | None = (1, 4), word: tupl
 
 
 def term_counts(df: DataFrame, id_col: str, terms: dict[str, Column]) -> DataFrame:
-    """``id, space, term, tf``: how often each term stands in each document."""
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.concat(*(F.transform(c, _tagged(s)) for s, c in terms.items()))).alias("t"))
-    return rows.select("id", "t.space", "t.term").groupBy("id", "space", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``id, space, term, tf``: how often each term stands in each document. The spaces are exploded one by one, as plain
+    strings: tagging every occurrence with its space would double the bytes before the map-side sums."""
+    parts = [df.select(F.col(id_col).alias("id"), F.explode(c).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).select("id", F.lit(s).alias("space"), "term", "tf") for s, c in terms.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _tagged(space: str):
-    return lambda x: F.struct(F.lit(space).alias("space"), x.alias("term"))
+def counts(df: DataFrame, id_col: str, text_col: Column | str = "text", char: tuple[int, int] | None = (1, 4), word: tuple[int, int] | None = (1, 1), library: bool = False) -> DataFrame:
+    """``id, space, term, tf`` of a model's spaces. Character n-grams lie inside words, so a document's words are counted
+    first and each distinct one is cut up once, with its count as weight."""
+    if library or not char:
+        return term_counts(df, id_col, spaces(text_col, char, word, library))
+    each = df.select(F.col(id_col).alias("id"), F.explode(grams.words(text_col)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    inner = each.select("id", "tf", F.explode(grams.word_char_grams("term", *char)).alias("term")).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    out = inner.select("id", F.lit("char").alias("space"), "term", "tf")
+    if word == (1, 1):
+        return out.unionByName(each.select("id", F.lit("word").alias("space"), "term", "tf"))
+    return out.unionByName(term_counts(df, id_col, spaces(text_col, None, word))) if word else out
 
 
 def vocabulary(counts: DataFrame, n_docs: int | Column, limits: dict[str, int] | None = None, min_df: dict[str, int] | None = None) -> DataFrame:

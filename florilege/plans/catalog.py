@@ -347,14 +347,14 @@ scores AS (SELECT seq AS id, class_id, class, coalesce(s, 0.0) AS score FROM {DO
 """.replace("SELECT seq AS id, class_id, class, coalesce", "SELECT seq AS id, sizes.class_id, class, coalesce")
 
 
-def _fitted(spark, sf) -> tuple[linear.LinearModel, DataFrame, DataFrame]:
-    """The class-mean model of the documents, their features and the documents themselves."""
+def _fitted(spark, sf) -> tuple[linear.LinearModel, DataFrame, DataFrame, DataFrame]:
+    """The class-mean model of the documents, their features, the documents themselves and their term counts."""
     d = documents(spark, sf)
-    counts = stage(features.term_counts(d, "seq", features.spaces("text", _CHAR, _WORD)), "counts")
+    counts = stage(features.counts(d, "seq", "text", _CHAR, _WORD), "counts")
     vocab = stage(features.vocabulary(counts, d.count(), _TOP), "vocabulary")
     feats = features.tfidf(counts, vocab)
     coef, heads = linear.class_means(feats, d.select(F.col("seq").alias("id"), F.col("label").alias("class")))
-    return linear.LinearModel(vocab, stage(coef, "coef"), stage(heads, "intercept"), _CHAR, _WORD), feats, d
+    return linear.LinearModel(vocab, stage(coef, "coef"), stage(heads, "intercept"), _CHAR, _WORD), feats, d, counts
 
 
 @query(_MODEL + "SELECT space, term, df, tf, round(idf, 6) AS idf, idx FROM vocab")
@@ -369,26 +369,26 @@ def tfidf_weights(spark, sf):
 
 @query(_MODEL + "SELECT id, class_id, class, round(score, 5) AS score FROM scores")
 def linear_scores(spark, sf):
-    model, _, d = _fitted(spark, sf)
-    return linear.score(model, d, "seq").select("id", "class_id", "class", F.round("score", 5).alias("score"))
+    model, _, d, counts = _fitted(spark, sf)
+    return linear.score(model, d, "seq", counts=counts).select("id", "class_id", "class", F.round("score", 5).alias("score"))
 
 
 @query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
 def predict_label(spark, sf):
-    model, _, d = _fitted(spark, sf)
-    return linear.predict(linear.score(model, d, "seq"))
+    model, _, d, counts = _fitted(spark, sf)
+    return linear.predict(linear.score(model, d, "seq", counts=counts))
 
 
 @query(_MODEL + "SELECT id, class, round(exp(score - max(score) OVER d) / sum(exp(score)) OVER d * exp(max(score) OVER d), 5) AS share FROM scores WINDOW d AS (PARTITION BY id)")
 def soft_scores(spark, sf):
-    model, _, d = _fitted(spark, sf)
-    return linear.soft_scores(linear.score(model, d, "seq")).select("id", "class", F.round("share", 5).alias("share"))
+    model, _, d, counts = _fitted(spark, sf)
+    return linear.soft_scores(linear.score(model, d, "seq", counts=counts)).select("id", "class", F.round("share", 5).alias("share"))
 
 
 @query(_MODEL + "SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS place, class FROM scores")
 def ranked_shares(spark, sf):
-    model, _, d = _fitted(spark, sf)
-    return linear.ranked_shares(linear.score(model, d, "seq")).select("id", F.col("place").cast("long").alias("place"), "class")
+    model, _, d, counts = _fitted(spark, sf)
+    return linear.ranked_shares(linear.score(model, d, "seq", counts=counts)).select("id", F.col("place").cast("long").alias("place"), "class")
 
 
 @query(_MODEL + "SELECT class, place, space, term, round(val, 5) AS val FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(val, 6) DESC, space, term) AS place FROM coef WHERE val > 0) WHERE place <= 10")
@@ -398,15 +398,15 @@ def top_features(spark, sf):
 
 @query(_MODEL + "SELECT (SELECT count(*) FROM coef WHERE val <> 0) AS nnz, (SELECT count(*) FROM vocab) AS terms, round((SELECT count(*) FROM coef WHERE val <> 0) / ((SELECT count(*) FROM vocab) * (SELECT count(*) FROM sizes)), 6) AS density")
 def coef_density(spark, sf):
-    model, _, _ = _fitted(spark, sf)
+    model = _fitted(spark, sf)[0]
     return linear.density(model.coef, model.vocab, len(model.classes())).select("nnz", "terms", F.round("density", 6).alias("density"))
 
 
 @query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
 def export_import_predict(spark, sf):
     """Predictions of a model that went through its JSON form and back."""
-    model, _, d = _fitted(spark, sf)
-    return linear.predict(linear.score(linear.load(spark, linear.export(model)), d, "seq"))
+    model, _, d, counts = _fitted(spark, sf)
+    return linear.predict(linear.score(linear.load(spark, linear.export(model)), d, "seq", counts=counts))
 
 
 # --- detectors ----------------------------------------------------------------------------------

@@ -2,11 +2,12 @@
 
 Method: T-occurrence search as in DivideSkip. Two sets with Jaccard >= t share at least
 T = ceil(t |x|) shingles, so any partner of x stands in at least four of its |x| - T + 4 shortest
-inverted lists: those short lists are merged for candidates, the other lists, the longest, are only
-probed by binary search for a candidate at hand. (Sets too small to be alike to a different set are
-in no list.) Which lists are long is known from a counting
+inverted lists: those short lists are merged for candidates, across the corpus by shuffles, and every candidate of a set,
+from whatever step, is then searched for in the inverted lists of that set's candidates (``t_occurrence``): short
+lists merged, long ones only probed by binary search for a candidate that can still reach the required overlap. (Sets
+too small to be alike to a different set are in no list.) Which lists are long is known from a counting
 sketch of fixed size over all shingles of all documents, so a passage shared by a third of the
-corpus is among the lists that are probed, never merged.
+corpus is among the lists that are probed, never merged. The order decides on speed only, not on the result.
 
 Equal sets are one node, however many documents have them (a worker hands each on once). Links are
 first tested between neighbours in a list (sorted by size), then components are formed; for a few rounds one
@@ -18,7 +19,8 @@ Sizes: shingles are 64-bit hashes; the sketch (2**22 counters) is the only thing
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; fewer words than
 ``words`` make one shingle; repeated rows link with each other; null ids are kept and take the smallest
-id of their component, if it has one.
+id of their component, if it has one. Ties (equal sizes, equal sets) are links like others. A very long text is one
+set, coded block by block. An empty table gives an empty result. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -235,18 +237,29 @@ def _neighbours(t: Fraction, near: int):
 
 
 def _verify(k: int, t: Fraction):
-    """Rows (a, b, text) sorted by a: a's own text comes first (b null), then those of its partners. Alike pairs stay."""
+    """Rows (a, b, text) sorted by a: a's own text comes first (b null), then those of its candidates, which are searched
+    for a. Alike pairs stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: tuple[int, np.ndarray] | None = None
         for b in core.slices(batches):
-            left, right = [], []
+            left, right, who, held = [], [], [], []
+
+            def search() -> None:
+                if who:
+                    left.extend([own[0]] * len(found := t_occurrence(own[1], held, t)))
+                    right.extend(who[i] for i in found)
+                who.clear()
+                held.clear()
+
             for a, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), core.unsqueeze(b.column(2)), strict=True):
                 if c is None:
+                    search()
                     own = (a, _one(text, k))
-                elif own is not None and own[0] == a and alike(own[1], _one(text, k), t):
-                    left.append(a)
-                    right.append(c)
+                elif own is not None and own[0] == a:
+                    who.append(c)
+                    held.append(_one(text, k))
+            search()
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run, "a long, b long"
@@ -267,25 +280,48 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, t: Fraction, tag: str) -
     return stage(rows.mapInArrow(*_verify(k, t)), tag)
 
 
-def t_occurrence(x: np.ndarray, lists: dict[int, np.ndarray], sizes: np.ndarray, t: Fraction) -> list[int]:
-    """Which of the indexed sets (of these sizes) are alike to x, by DivideSkip: the short inverted lists of x are merged,
-    the longest only probed for candidates that the short ones leave possible."""
-    mine = sorted((lists[v] for v in x.tolist() if v in lists), key=len)
+def inverted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted lists of some sets, one after another: shingles, where each one's list begins, and the members, ascending."""
+    values = np.concatenate(held) if held else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    by = np.argsort(values, kind="stable")
+    values, owner = values[by], owner[by]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.append(first, len(values)), owner
+
+
+def t_occurrence(x: np.ndarray, held: list[np.ndarray], t: Fraction, index: tuple | None = None) -> list[int]:
+    """Which of some sets are alike to the query x, by DivideSkip. Of the query's inverted lists the longest, all but a few
+    more than any partner may miss, are set aside; the short ones are merged into one ascending list of members (numpy's
+    stable sort merges sorted runs; it does what a heap would), and a member that occurs in enough of them is looked up
+    in the long lists by binary search until it reaches the overlap it needs or can't."""
+    token, start, member = index if index is not None else inverted(held)
+    if not len(token):
+        return []
+    at = np.minimum(np.searchsorted(token, x), len(token) - 1)
+    at = at[token[at] == x]
     least = required(t, len(x))
-    if len(mine) < least:
+    if len(at) < least:
+        return []
+    mine = [member[start[i] : start[i + 1]] for i in at[np.argsort(start[at + 1] - start[at], kind="stable")].tolist()]
+    aside = max(0, least - meetings(t))
+    short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
+    if not short:
         return []
-    long = max(0, min(least - 1, len(mine) - 1, least // 2 + 1))
-    short, probed = mine[: len(mine) - long], mine[len(mine) - long :]
-    count = np.bincount(np.concatenate(short), minlength=len(sizes)) if short else np.zeros(len(sizes), np.int64)
-    # alike sets share (|x| + |y|) t / (1 + t) shingles at least
-    need = -(-(len(x) + sizes) * t.numerator // (t.numerator + t.denominator))
-    hopeful = np.flatnonzero(count >= np.maximum(need - long, 1))
-    for p in probed:
-        if not len(hopeful):
+    merged = np.sort(np.concatenate(short), kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+    y, both = merged[first], np.diff(np.append(first, len(merged)))
+    n = np.array([len(h) for h in held], np.int64)[y]
+    need = -(-(len(x) + n) * t.numerator // (t.numerator + t.denominator))  # of alike sets of these sizes
+    hope = (both + len(long) >= need) & (np.minimum(n, len(x)) * t.denominator >= np.maximum(n, len(x)) * t.numerator)
+    y, both, need = y[hope], both[hope], need[hope]
+    for k, p in enumerate(long):
+        if not len(y):
             break
-        at = np.minimum(np.searchsorted(p, hopeful), len(p) - 1)
-        count[hopeful] += p[at] == hopeful
-    return hopeful[(count[hopeful] * t.denominator >= t.numerator * (len(x) + sizes[hopeful] - count[hopeful]))].tolist()
+        both = both + (p[np.minimum(np.searchsorted(p, y), len(p) - 1)] == y)
+        stays = both + len(long) - k - 1 >= need
+        y, both, need = y[stays], both[stays], need[stays]
+    return y[both >= need].tolist()
 
 
 def _block_search(k: int, t: Fraction):
@@ -296,13 +332,8 @@ def _block_search(k: int, t: Fraction):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         have = [_one(z, k) for z in core.unsqueeze(table.column("_z").combine_chunks())]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        values = np.concatenate([have[r] for r in right]) if len(right) else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(right)), [len(have[r]) for r in right]) if len(right) else np.zeros(0, np.int64)
-        order = np.lexsort((owner, values))
-        values, owner = values[order], owner[order]
-        edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-        lists = dict(zip(values[edge].tolist(), np.split(owner, edge[1:]), strict=True)) if len(values) else {}
-        sizes = np.array([len(have[r]) for r in right], np.int64)
+        held = [have[r] for r in right]
+        index = inverted(held)
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -312,7 +343,7 @@ def _block_search(k: int, t: Fraction):
 
         out = []
         for q in left:
-            for r in t_occurrence(have[q], lists, sizes, t) if len(sizes) else []:
+            for r in t_occurrence(have[q], held, t, index) if held else []:
                 a, b = find(int(label[q])), find(int(label[right[r]]))
                 if a != b:
                     root[a] = b
@@ -327,8 +358,9 @@ def _crowds(crowd: DataFrame, labels: DataFrame, texts: DataFrame, k: int, t: Fr
     count = crowd.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     dealt = crowd.join(stage(count, "jaccard-crowds"), "crowd").join(labels, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     each = dealt.select("crowd", "c", "l", "block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("o"))
-    pairs = each.select("crowd", "c", "l", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    return pairs.join(texts, "c").groupBy("crowd", "i", "j").applyInArrow(*_block_search(k, t))
+    pairs = stage(each.select("crowd", "c", "l", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")), "jaccard-blocks")
+    few = pairs.count() <= LIGHT  # the texts that nobody asks for stay where they are
+    return texts.join(F.broadcast(pairs) if few else pairs, "c").groupBy("crowd", "i", "j").applyInArrow(*_block_search(k, t))
 
 
 def _open(lists: DataFrame, group: DataFrame) -> DataFrame:
@@ -356,7 +388,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rep = nodes.where("n > 0").groupBy("c").agg(F.min(F.struct("_id", "_h")).alias("r"))
     wanted = lists.select("c").distinct().join(rep, "c").select("c", F.col("r._id").alias("_i"), F.col("r._h").alias("_g"))
     texts = stage(
-        core.squeezed(base).alias("d").join(wanted.alias("w"), F.col("d._id").eqNullSafe(F.col("w._i")) & (F.col("d._h") == F.col("w._g"))).select("w.c", "d._z").dropDuplicates(["c"]),
+        core.squeezed(base, once=True).alias("d").join(wanted.alias("w"), F.col("d._id").eqNullSafe(F.col("w._i")) & (F.col("d._h") == F.col("w._g"))).select("w.c", "d._z"),
         "jaccard-texts",
     )
     first = stage(lists.repartition("token").sortWithinPartitions("token", "n", "c").select("token", "c", "n", "pos").mapInArrow(*_neighbours(threshold, NEAR)).groupBy("a", "b").agg(F.sum("times").alias("times")).where("times > 1").select("a", "b"), "jaccard-first")

@@ -67,15 +67,14 @@ def test_t_occurrence():
     t = Fraction(85, 100)
     base = np.unique(r.integers(0, 10**6, 80).astype(np.uint64))
     sets = [np.unique(np.concatenate([np.delete(base, r.integers(0, len(base), k)), r.integers(0, 10**6, k).astype(np.uint64)])) for k in (0, 1, 3, 6, 9, 14)]
-    lists = {}
-    for i, s in enumerate(sets):
-        for v in s.tolist():
-            lists.setdefault(v, []).append(i)
-    lists = {v: np.array(x) for v, x in lists.items()}
-    sizes = np.array([len(s) for s in sets])
     for x in sets:
         want = [i for i, y in enumerate(sets) if op10.alike(x, y, t)]
-        assert sorted(op10.t_occurrence(x, lists, sizes, t)) == want
+        assert sorted(op10.t_occurrence(x, sets, t)) == want
+        assert op10.t_occurrence(x, [], t) == []
+    for n in range(300):
+        some = [np.unique(r.integers(0, 40, r.integers(1, 30)).astype(np.uint64)) for _ in range(8)]
+        at = Fraction(int(r.integers(50, 100)), 100)
+        assert sorted(op10.t_occurrence(some[0], some, at)) == [i for i, y in enumerate(some) if op10.alike(some[0], y, at)]
 
 
 def test_components(spark):

@@ -17,8 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
     Where the setting is absent, a local-mode session gets a temporary folder
-    (driver and executor are one process there); any other master falls back to
-    the SQL warehouse, which is shared storage by definition.
+    (driver and executor are one process there); on any other master that is an error, since
+    no other folder is known to be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,11 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        if local:
-            _own[app] = tempfile.mkdtemp(prefix="florilege-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        else:
-            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        if not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _own[app] = tempfile.mkdtemp(prefix="florilege-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
 
 

@@ -2,18 +2,22 @@
 
 Method: markup is stripped to lines, one per block element. A line's weight is its text outside links;
 lines in places that never hold an article (menus, headers, footers, asides, forms, adverts, notices,
-comment threads) weigh nothing, nor do lines outside ``article``/``main`` where a page has one. Weights
-are summed over sliding windows of lines. A region begins where the sum surges above the threshold
-and ends where it dives to zero; text between surge and dive points is kept, region by region.
-Where no region surges, the heaviest one is kept; inside ``article``/``main`` any positive sum surges.
+comment threads) weigh nothing. Weights are summed over sliding windows of lines. A region is found where the sum
+surges above the threshold; it begins where the sum rose from zero and ends where it dives to zero; text between
+surge and dive points is kept, region by region, but for lines in such places. A line without weight of its own (a
+linked one) stays if text surrounds it. Where no region surges, the heaviest one is kept. Where a page has
+an ``article``/``main`` element with text, its lines surge and no others do.
 
 Edge cases: null or empty html, and pages without text, give an empty string; unclosed elements run to
-the end of the page, an unfinished tag there is dropped; repeated rows and null ids are kept.
+the end of the page, an unfinished tag there is dropped; a very long page is read once, in time that follows its length;
+of equally heavy regions the first counts (ties); repeated rows and null ids are kept; an empty table gives an empty
+result; other columns, whatever their names, stay, but one named like the output gives way.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,35 +44,51 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^<>]*\Z|<\Z",
     re.S | re.I,
 )
+#: words that go with them in compound names and say nothing by themselves
+PLAIN = frozenset("site page main top bottom left right list item items box block container wrapper wrap section area inner outer bar links global primary secondary form col column unit slot buttons button icons icon first last".split())
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """Text lines in page order, the weight of each, and whether it lies in an article element."""
+def marked(attrs: str) -> bool:
+    """Whether a class, id or role names a place that never holds an article. Of a compound name (``site-header``) every
+    part must say so or nothing: ``no-sidebar``, ``article-header`` and ``sharing-economy`` name no such place."""
+    for n in _NAMES.findall(attrs):
+        for name in "".join(n).lower().split():
+            parts = _PARTS.findall(name)
+            if not MARKS.isdisjoint(parts) and all(x in MARKS or x in PLAIN for x in parts):
+                return True
+    return False
+
+
+def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[bool]]:
+    """Text lines in page order, the weight of each (its text outside links, none in places that never hold an article),
+    whether it lies in an article element, and whether in such a place."""
     lines: list[str] = []
     weights: list[int] = []
     inside: list[bool] = []
+    outside: list[bool] = []
     text: list[str] = []
-    linked = 0
+    plain: list[str] = []  # the part of it outside links
     open_: list[tuple[str, bool, bool]] = []  # tag, not article text, article element
+    count: dict[str, int] = {}  # open elements of each tag
     aside = article = links = 0
 
     def add(piece: str) -> None:
-        nonlocal linked
         if piece:
             text.append(piece)
-            linked += len(piece.strip()) if links else 0
+            if not links:
+                plain.append(piece)
 
     def flush() -> None:
-        nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
-        text.clear()
         if line:
             lines.append(line)
-            weights.append(0 if aside else max(0, len(line) - linked))
+            weights.append(0 if aside else len(" ".join(html.unescape("".join(plain)).split())))
             inside.append(article > 0 and not aside)
-        linked = 0
+            outside.append(aside > 0)
+        text.clear()
+        plain.clear()
 
     def close(i: int) -> None:
         nonlocal aside, article, links
@@ -76,6 +96,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             aside -= off
             article -= art
             links -= tag == "a"
+            count[tag] -= 1
         del open_[i:]
 
     at = 0
@@ -88,74 +109,82 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         if tag in BLOCKS or tag == "br":
             flush()
         if m["end"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    close(i)
-                    break
+            if count.get(tag):
+                i = len(open_) - 1
+                while open_[i][0] != tag:
+                    i -= 1
+                close(i)
         elif tag not in VOID and not m["attrs"].endswith("/"):
             if tag in ("p", "li") or tag in BLOCKS:  # an open paragraph ends at the next block
                 if open_ and open_[-1][0] == "p" or (tag == "li" and open_ and open_[-1][0] == "li"):
                     close(len(open_) - 1)
-            names = {w for n in _NAMES.findall(m["attrs"]) for w in _WORDS.findall("".join(n).lower())} if "=" in m["attrs"] else ()
             # a heading group of the article itself is part of it
-            off = tag in ASIDE and not (tag == "header" and article) or bool(names) and not MARKS.isdisjoint(names) and tag not in ("html", "body", "article", "main")
+            off = tag in ASIDE and not (tag == "header" and article) or "=" in m["attrs"] and tag not in ("html", "body", "article", "main") and marked(m["attrs"])
             art = tag in ("article", "main") and not aside
             open_.append((tag, off, art))
+            count[tag] = count.get(tag, 0) + 1
             aside += off
             article += art
             links += tag == "a"
-            if len(open_) > 4000:  # markup that never closes: keep what matters, drop inert entries
-                open_ = [x for x in open_ if x[1] or x[2] or x[0] == "a"]
     add(page[at:])
     flush()
-    return lines, weights, inside
+    return lines, weights, inside, outside
 
 
 def regions(weights: np.ndarray, surge: float, window: int) -> list[tuple[int, int]]:
-    """Line ranges (end excluded) between surge and dive points of the windowed sums."""
+    """Line ranges (end excluded) between surge and dive points. The sum of the ``window`` lines from i on surges where it
+    reaches ``surge``; the region begins with the text that led there without a break, and goes on while the
+    sum is above zero: up to ``window`` - 1 lines without weight in a row don't end it. Where nothing
+    surges, the heaviest stretch between dives is taken."""
     n = len(weights)
     if not n or not weights.any():
         return []
     total = np.concatenate(([0], np.cumsum(weights)))
     block = total[np.minimum(np.arange(n) + window, n)] - total[:n]
-    live = weights > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], live.astype(np.int8), [0]))))
-    spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-    peak = [max(int(min(block[a:b].max(), total[b] - total[a])), 0) for a, b in spans]
-    chosen = [s for s, p in zip(spans, peak, strict=True) if p >= surge]
-    return chosen or [spans[int(np.argmax([total[b] - total[a] for a, b in spans]))]]
+    alive = np.flatnonzero(np.diff(np.concatenate(([0], (block > 0).astype(np.int8), [0]))))
+    out, best = [], (0, None)
+    for a, b in zip(alive[::2].tolist(), alive[1::2].tolist(), strict=True):  # sums rise at a and have dived to zero at b
+        ink = np.flatnonzero(weights[a:b]) + a  # a sum rises up to window - 1 lines ahead of the text
+        span = (int(ink[0]), int(ink[-1]) + 1)
+        if block[a:b].max() >= surge:
+            out.append(span)
+        if (w := int(total[b] - total[a])) > best[0]:
+            best = (w, span)
+    return out or [best[1]]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     if not page:
         return ""
-    lines, weights, inside = lines_of(page)
+    lines, weights, inside, outside = lines_of(page)
     if not lines:
         return ""
     w = np.array(weights, np.int64)
-    art = np.array(inside)
+    art, off = np.array(inside), np.array(outside)
     if (w[art] > 0).any():
-        w[~art] = 0
-        w[art] = np.maximum(w[art], 1)  # linked lines of the article are text of it, too
-        surge = 1
-    return "\n".join("\n".join(lines[a:b]) for a, b in regions(w, surge, window))
+        # the page says where the article is: every line there weighs what a surge takes, linked or not
+        w = np.where(art, np.maximum(w, math.ceil(surge)), 0)
+        off = ~art
+    return "\n".join(lines[i] for a, b in regions(w, surge, window) for i in range(a, b) if not off[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text", window: int = WINDOW, surge: float = SURGE) -> DataFrame:
     """The table with ``html_col`` replaced by the main text in ``out``; other columns pass through."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
     others = [c for c in pages.columns if c not in (html_col, out)]
-    kinds = {f.name: f for f in pages.schema.fields}
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    packed = pages.select(row.alias("_row"), F.col(f"`{html_col}`").cast("string").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                text = [main_text(x.as_py(), window, surge) for x in part.column(len(others))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(text, pa.string())], [*others, out])
-
-    from pyspark.sql.types import StringType, StructField, StructType
+                text = [main_text(x.as_py(), window, surge) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], ["_row", "_x"])
 
-    return pages.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{html_col}`").cast("string")).mapInArrow(run, StructType([*(kinds[c] for c in others), StructField(out, StringType())]))
+    got = packed.mapInArrow(run, StructType([packed.schema["_row"], StructField("_x", StringType())]))
+    return got.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(others)), F.col("_x").alias(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

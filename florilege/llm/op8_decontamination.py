@@ -2,15 +2,19 @@
 
 Method: one Aho-Corasick automaton over all windows of the normalised benchmark items; each text
 is normalised, scanned once, and hits are mapped back to word numbers and to offsets in the
-original text. The automaton is shipped as the items themselves and built once per worker. Its size is
+original text. The automaton reads words as numbers of the benchmark's words; it is shipped as the items themselves and
+built once in a worker, which keeps it for its later tasks. Its size is
 checked: items beyond ``budget`` bytes are dealt to several automata, applied one after another.
 
 Edge cases: null and empty texts have no words and no hits; an item without words matches nothing,
-an item of fewer than ``window`` words is one window; repeated rows, repeated items and null ids are kept.
+an item of fewer than ``window`` words is one window; repeated rows, repeated items and null ids are kept; a very long text is
+scanned in one piece, its words as one string; ties don't arise (every window counts); an empty table gives an empty result;
+other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +26,7 @@ from florilege.llm import core
 from florilege.session import stage
 
 WINDOW = 10
-BUDGET = 32 << 20  # bytes of benchmark text in one automaton
+BUDGET = 2 << 20  # bytes of benchmark text in one automaton: some 350,000 words, 3.5 million nodes
 #: A-Z to lower case; digits, letters and all bytes of other scripts stay; the rest separates words
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 0x20 for c in range(256))
 
@@ -36,21 +40,51 @@ def item_windows(text: bytes, window: int) -> set[bytes]:
     return {b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} if w else set()
 
 
-def automaton(items: list[tuple[object, str | None]], window: int):
-    """Patterns are whole windows with a blank on either side; a hit tells its words and its items."""
-    import ahocorasick
+class Scanner:
+    """One automaton over all windows, in numbers of benchmark words: a window is ten characters then, not sixty bytes, so a
+    node stands for a word. A hit tells its words and its items."""
 
-    found: dict[bytes, list] = {}
-    for item, text in items:
-        for w in item_windows((text or "").encode(), window):
-            found.setdefault(w, []).append(item)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for w, who in found.items():
-        out.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, who))
-    out.make_automaton()
-    return out
+    def __init__(self, items: list[tuple[object, str | None]], window: int):
+        import ahocorasick
+
+        self.number: dict[bytes, str] = {}
+        found: dict[str, list] = {}
+        for item, text in items:
+            for w in item_windows((text or "").encode(), window):
+                key = "".join(self.number.setdefault(x, _character(len(self.number))) for x in w.split(b" "))
+                found.setdefault(key, []).append(item)
+        self.trie = None
+        if found:
+            self.trie = ahocorasick.Automaton()
+            for key, who in found.items():
+                self.trie.add_word(key, (len(key), who))
+            self.trie.make_automaton()
+
+    def hits(self, text: list[bytes]) -> list[tuple[int, tuple[int, list]]]:
+        """(last word, (words, items)) of each window in a text."""
+        if self.trie is None or not text:
+            return []
+        get = self.number.get
+        return list(self.trie.iter("".join([get(w, OTHER) for w in text])))
+
+
+OTHER = chr(1)  # a word that no item has
+_scanners: dict[tuple, Scanner] = {}
+
+
+def _character(k: int) -> str:
+    """The k-th word's character; more words than characters can't fit into the budget of one automaton."""
+    k += 2
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
+def scanner(key: tuple, items: list, window: int) -> Scanner:
+    """Built once in a worker, kept for its later tasks."""
+    if key not in _scanners:
+        while len(_scanners) >= 2:
+            _scanners.pop(next(iter(_scanners)))
+        _scanners[key] = Scanner(items, window)
+    return _scanners[key]
 
 
 def original_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -61,9 +95,9 @@ def original_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(lead[starts[a]]), int(lead[ends[b - 1]])) for a, b in spans]
 
 
-def _scan(items: list, window: int, kind: str, item_kind: str):
+def _scan(shared, key: str, window: int, kind: str, item_kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = automaton(items, window)
+        trie = scanner((key, window), shared.value, window)
         for b in batches:
             raw, off = core.utf8(b.column(1))
             counts, spans, who = [], [], []
@@ -72,11 +106,9 @@ def _scan(items: list, window: int, kind: str, item_kind: str):
                 counts.append(len(w))
                 mine = b.column(3)[i].as_py() or []
                 covered = [(x["a"], x["b"]) for x in b.column(2)[i].as_py() or []]
-                hits = list(trie.iter(f" {b' '.join(w).decode('latin-1')} ")) if trie and w else []
+                hits = trie.hits(w)
                 if hits:
-                    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)  # where the blank after each word stands
-                    last = np.searchsorted(ends, [h[0] for h in hits]) + 1
-                    covered += [(int(e) - n, int(e)) for e, (_, (n, _)) in zip(last, hits, strict=True)]
+                    covered += [(e + 1 - n, e + 1) for e, (n, _) in hits]
                     mine = mine + [x for _, (_, ids) in hits for x in ids]
                 merged: list[list[int]] = []
                 for x, y in sorted(covered):
@@ -103,18 +135,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(chunks):
         part = items.where(F.pmod(F.xxhash64("_id", "_t"), F.lit(chunks)) == k) if chunks > 1 else items
         rows = [(r[0], r[1]) for r in part.collect()]
-        out = out.select("_id", "_t", "spans", "items").mapInArrow(*_scan(rows, window, kind, item_kind))
+        shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most ``budget`` bytes of text
+        out = out.select("_id", "_t", "spans", "items").mapInArrow(*_scan(shared, uuid.uuid4().hex, window, kind, item_kind))
         out = stage(out, "decontaminate") if k + 1 < chunks else out
     return out.withColumnRenamed("_id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, budget: int = BUDGET) -> DataFrame:
     """``docs`` without the documents in which any window of the benchmark occurs; all columns stay."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(0).alias("_0")).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{text_col}`").isNull().alias("_null"))
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.lit(0).alias("_0")).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{text_col}`").isNull().alias("_null"))
     rows = rows.select(F.struct("_row", "_null").alias("_row"), "_text")
     got = contamination(rows, benchmark, "_row", "_text", item_col, item_text, window, budget).where(F.size("spans") == 0)
-    text = F.when(~F.col("_row._null"), F.col("_t")).cast(docs.schema[text_col].dataType)
-    return got.select(*(text.alias(c) if c == text_col else F.col(f"_row._row.`{c}`") for c in docs.columns))
+    cols = {text_col: F.when(~F.col("_row._null"), F.col("_t")).cast(docs.schema[text_col].dataType).alias(text_col)} | {c: F.col(f"_row._row.c{i}").alias(c) for i, c in enumerate(rest)}
+    return got.select(*(cols[c] for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ block. Rare: in at most ``rare`` documents and of at least ``least_words`` words
 lines are deleted gets an empty text.
 
 Edge cases: null texts stay null; the first of repeated rows can't be told from the others (same id and
-text), so repeated rows keep their lines; null ids come before all others; other columns pass through.
+text), so repeated rows keep their lines; null ids come before all others; other columns, whatever their names, pass
+through. Of equally good partners or runs the choice is fixed by their keys (ties). A very long text is split to lines in
+one piece, in a few arrays of its size. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -170,12 +172,13 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "oid", "oh", "opos", "alone")).alias("matches"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """``docs`` with common blocks deleted from ``text_col``; ``_lines`` and ``_deleted`` count non-blank lines."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES, long_words: int = LONG_WORDS, lines_out: str = "_lines", deleted_out: str = "_deleted") -> DataFrame:
+    """``docs`` with common blocks deleted from ``text_col``; ``lines_out`` and ``deleted_out`` count non-blank lines (columns
+    of these names give way)."""
     found = alignments(docs, id_col, text_col, rare, least_words, long_words)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     text = F.col(f"`{text_col}`").cast("string")
-    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`") for c in rest)).alias("_rest"))
+    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("_rest"))
     z = StructType([StructField("_z", BinaryType()) if f.name == "_t" else f for f in packed.schema.fields])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +214,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), b.column(2), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], ["_id", "_t", "_rest", "_lines", "_deleted"])
 
     done = joined.mapInArrow(run, out)
-    cols = {id_col: F.col("_id").alias(id_col), text_col: F.col("_t").alias(text_col)}
-    return done.select(*(cols.get(c, F.col(f"_rest.`{c}`")) for c in docs.columns), "_lines", "_deleted")
+    cols = {id_col: F.col("_id").alias(id_col), text_col: F.col("_t").alias(text_col)} | {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(rest)}
+    return done.select(*(cols[c] for c in docs.columns if c not in (lines_out, deleted_out)), F.col("_lines").alias(lines_out), F.col("_deleted").alias(deleted_out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from florilege.llm import op1_packing as op1
 from florilege.llm import op2_extraction as op2
 from florilege.llm import op6_pii as op6
 from florilege.llm import op7_quality as op7
+from florilege.llm import op8_decontamination as op8
 from florilege.llm import op9_toxicity as op9
 from tests.llm.fixtures import empty, sentence, table, texts
 
@@ -178,11 +180,88 @@ def test_toxicity(spark):
 
 def test_toxic_word_weighs_once():
     # "vile" is toxic only; what follows it is as usual after it, so the pair adds nothing to the second word
-    words = {"code": np.array([1, 2], np.uint64), "n0": np.array([0, 1000]), "n1": np.array([600, 1000]), "k0": np.array([0, 500]), "k1": np.array([500, 500])}
-    pairs = {"a": np.array([1], np.uint64), "b": np.array([2], np.uint64), "n0": np.array([0]), "n1": np.array([60])}
-    m = op9.estimate(words, pairs, {"k0": 10_000, "k1": 10_000, "n0": 20_000, "n1": 20_000}, 2.0, 0.2, True)
-    assert m.gain[0] > 1 and len(m.pair) == 1
-    assert abs(m.pair_gain[0] - m.gain[1]) < 0.1
+    words = {"code": np.array([1, 2], np.uint64), "s": np.array([600, 2000]), "k0": np.array([0, 500]), "k1": np.array([500, 500]), "l0": np.array([0, 1000]), "l1": np.array([600, 1000])}
+    pairs = {"a": np.array([1], np.uint64), "b": np.array([2], np.uint64), "n0": np.array([0]), "n1": np.array([60]), "r0": np.array([0.0]), "r1": np.array([59.25])}
+    m = op9.estimate(words, pairs, {"k0": 10_000, "k1": 10_000, "t0": 3000, "t1": 3000, "s": 40_000}, 2.0, 0.2, True)
+    assert m.word.tolist() == [1] and m.gain[0] > 1 and not len(m.pair)
+
+
+def test_kneser_ney_against_loops():
+    """Continuation counts, absolute discounts and back-off to the shared distribution, word by word."""
+    texts_ = {0: ["a b a c", "b c b", "a a b"], 1: ["a x b", "x a x c"]}
+    others = ["a b c x d"]
+    count = {c: {} for c in (0, 1, "s")}
+    for c, part in ((0, texts_[0]), (1, texts_[1]), ("s", texts_[0] + texts_[1] + others)):
+        for t in part:
+            w = t.split()
+            for u, v in set(zip(["<s>", *w], w, strict=False)):
+                count[c].setdefault(v, set() if False else []).append(u)
+    n = {c: {v: len(x) for v, x in count[c].items()} for c in count}
+    total = {c: sum(n[c].values()) for c in n}
+    names = sorted(n["s"])
+
+    def p(c, v):
+        return max(n[c].get(v, 0) - op9.DISCOUNT, 0) / total[c] + op9.DISCOUNT * len(n[c]) / total[c] * n["s"][v] / total["s"]
+
+    words = {"code": np.arange(1, len(names) + 1, dtype=np.uint64), "s": np.array([n["s"][v] for v in names])} | {f"{x}{c}": np.array([n[c].get(v, 0) for v in names]) for c in (0, 1) for x in "kl"}
+    none = {x: np.zeros(0, np.uint64) for x in ("a", "b", "n0", "n1", "r0", "r1")}
+    totals = {"s": total["s"]} | {f"k{c}": total[c] for c in (0, 1)} | {f"t{c}": len(n[c]) for c in (0, 1)}
+    m = op9.estimate(words, none, totals, -10.0, 0.0)  # every word is an entry
+    assert all(abs(sum(p(c, v) for v in names) - 1) < 1e-9 for c in (0, 1))
+    assert np.allclose(m.gain, [np.log(p(1, v) / p(0, v)) for v in names])
+    got = op9.estimate(words, none, totals, 1e9, 0.0)  # none is: both classes are the shared distribution
+    assert not len(got.word) and abs(got.other) < 1e-9
+
+
+def test_toxicity_counts(spark):
+    """What Spark counts, against a loop."""
+    rows = [("a b a b", 0), ("a b", 1), ("b", 0), ("", 0), (None, 1), ("a b a b", 0)]
+    want = Counter()
+    for t, y in rows:
+        w = (t or "").split()
+        for u, v in set(zip(["", *w], w, strict=False)):
+            want[1, v, y] += 1
+            want[3, u, y] += 1
+    frame = spark.createDataFrame(rows, "_t string, _y int")
+    got = frame.mapInArrow(*op9._counts(False)).groupBy("kind", "a", "y").agg(F.sum("n").alias("n")).collect()
+    code = {v: int(c.view(np.int64)) for v, c in zip("ab", next(op9.normal_words(np.frombuffer(b"a b", np.uint8), np.array([0, 3])))[1], strict=True)} | {"": 0}
+    assert {(r.kind, r.a, r.y): r.n for r in got} == {(k, code[v], y): n for (k, v, y), n in want.items()}
+
+
+def test_clashing_columns(spark):
+    """Columns named like an operator's own, or with a dot."""
+    import corpus_pipeline
+
+    odd = ["toxicity", "_deleted", "_lines", "_h", "_i", "_g", "a.b", "_d", "_row", "stays"]
+    docs = table(spark, [(i, f"{sentence(i, 30)}\n{sentence(i + 100, 8)}") for i in range(6)])
+    for c in odd:
+        docs = docs.withColumn(c, F.lit(5))
+    y = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    got = op9.score(docs, op9.learn(docs, y))
+    assert sorted(got.columns) == sorted(docs.columns) and got.where("toxicity <= 1").count() == 6
+    pages = docs.withColumnRenamed("text", "html")
+    assert op2.extract(pages).select("`a.b`", "text").where("`a.b` = 5").count() == 6
+    for step in (corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates):
+        out = step(spark, docs, "")
+        assert out.columns == docs.columns and out.where("_h = 5 AND _i = 5 AND `a.b` = 5").count() == 6
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    assert op8.clean(docs, bench).columns == docs.columns
+
+
+def test_regions_and_names():
+    p = "<p>" + "word " * 30 + "</p>"
+    long = ("word " * 30).strip()
+    assert op2.main_text(f'<body><div class="content no-sidebar">{p}</div></body>') == long
+    assert op2.main_text(f'<body><div class="sharing-economy">{p}</div><div class="site-sidebar">{p}</div></body>') == long
+    assert op2.main_text(f'<article><div class="article-header"><h1>Head</h1></div>{p}</article>') == f"Head\n{long}"
+    linked = "<p>Cf. <a href=x>A&amp;B &ldquo;C&rdquo; and a long title</a></p><p><a>only a link</a></p><p>Last.</p>"
+    assert op2.main_text(f"<body>{p}{linked}</body>") == f"{long}\nCf. A&B “C” and a long title\nonly a link\nLast."
+    # short lines surge together, and only together; a break of as many links as the window parts regions
+    short, menu = "".join(f"<p>line {k} of a short-lined text here</p>" for k in range(4)), "<p><a>link</a></p>" * 4
+    page = f"<body><p>one lonely line</p>{menu}{short}{menu}{short}{menu}<p>another lonely line</p></body>"
+    want = "\n".join(f"line {k % 4} of a short-lined text here" for k in range(8))
+    assert op2.main_text(page) == want and op2.main_text(page, window=1) != want
+    assert op2.main_text("<b></i>" * 50_000) == ""
 
 
 def test_pipeline(spark, tmp_path):

@@ -2,7 +2,12 @@
 document of each group of near copies stays, documents with benchmark passages go, and the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of ``documents``.
+again as the next stage's docs. All but the last return the columns of ``documents``, whatever others there are beside
+``doc_id`` and ``text``; ``n_chars`` follows the text.
+
+Edge cases: null and empty texts stay up to packing, where they are one token; of repeated rows one stays if they have
+words; rows without an id are compared like others; an empty table passes every stage; a text of any length is handled
+whole; of equal candidates the smallest id stays (ties).
 """
 
 from __future__ import annotations
@@ -21,6 +26,14 @@ NEAR_WORDS = 5  # words of a shingle, and the similarity, of near copies
 NEAR = Fraction(4, 5)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with ``n_chars`` following the text where there is one."""
     size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
@@ -30,18 +43,22 @@ def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model learns from the training rows only, as in the operator's own query."""
     model = op9_toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=op9_toxicity.crc_mod("doc_id", 5) != 0)
-    return op9_toxicity.score(docs, model).where("toxicity < 0.5").drop("toxicity")
+    scored = op9_toxicity.score(docs, model, out=(name := _free("toxicity", docs)))
+    return scored.where(F.col(name) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks go from the later document; a document that loses all its lines goes."""
-    got = op3_line_dedup.line_dedup(docs).where((F.col("_deleted") == 0) | (F.col("_deleted") < F.col("_lines")))
+    lines, gone = _free("_lines", docs), _free("_deleted", docs)
+    got = op3_line_dedup.line_dedup(docs, lines_out=lines, deleted_out=gone).where((F.col(gone) == 0) | (F.col(gone) < F.col(lines)))
     return _like(got, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest id; rows that repeat it go, too. A document
     without words is in no group and stays. Near: five-word shingles, similarity 0.8 or more."""
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("_row")  # no name clashes with a key
+    keyed = docs.select(F.col("doc_id").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"), row)
     group = stage(op10_jaccard_join.jaccard_components(docs, words=NEAR_WORDS, threshold=NEAR).withColumnRenamed("doc_id", "_i"), "near-duplicates")
     first = group.where("n_shingles > 0").groupBy("_l").agg(F.min(F.struct("_i", "_h")).alias("m")).select(F.col("m._i").alias("_a"), F.col("m._h").alias("_b"))
     each = group.groupBy("_i", "_h").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
@@ -50,11 +67,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # what goes, and what stays but is repeated: usually few rows, so the texts needn't move
     odd = stage(fate.where("NOT stays OR rows > 1").select("_i", F.col("_h").alias("_g"), "stays"), "near-duplicates-odd")
     odd = F.broadcast(odd) if odd.count() <= FEW else odd
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
+    same = F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
     once = keyed.join(odd, same, "left_anti")
-    again = keyed.join(odd.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "_h"])
-    return once.unionByName(again).drop("_h")
+    again = keyed.join(odd.where("stays"), same, "left_semi").dropDuplicates(["_d", "_h"])
+    return once.unionByName(again).select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,22 @@ try:
 except (AttributeError, OSError):  # another C library
     pass
 
+_tenant: list = ["", None]
+
+
+def occupy(name: str, forget=None) -> None:
+    """A worker process serves one operator after another, but its long-lived memory has one tenant: what the last
+    operator remembers from task to task (``forget`` drops it) goes when another one begins."""
+    if _tenant[0] != name:
+        if _tenant[1] is not None:
+            _tenant[1]()
+        _tenant[:] = [name, forget]
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = U(pow(int(BASE), -1, 1 << 64))

@@ -110,6 +110,8 @@ def _survey(k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        core.occupy("jaccard")
+
         sketch = np.zeros(SLOTS, np.uint32)
         names = ["_id", "_h", "n", "c", "c2", "part", "blob"]
         kinds = None
@@ -174,6 +176,7 @@ def _short_lists(k: int, t: Fraction, levels):
     """(token, c, n, pos): the entries of each set in its shortest lists. Equal sets of one task go once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core.occupy("jaccard")
         level, seen = levels.value, set()
         for b in batches:
             raw, off = core.utf8(b.column(0))

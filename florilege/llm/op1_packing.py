@@ -188,6 +188,7 @@ def word_ids(path: str) -> WordIds:
 
 def _pieces(tokenizer: str, limit: int, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core.occupy("packing", word_ids.cache_clear)
         ids_of = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:

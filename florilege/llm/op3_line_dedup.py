@@ -88,6 +88,7 @@ def line_rows(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 def _lines(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core.occupy("lines")
         for b in batches:
             raw, off = core.utf8(b.column(1))
             at, n = 0, len(off) - 1

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,7 @@ class Scanner:
         """(last word, (words, items)) of each window in a text."""
         if self.trie is None or not text:
             return []
-        get = self.number.get
-        return list(self.trie.iter("".join([get(w, OTHER) for w in text])))
+        return list(self.trie.iter("".join(map(self.number.get, text, repeat(OTHER)))))
 
 
 OTHER = chr(1)  # a word that no item has
@@ -97,6 +97,7 @@ def original_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 def _scan(shared, key: str, window: int, kind: str, item_kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core.occupy("decontamination", _scanners.clear)
         trie = scanner((key, window), shared.value, window)
         for b in batches:
             raw, off = core.utf8(b.column(1))

@@ -35,6 +35,12 @@ def across_sources(df: DataFrame, priority: Column) -> DataFrame:
     return df.withColumns({"_k": F.md5("text"), "_p": priority}).join(marks, "_k").where("_p = best").drop("_k", "_p", "best")
 
 
+def removed(df: DataFrame, priority: Column) -> DataFrame:
+    """The rows that ``across_sources`` takes away, with ``contradictory``: whether for their text's labels or for its source."""
+    marks = text_marks(df, priority).select("_k", "contradictory", "best")
+    return df.withColumns({"_k": F.md5("text"), "_p": priority}).join(marks, "_k").where(F.col("contradictory") | (F.col("_p") > F.col("best"))).drop("_k", "_p", "best")
+
+
 def dedup_counts(df: DataFrame, priority: Column) -> DataFrame:
     """One row: contradictory texts, redundant texts, rows removed."""
     marks = text_marks(df, priority)
@@ -44,10 +50,11 @@ def dedup_counts(df: DataFrame, priority: Column) -> DataFrame:
     return kinds.crossJoin(gone)  # one row by one row
 
 
-def duplicate_report(df: DataFrame, least: int = 40, top: int | None = 50) -> DataFrame:
-    """Texts of ``least`` characters or more in more than one (source, label): the report's first ``top``."""
+def duplicate_report(df: DataFrame, least: int = 40, top: int | None = 50, without: tuple[str, ...] = ("pledari-grond",)) -> DataFrame:
+    """Texts of ``least`` characters or more in more than one (source, label): the report's first ``top``. Sources
+    ``without`` (the dictionary) take no part."""
     found = (
-        df.where(F.length("text") >= least).groupBy(F.md5("text").alias("text_md5"))
+        df.where((F.length("text") >= least) & ~F.col("source").isin(*without)).groupBy(F.md5("text").alias("text_md5"))
         .agg(F.min("text").alias("text"), F.countDistinct("source", "label").alias("places"), F.count(F.lit(1)).alias("rows")).where("places > 1")
     )
     return found.orderBy(F.desc("rows"), "text_md5").limit(top) if top else found

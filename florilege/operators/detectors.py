@@ -24,6 +24,23 @@ MISSING = 300  # distance of a trigram that a profile lacks
 LATIN, JAPANESE = r"\p{IsLatin}", r"\p{IsHiragana}\p{IsKatakana}"
 
 
+#: fixed values: a trigram detector's language codes and the project's labels
+PROJECT_LABELS = {
+    "roh_rumgr": "rm-rumgr", "roh_puter": "rm-puter", "roh_surmiran": "rm-surmiran", "roh_sursilv": "rm-sursilv", "roh_sutsilv": "rm-sutsilv", "roh_vallader": "rm-vallader",
+    "deu": "de", "fra": "fr", "ita": "it", "eng": "en",
+}
+
+
+def project_label(code: Column | str) -> Column:
+    """A detector's code as a label; null for a code that no label stands for."""
+    return F.create_map(*(F.lit(x) for kv in PROJECT_LABELS.items() for x in kv))[as_column(code)]
+
+
+def candidates(multilingual: bool) -> list[str]:
+    """The codes a detector may answer with: the varieties, and the other languages in the multilingual mode."""
+    return [c for c, label in PROJECT_LABELS.items() if multilingual or label.startswith("rm-")]
+
+
 def marker_label(text: Column | str) -> Column:
     """A decision list over marker shares."""
     def over(marks, least):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +47,11 @@ def class_distribution(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def classes_seen(results: list[DataFrame], column: str = "y") -> DataFrame:
+    """The classes that any of several results hold, in order."""
+    return reduce(DataFrame.union, (r.select(F.col(column).alias("class")) for r in results)).distinct().orderBy("class")
+
+
 def best_worst(results: DataFrame) -> DataFrame:
     """``results(model, set, metric, value)`` with ``best`` and ``worst`` marked where a set's values differ."""
     cell = W.partitionBy("set", "metric")

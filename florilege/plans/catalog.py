@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from florilege.functions import grams, text
 from florilege.operators import dedup, detectors, features, foreign, linear, metrics, quality, splits
-from florilege.plans import corpus, train
+from florilege.plans import files, train
 from florilege.session import shared_dir, stage
 from florilege.streaming import score as streaming
 
@@ -625,3 +625,7 @@ def search_best_params(spark, sf):
     """Random search with stratified folds on a stratified subset: scores of each configuration, for a few draws."""
     sub = stage(splits.stratified_subset(_labelled(spark, sf), "id", 0.2, "class"), "subset")
     return train.best(train.search(sub, [p | _NARROW for p in train.draws("logistic", 2)], "logistic", k=3, iterations=15), top=5)
+
+
+QUERIES |= files.QUERIES
+ORACLE |= files.ORACLE

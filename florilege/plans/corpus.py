@@ -41,3 +41,8 @@ def split(df: DataFrame, key: str = "seq") -> DataFrame:
         "wikipedia": F.when(r <= tenth, "test_e").when(r <= 2 * tenth, "dev").otherwise("train"),
     }
     return splits.allocate(df, key, plan)
+
+
+def test_sets(multilingual: bool) -> list[str]:
+    """Names of the test splits; the encyclopedia's belongs to the multilingual mode."""
+    return [f"test_{x}" for x in ("abcde" if multilingual else "abcd")]

@@ -32,7 +32,7 @@ LIMIT = 2048
 END_ID = 0
 SALTS = 256
 PART = 1 << 21  # bytes of text parted into words at once
-KNOWN = 900_000  # words whose ids a worker remembers
+KNOWN = 500_000  # words whose ids a worker remembers
 _GAPS = bytes(0x20 if c in (0x09, 0x0A, 0x0D) else c for c in range(256))
 
 

@@ -102,22 +102,34 @@ def lexicon(df: DataFrame, lang_col: str, text_col: str = "text", least_docs: in
     return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("lang", "word")
 
 
-def accepted(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text") -> DataFrame:
-    """``id, word, n, langs``: each text's words, how often, and the languages that accept them (sorted; maybe none)."""
+def spellings(word: str) -> Column:
+    """The forms a spelling dictionary tries for a word: itself, and where its first letter is a capital the small one;
+    a word in capitals also with only its first."""
+    w = F.col(word)
+    low, first = F.lower(w), F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    return F.array_distinct(F.array(w, F.when((w == first) | (w == F.upper(w)), low).otherwise(w), F.when(w == F.upper(w), first).otherwise(w)))
+
+
+def accepted(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text", capitals: bool = False) -> DataFrame:
+    """``id, word, n, langs``: each text's words, how often, and the languages that accept them (sorted; maybe none).
+    ``capitals``: ``words`` is a spelling dictionary, whose words may begin a sentence or stand in capitals."""
     tokens = df.select(F.col(id_col).alias("id"), F.explode(letter_tokens(text_col)).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    if capitals:  # distinct words are looked up, not every token
+        tried = tokens.select("word").distinct().select("word", F.explode(spellings("word")).alias("form"))
+        words = tried.join(words.select("lang", F.col("word").alias("form")), "form").select("lang", "word")
     by_word = words.groupBy("word").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
     return tokens.join(by_word, "word", "left").select("id", "word", "n", F.coalesce("langs", F.array().cast("array<string>")).alias("langs"))
 
 
-def word_breakdown(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text") -> DataFrame:
+def word_breakdown(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text", capitals: bool = False) -> DataFrame:
     """Per word: accepting languages, weight 1 / their number (0 if none), and whether none accepts it."""
     k = F.size("langs")
-    return accepted(df, id_col, words, text_col).select("id", "word", "n", "langs", F.when(k > 0, 1 / k).otherwise(0.0).alias("weight"), (k == 0).alias("not_found"))
+    return accepted(df, id_col, words, text_col, capitals).select("id", "word", "n", "langs", F.when(k > 0, 1 / k).otherwise(0.0).alias("weight"), (k == 0).alias("not_found"))
 
 
-def coverage(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text", langs: list[str] | None = None) -> DataFrame:
+def coverage(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text", langs: list[str] | None = None, capitals: bool = False) -> DataFrame:
     """``id, lang, score``: a language's share of the weight of accepted words; all 0 where none is accepted."""
-    a = accepted(df, id_col, words, text_col).where(F.size("langs") > 0).withColumn("w", F.col("n") / F.size("langs"))
+    a = accepted(df, id_col, words, text_col, capitals).where(F.size("langs") > 0).withColumn("w", F.col("n") / F.size("langs"))
     total = a.groupBy("id").agg(F.sum("w").alias("total"))
     each = a.select("id", "w", F.explode("langs").alias("lang")).groupBy("id", "lang").agg(F.sum("w").alias("w"))
     names = words.select("lang").distinct() if langs is None else words.sparkSession.createDataFrame([(x,) for x in langs], "lang string")

@@ -15,7 +15,7 @@ from florilege.functions import text
 from florilege.operators import dedup, detectors, metrics
 from florilege.plans import corpus
 from florilege.session import shared_dir
-from florilege.sources import readers, sinks
+from florilege.sources import readers, sinks, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,6 +128,30 @@ def read_word_list(spark, sf):
     return readers.lexicon(spark, to + "/*.txt").select(F.lit("rm-puter").alias("lang"), "word").distinct()
 
 
+_STEMS = "(SELECT DISTINCT lang, word FROM (SELECT lang, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS word FROM documents))"
+_FORMS = f"""WITH s AS {_STEMS},
+f AS (SELECT lang, word, '' AS step FROM s UNION ALL SELECT lang, word || 's', 's' FROM s WHERE regexp_matches(word, '[^es]$') UNION ALL SELECT lang, left(word, length(word) - 1) || 'ing', 'i' FROM s WHERE word LIKE '%e'),
+g AS (SELECT * FROM f UNION ALL SELECT lang, word || 's', 'is' FROM f WHERE step = 'i')
+SELECT DISTINCT lang, word FROM (SELECT lang, word FROM g UNION ALL SELECT lang, 'un' || word FROM g WHERE regexp_matches(word, '^[aeiou]'))"""
+
+
+def _dictionary(spark, sf) -> tuple[str, str]:
+    """Grammar and word list of each language, in folders: every word of the documents is a stem of two classes."""
+    to = place(spark, "spelling")
+    rules = ("SET UTF-8", "SFX S Y 1", "SFX S 0 s [^es]", "SFX E Y 1", "SFX E e ing/S e", "PFX U Y 1", "PFX U 0 un [aeiou]")
+    words = documents(spark, sf).select("lang", F.explode(F.filter(text.tokens("text"), lambda x: x.rlike("^[a-z]{2,}$"))).alias("w")).distinct()
+    for lang in VARIETY:
+        spark.createDataFrame([("\n".join(rules),)], "value string").coalesce(1).write.text(f"{to}/rules/{lang}")
+        words.where(F.col("lang") == lang).select(F.concat("w", F.lit("/SEU")).alias("value")).write.text(f"{to}/list/{lang}")
+    return f"{to}/rules/*/*.txt", f"{to}/list/*/*.txt"
+
+
+@query(_FORMS)
+def read_spelling_dictionary(spark, sf):
+    """The forms that affix rules make of stems: suffixes, a suffix on a suffix, prefixes, both."""
+    return spelling.lexicon(spark, *_dictionary(spark, sf), folders=True)
+
+
 @query("WITH p AS (SELECT lang, doc_id, i, trim(x) AS t FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(trim(x)) >= 50), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) AS k FROM p) SELECT lang, md5(t) AS text_md5 FROM r WHERE k <= 200")
 def read_articles(spark, sf):
     to = place(spark, "articles")
@@ -258,19 +282,12 @@ def classes_seen(spark, sf):
     return metrics.classes_seen([d.select(F.col("lang").alias("y")), spark.createDataFrame([("xx",)], "y string")])
 
 
-@query("SELECT * FROM (VALUES (1, 'Val', 'Val'), (2, 'B', 'B')) v(place, term, again)")
+@query("SELECT doc_id, md5(replace(replace(text, 'en', '$NE$'), 'a B', '$NE$')) AS text_md5 FROM documents")
 def read_allow_list(spark, sf):
-    """Terms in file order, without comments; the filter takes the list."""
+    """Terms of a file, without comments and blank lines, masked in file order wherever they stand."""
     to = place(spark, "allowed")
-    spark.createDataFrame([("# c\n\nVal \n B\n",)], "value string").coalesce(1).write.text(to)
-    terms = readers.allow_list(spark, to)
-    return spark.createDataFrame([(i, t, t) for i, t in enumerate(terms, 1)], "place int, term string, again string")
-
-
-@query("SELECT count(*) AS hits FROM (SELECT unnest(regexp_extract_all(text, '[öü]')) FROM documents)")
-def foreign_characters(spark, sf):
-    """How often the characters of a rule occur."""
-    return documents(spark, sf).agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("[öü]"))), F.lit(0)).cast("long").alias("hits"))
+    spark.createDataFrame([("# c\n\nen \n a B\n#a\n",)], "value string").coalesce(1).write.text(to)
+    return documents(spark, sf).select("doc_id", F.md5(text.mask("text", readers.allow_list(spark, to))).alias("text_md5"))
 
 
 @query("SELECT '{\"a\":1,\"b\":[1,2]}' AS value")

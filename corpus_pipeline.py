@@ -41,8 +41,11 @@ def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go. The model learns from the training rows only, as in the operator's own query."""
+    """Documents scored 0.5 or more go. The model learns from the training rows only, as in the operator's own query;
+    where the labels teach nothing (too few, or of one class), none goes."""
     model = op9_toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=op9_toxicity.crc_mod("doc_id", 5) != 0)
+    if model.flat is not None:
+        return docs
     scored = op9_toxicity.score(docs, model, out=(name := _free("toxicity", docs)))
     return scored.where(F.col(name) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
@@ -64,8 +67,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     each = group.groupBy("_i", "_h").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
     stays = first.withColumn("stays", F.lit(True))
     fate = each.join(stays, F.col("_i").eqNullSafe(F.col("_a")) & (F.col("_h") == F.col("_b")), "left").withColumn("stays", F.coalesce("stays", F.col("n") == 0))
-    # what goes, and what stays but is repeated: usually few rows, so the texts needn't move
-    odd = stage(fate.where("NOT stays OR rows > 1").select("_i", F.col("_h").alias("_g"), "stays"), "near-duplicates-odd")
+    # what goes, and what stays but is repeated (rows without words stay as they are): usually few rows, so the texts needn't move
+    odd = stage(fate.where("NOT stays OR (rows > 1 AND n > 0)").select("_i", F.col("_h").alias("_g"), "stays"), "near-duplicates-odd")
     odd = F.broadcast(odd) if odd.count() <= FEW else odd
     same = F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
     once = keyed.join(odd, same, "left_anti")

@@ -5,7 +5,7 @@ import pytest
 
 from florilege.llm import core
 from florilege.llm.op1_packing import CapacityTree, plan
-from florilege.llm.suffix import nearest_smaller, previous_factor
+from florilege.llm.suffix import PACKED, previous_factor, previous_smaller
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 12, 13, 32])
@@ -42,9 +42,14 @@ def test_winnow_covers_each_window_once_and_alike():
 
 def test_lpf_against_brute_force():
     r = np.random.default_rng(2)
-    for cap in (3, 7, 50):
-        s = r.integers(0, 2, 60).astype(np.uint32)
-        lpf, lnf = previous_factor(s, cap)
+    for cap in (3, 7, 16, 50):
+        s = r.integers(0, 2, 160).astype(np.uint8)
+        n = len(s)
+        widths = [1]
+        while widths[-1] * 2 <= min(cap, PACKED):
+            widths = [widths[-1] * 2]
+        while widths[-1] < cap:
+            widths.append(min(cap, widths[-1] * 2))
 
         def lcp(i, j, s=s, cap=cap):
             k = 0
@@ -52,10 +57,17 @@ def test_lpf_against_brute_force():
                 k += 1
             return k
 
-        n = len(s)
-        assert lpf.tolist() == [max((lcp(i, j) for j in range(i)), default=0) for i in range(n)]
-        assert lnf.tolist() == [max((lcp(i, j) for j in range(i + 1, n)), default=0) for i in range(n)]
-    assert nearest_smaller(np.array([3, 1, 2, 5, 4])).tolist() == [-1, -1, 1, 2, 2]
+        best = [max((lcp(i, j) for j in range(i)), default=0) if n - i >= cap else 0 for i in range(n)]
+        length, source = previous_factor(s, np.array([0, n]), cap)
+        assert length.tolist() == [max((w for w in widths if w <= x), default=0) for x in best]
+        for i in np.flatnonzero(length).tolist():
+            assert source[i] < i and lcp(i, int(source[i])) >= length[i]
+
+
+def test_previous_smaller():
+    x = np.array([3, 1, 2, 5, 4])
+    at, least = previous_smaller(x, np.array([0, 9, 7, 6, 8]))
+    assert at.tolist() == [-1, -1, 1, 2, 2] and least.tolist() == [0, 0, 7, 6, 6]
 
 
 def test_capacity_tree():

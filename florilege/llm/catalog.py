@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florilege.llm import op1_packing, op2_extraction, op3_line_dedup, op4_suffix_dedup, op5_substring_dedup, op6_pii, op7_quality, op8_decontamination, op9_toxicity, op10_jaccard_join
+from florilege.llm import op1_packing, op2_extraction, op3_line_dedup, op4_suffix_dedup, op5_substring_dedup, op6_pii, op7_quality, op8_decontamination, op9_toxicity, op10_jaccard_join, op12_fill_in_middle
 
 QUERIES = {
     "op1_packing": op1_packing.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_jaccard_join": op10_jaccard_join.query,
+    "op12_fill_in_middle": op12_fill_in_middle.query,
 }
 ORACLE = {
     "op5_substring_dedup": op5_substring_dedup.ORACLE,
     "op8_decontamination": op8_decontamination.ORACLE,
     "op10_jaccard_join": op10_jaccard_join.ORACLE,
+    "op12_fill_in_middle": op12_fill_in_middle.ORACLE,
 }

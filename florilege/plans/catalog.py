@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions import grams, text
-from florilege.operators import dedup, detectors, features, foreign, linear, metrics, quality, splits
+from florilege.operators import dedup, detectors, features, foreign, linear, metrics, quality, splits, stages
 from florilege.plans import files, train
 from florilege.session import shared_dir, stage
 from florilege.streaming import score as streaming
@@ -409,6 +410,18 @@ def export_import_predict(spark, sf):
     return linear.predict(linear.score(linear.load(spark, linear.export(model)), d, "seq", counts=counts))
 
 
+@query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
+def fitted_pipeline_predict(spark, sf):
+    """Predictions of a fitted ML pipeline that was saved and loaded."""
+    import uuid
+
+    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    d = documents(spark, sf)
+    classifier = stages.TextClassifier(kind="means", char=_CHAR, word=_WORD, limits=(_TOP["char"], _TOP["word"]))
+    Pipeline(stages=[classifier]).fit(d).save(place)
+    return PipelineModel.load(place).transform(d).select(F.col("seq").alias("id"), F.col("prediction").alias("class"))
+
+
 # --- detectors ----------------------------------------------------------------------------------
 
 

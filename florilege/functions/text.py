@@ -59,13 +59,18 @@ def normalize(c: Column | str) -> Column:
     return placeholders(decompose(as_column(c)))
 
 
-def normalize_plain(c: Column | str, entities: dict[str, str] | None = None) -> Column:
-    """``normalize`` without Python, for text known to hold no compatibility forms and only these entities."""
+def utf16_length(c: Column | str) -> Column:
+    """Length in UTF-16 units."""
+    return F.floor(F.octet_length(F.encode(as_column(c), "UTF-16BE")) / 2)
+
+
+def utf16_left(c: Column | str, n: int) -> Column:
+    """The first n UTF-16 units. Where the cut halves a character, a private one (U+E000) stands for the half."""
     c = as_column(c)
-    for name, char in (entities or {}).items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    c = F.regexp_replace(c, "<[^>]+>", " ")
-    return placeholders(F.translate(F.translate(c, DOT_BELOW + INVISIBLE, ""), " ", " "))
+    units = F.left(F.hex(F.encode(F.left(c, F.lit(n)), "UTF-16BE")), F.lit(4 * n))  # n code points are n units at least
+    last = F.right(units, F.lit(4))
+    whole = F.when(last.between("D800", "DBFF"), F.concat(F.left(units, F.length(units) - 4), F.lit("E000"))).otherwise(units)
+    return F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), F.decode(F.unhex(whole), "UTF-16BE")).otherwise(F.left(c, F.lit(n)))
 
 
 def has_letter(c: Column | str) -> Column:

@@ -15,11 +15,12 @@ def priority_of(source: Column, order: tuple[str, ...] = PRIORITY) -> Column:
 
 
 def within_source(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """The first row of each (source, label, text). The choice is a map-side minimum, so a text that makes up a
-    third of all rows is one row per task."""
-    rest = [c for c in df.columns if c not in (seq, "source", "label", "text")]
-    first = df.groupBy("source", "label", F.md5("text").alias("_k")).agg(F.min(F.struct(seq, "text", *rest)).alias("r"))
-    return first.select(*(F.col(c) if c in ("source", "label") else F.col(f"r.`{c}`") for c in df.columns))
+    """The first row of each (source, label, text). The choice is a map-side minimum over short keys, so a text that makes up a
+    third of all rows is one row per task; texts are neither sorted nor shuffled by it unless the join needs them to."""
+    keyed = df.withColumn("_k", F.md5("text"))
+    first = keyed.groupBy(F.col("source").alias("_s"), F.col("label").alias("_l"), F.col("_k").alias("_f")).agg(F.min(seq).alias("_seq"))
+    on = keyed["source"].eqNullSafe(first["_s"]) & keyed["label"].eqNullSafe(first["_l"]) & keyed["_k"].eqNullSafe(first["_f"]) & keyed[seq].eqNullSafe(first["_seq"])
+    return keyed.join(first, on, "left_semi").drop("_k")
 
 
 def text_marks(df: DataFrame, priority: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from florilege.functions import grams
-from florilege.functions.text import as_column, letter_tokens, share_of
+from florilege.functions.text import as_column, letter_tokens, share_of, utf16_left, utf16_length
 
 #: fixed values: markers of each variety, deleted in this order, and the percentages they must exceed
 GERMAN, GERMAN_SHARE = ("ä",), 0.4
@@ -36,9 +36,21 @@ def project_label(code: Column | str) -> Column:
     return F.create_map(*(F.lit(x) for kv in PROJECT_LABELS.items() for x in kv))[as_column(code)]
 
 
-def candidates(multilingual: bool) -> list[str]:
-    """The codes a detector may answer with: the varieties, and the other languages in the multilingual mode."""
-    return [c for c, label in PROJECT_LABELS.items() if multilingual or label.startswith("rm-")]
+#: fixed values: the test set that holds other languages, and the languages that only it may be answered with
+MIXED_SET = "test_e"
+
+
+def candidates(test_set: Column | str, multilingual: bool = True) -> Column:
+    """The labels a detector may answer with for a row, by its test set: the varieties, and in the multilingual mode's mixed set
+    the other languages, too."""
+    labels = list(PROJECT_LABELS.values())
+    own = F.array(*(F.lit(x) for x in labels if x.startswith("rm-")))
+    return F.when(as_column(test_set) == MIXED_SET, F.array(*(F.lit(x) for x in labels))).otherwise(own) if multilingual else own
+
+
+def _may(candidates: str | None, lang: Column) -> Column:
+    """Whether a row may be answered with a language: its candidates hold it, or it has none of its own."""
+    return F.lit(True) if candidates is None else F.col(candidates).isNull() | F.array_contains(F.col(candidates), lang)
 
 
 def marker_label(text: Column | str) -> Column:
@@ -65,34 +77,41 @@ def profile_rows(df: DataFrame) -> DataFrame:
     return df.select("lang", "ord", F.posexplode(F.split("profile", r"\|")).alias("rank", "trigram"))
 
 
-def readable(text: Column | str, least: int = 10) -> Column:
-    """Whether a text is long enough and in Latin script (more Latin than Japanese letters, and any at all)."""
+def readable(text: Column | str, least: int = 10, longest: int | None = None) -> Column:
+    """Whether a text is long enough (in UTF-16 units) and in Latin script: more Latin than Japanese letters, and any at all,
+    among its first ``longest`` units."""
     t = as_column(text)
-    latin, kana = F.regexp_count(t, F.lit(f"[{LATIN}]")), F.regexp_count(t, F.lit(f"[{JAPANESE}]"))
-    return F.coalesce((F.length(t) >= least) & (latin > 0) & (latin >= kana), F.lit(False))
+    seen = t if longest is None else utf16_left(t, longest)
+    latin, kana = F.regexp_count(seen, F.lit(f"[{LATIN}]")), F.regexp_count(seen, F.lit(f"[{JAPANESE}]"))
+    return F.coalesce((utf16_length(t) >= least) & (latin > 0) & (latin >= kana), F.lit(False))
 
 
-def trigram_distances(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048) -> DataFrame:
+def trigram_distances(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048, candidates: str | None = None) -> DataFrame:
     """``id, lang, ord, distance, confidence``: the sum over a text's trigrams of |count - rank - 1|, 300 for those the
-    profile lacks. The detector looks at the first 2048 characters; ``longest=None`` reads all."""
+    profile lacks. The detector looks at the first 2048 UTF-16 units; ``longest=None`` reads all. ``allowed`` restricts the answers for all
+    rows, ``candidates`` (a column of arrays, null: no restriction) row by row; both before distances become confidences."""
     langs = profile.select("lang", "ord").distinct()
     if allowed is not None:
         langs = langs.where(F.col("lang").isin(allowed))
-    text = F.col(text_col) if longest is None else F.left(text_col, F.lit(longest))
-    counts = df.where(readable(text_col)).select(F.col(id_col).alias("id"), F.explode(grams.trigrams(text)).alias("trigram")).groupBy("id", "trigram").agg(F.count(F.lit(1)).alias("n"))
+    text = F.col(text_col) if longest is None else utf16_left(text_col, longest)
+    own = [] if candidates is None else [F.col(candidates).alias("_may")]
+    read = df.where(readable(text_col, longest=longest)).select(F.col(id_col).alias("id"), text.alias("text"), *own)
+    counts = read.select("id", F.explode(grams.trigrams("text")).alias("trigram")).groupBy("id", "trigram").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("id").agg(F.count(F.lit(1)).alias("kinds"))
+    if own:
+        sizes = sizes.join(read.select("id", "_may"), "id")
     # what a language's profile knows of the text replaces the penalty
     known = counts.join(profile, "trigram").groupBy("id", "lang").agg(F.sum(F.abs(F.col("n") - F.col("rank") - 1) - MISSING).alias("less"))
-    every = sizes.crossJoin(F.broadcast(langs)).join(known, ["id", "lang"], "left")  # documents by a handful of languages
+    every = sizes.crossJoin(F.broadcast(langs)).where(_may("_may" if own else None, F.col("lang"))).join(known, ["id", "lang"], "left")  # documents by a handful of languages
     d = every.withColumn("distance", F.col("kinds") * MISSING + F.coalesce("less", F.lit(0)))
     low = F.min("distance").over(W.partitionBy("id"))
     span = F.col("kinds") * MISSING - low
     return d.withColumn("confidence", F.when(span > 0, 1 - (F.col("distance") - low) / span).otherwise(0.0)).select("id", "lang", "ord", "distance", "confidence")
 
 
-def trigram_label(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048) -> DataFrame:
+def trigram_label(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048, candidates: str | None = None) -> DataFrame:
     """``id, lang``: the smallest distance, the first in profile order on ties; ``und`` for texts too short or in another script."""
-    near = trigram_distances(df, id_col, profile, text_col, allowed, longest).groupBy("id").agg(F.min_by("lang", F.struct("distance", "ord")).alias("lang"))
+    near = trigram_distances(df, id_col, profile, text_col, allowed, longest, candidates).groupBy("id").agg(F.min_by("lang", F.struct("distance", "ord")).alias("lang"))
     return df.select(F.col(id_col).alias("id")).join(near, "id", "left").withColumn("lang", F.coalesce("lang", F.lit("und")))
 
 
@@ -127,13 +146,15 @@ def word_breakdown(df: DataFrame, id_col: str, words: DataFrame, text_col: str =
     return accepted(df, id_col, words, text_col, capitals).select("id", "word", "n", "langs", F.when(k > 0, 1 / k).otherwise(0.0).alias("weight"), (k == 0).alias("not_found"))
 
 
-def coverage(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text", langs: list[str] | None = None, capitals: bool = False) -> DataFrame:
-    """``id, lang, score``: a language's share of the weight of accepted words; all 0 where none is accepted."""
+def coverage(df: DataFrame, id_col: str, words: DataFrame, text_col: str = "text", langs: list[str] | None = None, capitals: bool = False, candidates: str | None = None) -> DataFrame:
+    """``id, lang, score``: a language's share of the weight of accepted words; all 0 where none is accepted. ``candidates``: a
+    column of the languages a row may be answered with (null: all); the others keep their share of the weight, but give no row."""
     a = accepted(df, id_col, words, text_col, capitals).where(F.size("langs") > 0).withColumn("w", F.col("n") / F.size("langs"))
     total = a.groupBy("id").agg(F.sum("w").alias("total"))
     each = a.select("id", "w", F.explode("langs").alias("lang")).groupBy("id", "lang").agg(F.sum("w").alias("w"))
     names = words.select("lang").distinct() if langs is None else words.sparkSession.createDataFrame([(x,) for x in langs], "lang string")
-    every = df.select(F.col(id_col).alias("id")).crossJoin(F.broadcast(names)).join(each, ["id", "lang"], "left").join(total, "id", "left")  # documents by a handful of languages
+    own = [] if candidates is None else [F.col(candidates).alias("_may")]
+    every = df.select(F.col(id_col).alias("id"), *own).crossJoin(F.broadcast(names)).where(_may("_may" if own else None, F.col("lang"))).join(each, ["id", "lang"], "left").join(total, "id", "left")  # documents by a handful of languages
     return every.select("id", "lang", F.when(F.col("total") > 0, F.coalesce("w", F.lit(0.0)) / F.col("total")).otherwise(0.0).alias("score"))
 
 

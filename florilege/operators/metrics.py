@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,10 +66,16 @@ def compare(a: DataFrame, b: DataFrame, threshold: float = 0.001) -> DataFrame:
     return both.withColumns({"delta": F.col("b") - F.col("a"), "alike": F.abs(F.col("b") - F.col("a")) < threshold})
 
 
-def result_json(df: DataFrame, model: str) -> DataFrame:
-    """One JSON document per model: test set -> n_samples, accuracy, macro F1 and per-class figures, 6 decimals."""
-    classes = per_class(df, ["set"]).groupBy("set").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", F.struct(F.round("f1", 6).alias("f1"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "support"))))).alias("per_class"))
+def result_document(df: DataFrame, name: str, source: str, timestamp: str, labels: dict[str, str] | None = None) -> DataFrame:
+    """One row ``name, source, timestamp, test_sets``: per test set its label, number of samples, accuracy, macro F1 and per-class figures, to six
+    decimals. The type is the one that ``readers.result_documents`` reads; ``labels`` gives sets a longer name."""
+    def six(c: str) -> Column:
+        return F.round(c, 6).alias(c)
+
+    figures = F.struct(six("f1"), six("precision"), six("recall"), "support")
+    classes = per_class(df, ["set"]).groupBy("set").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", figures)))).alias("per_class"))
     sets = accuracy(df, ["set"]).join(macro(df, ["set"]), "set").join(classes, "set")
-    cell = F.struct("n_samples", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "per_class")
-    return sets.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("set", F.to_json(cell).alias("v"))))).alias("m")).select(F.lit(model).alias("model"), F.to_json("m").alias("test_sets"))
+    title = F.coalesce(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[F.col("set")], F.col("set")) if labels else F.col("set")
+    cell = F.struct(title.alias("label"), "n_samples", six("accuracy"), six("macro_f1"), "per_class")
+    whole = sets.agg(F.map_from_entries(F.collect_list(F.struct("set", cell))).alias("test_sets"))  # a row per test set
+    return whole.select(F.lit(name).alias("name"), F.lit(source).alias("source"), F.lit(timestamp).alias("timestamp"), "test_sets")

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from florilege.functions.text import average, tokens
-from florilege.operators.rank import at_index, length_counts, quantile_index
+from florilege.operators.rank import at_index, length_counts, quantile_index, smallest
+from florilege.session import stage
 
 #: fixed value: a character reference
 ENTITY = r"&(?:[a-zA-Z]{2,8}|#[0-9]{1,6}|#x[0-9a-fA-F]{1,6});"
@@ -63,6 +64,17 @@ def box_stats(df: DataFrame, by: list[str]) -> DataFrame:
     return c.join(q, by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"))
 
 
+def fliers(df: DataFrame, by: list[str], id_col: str, most: int = 300, seed: str = "42") -> DataFrame:
+    """``by, id_col, length`` of texts whose length lies outside the whiskers' fences: ``most`` of each group, by the hash of their id."""
+    box = box_stats(df, by).select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_low"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_high"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    each = df.select(*by, id_col, F.length("text").cast("long").alias("length"))
+    outside = each.join(F.broadcast(box), on).where((F.col("length") < F.col("_low")) | (F.col("length") > F.col("_high")))  # a row per group
+    return smallest(outside.select(*by, id_col, "length"), by, id_col, most, seed)
+
+
 def char_inventory(df: DataFrame, by: list[str]) -> DataFrame:
     """``char, code, n``: how often each character occurs."""
     chars = df.select(*by, F.explode(F.split("text", "")).alias("char")).where("char <> ''")
@@ -103,4 +115,22 @@ def paragraphs(df: DataFrame, by: str, order: str, least: int = 50, most: int |
     lines = df.select(by, order, F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("text", F.trim("text")).where(F.length("text") >= least)
     if most is None:
         return lines
-    return lines.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(order, "line"))).where(F.col("place") <= most)
+    # how many paragraphs the texts before have says which texts take part; a text's own are numbered by themselves
+    upto = first_texts(lines, by, order, most)
+    some = lines.join(upto, lines[by].eqNullSafe(upto["_by"]) & lines[order].eqNullSafe(upto["_order"]))
+    own = F.row_number().over(W.partitionBy(by, order).orderBy("line", "text"))
+    return some.withColumn("place", own + F.col("_before")).where(F.col("place") <= most).drop("_by", "_order", "_before")
+
+
+def first_texts(lines: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """``_by, _order, _before``: texts of each group in order that have fewer than ``most`` rows before them, and how many.
+
+    Rows are counted per text; texts are sorted by ranges, a large group in many tasks, and counted up within a task and
+    over the tasks before it, of which there is one row each."""
+    sizes = lines.groupBy(F.col(by).alias("_by"), F.col(order).alias("_order")).agg(F.count(F.lit(1)).alias("_n"))
+    spread = stage(sizes.repartitionByRange("_by", "_order").sortWithinPartitions("_by", "_order").withColumn("_part", F.spark_partition_id()), "texts-in-order")
+    parts = spread.groupBy("_by", "_part").agg(F.sum("_n").alias("_p"))
+    earlier = parts.select(F.col("_by").alias("_b"), F.col("_part").alias("_q"), (F.sum("_p").over(W.partitionBy("_by").orderBy("_part")) - F.col("_p")).alias("_e"))
+    near = spread.join(F.broadcast(earlier.where(F.col("_e") < most)), spread["_by"].eqNullSafe(F.col("_b")) & (spread["_part"] == F.col("_q")))  # a row per group and task
+    inside = F.sum("_n").over(W.partitionBy("_by", "_part").orderBy("_order")) - F.col("_n")
+    return near.withColumn("_before", F.col("_e") + inside).where(F.col("_before") < most).select("_by", "_order", "_before")

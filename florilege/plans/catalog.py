@@ -108,6 +108,15 @@ def boxplot_stats(spark, sf):
     return quality.box_stats(documents(spark, sf), ["label"])
 
 
+@query(f"""
+WITH g AS (SELECT label, list_sort(list(length(text))) AS l, count(*) AS n FROM {DOCS} GROUP BY label), q AS (SELECT label, l[n // 4 + 1] AS q1, l[3 * n // 4 + 1] AS q3 FROM g),
+o AS (SELECT label, seq, length(text) AS length, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || seq), seq) AS k FROM {DOCS} JOIN q USING (label) WHERE length(text) NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))
+SELECT label, seq, length FROM o WHERE k <= 300""")
+def boxplot_fliers(spark, sf):
+    """Texts outside the whiskers, 300 of each label by hash."""
+    return quality.fliers(documents(spark, sf), ["label"], "seq")
+
+
 @query(f"SELECT label, char, count(*) AS n FROM (SELECT label, unnest(string_split(text, '')) AS char FROM {DOCS}) WHERE char <> '' GROUP BY ALL")
 def char_inventory(spark, sf):
     return quality.char_inventory(documents(spark, sf), ["label"])
@@ -464,6 +473,21 @@ def stream_marker_labels(spark, sf):
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
+@query("SELECT DISTINCT md5(text) AS text_md5 FROM documents")
+def stream_distinct_texts(spark, sf):
+    """Distinct texts of a stream that stops after half of its files and goes on from its checkpoint."""
+    import uuid
+
+    place = f"{shared_dir(spark)}/distinct-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.timestamp_seconds(1_700_000_000 + F.col("doc_id") % 3600).alias("at"))
+    for half in (0, 1):
+        docs.where(F.col("doc_id") % 2 == half).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{place}/in")
+        out = streaming.distinct_texts(stream, "at", late="2 hours").select(F.md5("text").alias("text_md5"))
+        out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
+
+
 def _trigram_sql(src: str, cols: str) -> str:
     t = "' ' || lower(trim(regexp_replace(regexp_replace(text, '[!-@]+', ' ', 'g'), '\\s+', ' ', 'g'))) || ' '"
     return f"(SELECT {cols}, substring(t, i, 3) AS trigram FROM (SELECT {cols}, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT {cols}, {t} AS t FROM {src})))"
@@ -494,6 +518,40 @@ def trigram_predict(spark, sf):
     return detectors.trigram_label(table(spark, sf, "benchmark"), "item_id", _profile(spark, sf), longest=None)
 
 
+#: texts whose first 2048 UTF-16 units hold characters of two units
+_TWO_UNITS = "repeat('😀', 5) || text"
+_CUT = _DISTANCE.replace(_trigram_sql("benchmark WHERE length(text) >= 10 AND regexp_matches(text, '[A-Za-z]')", "item_id"), _trigram_sql(f"(SELECT doc_id AS item_id, substring({_TWO_UNITS}, 1, 2043) AS text FROM documents WHERE regexp_matches(substring(text, 1, 2038), '[A-Za-z]'))", "item_id"))
+
+
+@query(_CUT + " SELECT id, lang, distance FROM d")
+def trigram_distance_cut(spark, sf):
+    """The detector as it is used, over all documents: it sees the first 2048 UTF-16 units of each."""
+    d = documents(spark, sf).select("seq", F.concat(F.lit("😀" * 5), "text").alias("text"))
+    return detectors.trigram_distances(d, "seq", _profile(spark, sf)).select("id", "lang", F.col("distance").cast("long").alias("distance"))
+
+
+#: every other text may be answered with two languages only
+_POLICY = "({id} % 2 = 1 OR lang IN ('en', 'fr'))"
+
+
+def _candidates(df: DataFrame) -> DataFrame:
+    return df.withColumn("may", F.when(F.col("item_id") % 2 == 0, F.array(F.lit("en"), F.lit("fr"))))
+
+
+@query(_DISTANCE + f", e AS (SELECT * FROM d WHERE {_POLICY.format(id='id')}) SELECT id, lang, round(1 - (distance - min(distance) OVER w) / (300 * kinds - min(distance) OVER w), 6) AS confidence FROM e WINDOW w AS (PARTITION BY id)")
+def trigram_candidates(spark, sf):
+    """Two candidate policies in one table: the others are out before distances become confidences."""
+    d = detectors.trigram_distances(_candidates(table(spark, sf, "benchmark")), "item_id", _profile(spark, sf), longest=None, candidates="may")
+    return d.select("id", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH m AS (SELECT doc_id, 'test_' || substring('abcde', substring(source, 4)::INT % 5 + 1, 1) AS s FROM documents) SELECT doc_id, s AS test_set, array_to_string(CASE WHEN s = 'test_e' THEN {list(detectors.PROJECT_LABELS.values())} ELSE {[x for x in detectors.PROJECT_LABELS.values() if x.startswith('rm-')]} END, ',') AS labels FROM m")
+def candidate_policy(spark, sf):
+    """What a detector may answer with, by the test set a text belongs to."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("test_"), F.substr(F.lit("abcde"), F.substring("source", 4, 9).cast("int") % 5 + 1, F.lit(1))).alias("test_set"))
+    return d.select("doc_id", "test_set", F.array_join(detectors.candidates("test_set"), ",").alias("labels"))
+
+
 _LETTERS = "list_filter(regexp_extract_all(text, '\\p{L}+(?:''\\p{L}+)*'), lambda x: length(x) >= 2)"
 _LEXICON = f"""WITH lex AS (SELECT lang, word FROM (SELECT lang, unnest(list_distinct({_LETTERS})) AS word FROM documents) GROUP BY ALL HAVING count(*) >= 3),
 tok AS (SELECT id, word, count(*) AS n FROM (SELECT item_id AS id, unnest({_LETTERS}) AS word FROM benchmark) GROUP BY ALL),
@@ -523,6 +581,13 @@ def coverage_mixed(spark, sf):
     return detectors.coverage_label(detectors.coverage(table(spark, sf, "benchmark"), "item_id", _lexicon(spark, sf)), mixed=0.5).select("id", "lang")
 
 
+@query(_LEXICON.replace("best AS (", f"may AS (SELECT * FROM sc WHERE {_POLICY.format(id='id')}), best AS (").replace("AS k FROM sc)", "AS k FROM may)") + "SELECT id, CASE WHEN score = 0 THEN 'und' ELSE lang END AS lang, round(score, 6) AS score FROM best")
+def coverage_candidates(spark, sf):
+    """Two candidate policies in one table: the others are out after words have given their weight."""
+    scores = detectors.coverage(_candidates(table(spark, sf, "benchmark")), "item_id", _lexicon(spark, sf), candidates="may")
+    return detectors.coverage_label(scores).select("id", "lang", F.round("score", 6).alias("score"))
+
+
 @query(_LEXICON + "SELECT id, word, n, array_to_string(langs, ',') AS langs, round(CASE WHEN len(langs) > 0 THEN 1.0 / len(langs) ELSE 0.0 END, 6)::DOUBLE AS weight, len(langs) = 0 AS not_found FROM acc")
 def word_breakdown(spark, sf):
     b = detectors.word_breakdown(table(spark, sf, "benchmark"), "item_id", _lexicon(spark, sf))

@@ -19,7 +19,7 @@ def numbered(df: DataFrame) -> DataFrame:
 def build(parts: list[DataFrame], rules: dict[str, str] | None = None, allowed: tuple[str, ...] = foreign.ALLOWED, priority: Column | None = None) -> DataFrame:
     """Cleaned corpus ``source, label, text, seq``. Sentences are filtered after dedup within sources and before dedup
     across them; encyclopedia rows take no part in the latter."""
-    df = numbered(reduce(DataFrame.unionByName, parts))
+    df = stage(numbered(reduce(DataFrame.unionByName, parts)), "numbered")  # the numbers stay what they are
     df = dedup.within_source(df)
     df = foreign.foreign_filter(df, rules or foreign.FOREIGN, allowed).drop("changed")
     order = priority if priority is not None else dedup.priority_of(F.col("source"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,13 +80,14 @@ def read_news(spark, sf):
     return marked(readers.news(spark, to))
 
 
-@query(_corpus("textbooks", f"trim({normal('text')})", where="lang = 'de'"))
+@query(_corpus("textbooks", f"trim({normal('text')})"))
 def read_textbooks(spark, sf):
     """JSON lines in a folder per variety, with exercise labels and gaps, which go."""
     to = place(spark, "textbooks")
-    filled = F.concat(F.lit("2a) "), "text", F.lit(" ____ ....."))
-    documents(spark, sf).where("lang = 'de'").select(F.regexp_replace(filled, r"^2a\) ", "a) ").alias("text")).write.json(f"{to}/rm-puter")
-    return marked(readers.textbooks(spark, f"{to}/rm-puter"))
+    rows = documents(spark, sf).select(variety().alias("v"), F.concat(F.lit("a) "), "text", F.lit(" ____ .....")).alias("text"))
+    for v in VARIETY.values():
+        rows.where(F.col("v") == v).select("text").write.json(f"{to}/{v}")
+    return marked(readers.textbooks(spark, f"{to}/*"))
 
 
 @query(_corpus("theater-plays", normal("text")))
@@ -119,13 +121,56 @@ def read_tab_rows(spark, sf):
     return marked(readers.proprietary(spark, to))
 
 
-@query(f"WITH w AS (SELECT lang, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS word FROM documents) SELECT DISTINCT {AS_VARIETY} AS lang, word FROM w WHERE lang = 'de'")
+@query("WITH w AS (SELECT lang, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS word FROM documents) SELECT DISTINCT lang, word FROM w")
 def read_word_list(spark, sf):
-    """A spelling list with affix flags: one line a word."""
+    """Spelling lists with affix flags, one folder a language: one line a word."""
     to = place(spark, "words")
-    words = documents(spark, sf).where("lang = 'de'").select(F.explode(F.filter(text.tokens("text"), lambda x: x.rlike("^[a-z]+$"))).alias("w")).distinct()
-    words.select(F.concat("w", F.lit("/AB")).alias("value")).write.text(to)
-    return readers.lexicon(spark, to + "/*.txt").select(F.lit("rm-puter").alias("lang"), "word").distinct()
+    words = documents(spark, sf).select("lang", F.explode(F.filter(text.tokens("text"), lambda x: x.rlike("^[a-z]+$"))).alias("w")).distinct()
+    lists = []
+    for lang in VARIETY:
+        words.where(F.col("lang") == lang).select(F.concat("w", F.lit("/AB")).alias("value")).write.text(f"{to}/{lang}")
+        lists.append(readers.lexicon(spark, f"{to}/{lang}/*.txt").select(F.lit(lang).alias("lang"), "word").distinct())
+    return reduce(DataFrame.unionByName, lists)
+
+
+@query(_corpus("wikipedia", normal("text"), "lang", "lang IN ('de', 'fr', 'en')"))
+def read_encyclopedia(spark, sf):
+    """JSON lines ``text, lang``, of the multilingual mode's languages."""
+    to = place(spark, "encyclopedia")
+    rows = documents(spark, sf)
+    for lang in VARIETY:
+        rows.where(F.col("lang") == lang).select("text", "lang").write.json(f"{to}/{lang}.jsonl")
+    return marked(readers.encyclopedia(spark, f"{to}/*.jsonl"))
+
+
+_LEAVES = "list_filter([{0}], lambda x: regexp_matches(x, '\\p{{L}}'))"
+
+
+@query(f"""WITH d AS (SELECT {AS_VARIETY} AS label, doc_id, text, string_split(text, ' ') AS w FROM documents WHERE doc_id % 7 <> 0),
+f AS (SELECT label, array_to_string({_LEAVES.format(", ".join(normal(c) for c in ("coalesce(w[2], '')", "coalesce(w[1], '')", "text")))}, ' ') AS t FROM d),
+u AS (SELECT label, {normal("w[1]")} AS t FROM d UNION ALL SELECT label, t FROM f UNION ALL SELECT label, {normal("text")} FROM d)
+SELECT 'pledari-grond' AS source, label, md5(t) AS text_md5 FROM u WHERE regexp_matches(t, '\\p{{L}}')""")
+def dictionary_flatten(spark, sf):
+    """Every document as a dictionary entry whose forms are a tree: headword, joined forms and examples come back as rows."""
+    to = place(spark, "dictionary")
+    w = F.split("text", " ")
+    tree = F.struct(F.struct(F.coalesce(F.get(w, 1), F.lit("")).alias("z"), F.struct(F.get(w, 0).alias("y")).alias("a")).alias("pl"), F.array("text").alias("list"), F.lit(7).alias("n"), F.col("text").alias("b"))
+    head = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("cf. "), "text")).otherwise(F.get(w, 0))
+    rows = documents(spark, sf).select(variety().alias("v"), head.alias("rmStichwort"), tree.alias("inflection"), F.array(F.struct(F.col("text").alias("rm")), F.struct(F.lit(None).cast("string").alias("rm"))).alias("examples"))
+    names = {v: k for k, v in readers.DICTIONARY_FILES.items()}
+    for v in VARIETY.values():
+        rows.where(F.col("v") == v).drop("v").write.json(f"{to}/export_{names[v]}.json")
+    return marked(readers.dictionary(spark, f"{to}/*.json", lines=True))
+
+
+@query(f"SELECT 'x' AS source, {AS_VARIETY} AS label, md5(t) AS text_md5 FROM (SELECT lang, replace(replace(text, chr(10), ' '), chr(13), ' ') AS t FROM documents) WHERE t <> '' AND lang <> 'en'")
+def read_label_files(spark, sf):
+    """Text files named after their label: those of the varieties count, others don't."""
+    to = place(spark, "labels")
+    rows = documents(spark, sf).select("lang", F.translate("text", "\n\r", "  ").alias("value"))
+    for lang, v in VARIETY.items():
+        rows.where(F.col("lang") == lang).select("value").write.text(f"{to}/{'other' if lang == 'en' else v}.tsv")
+    return marked(readers.label_files(spark, f"{to}/*.tsv", "x"))
 
 
 _STEMS = "(SELECT DISTINCT lang, word FROM (SELECT lang, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS word FROM documents))"
@@ -187,27 +232,86 @@ def write_and_read_split(spark, sf):
 
 @query(f"SELECT count(*) FILTER (t = '') AS skipped, count(*) AS samples FROM (SELECT {cleaned('text')} AS t FROM documents)")
 def split_skipped(spark, sf):
+    """Counted by the write itself: the documents are read once."""
     df = documents(spark, sf).select(F.col("lang").alias("label"), "text")
-    skipped = sinks.write_split(df, place(spark, "skipped"), clean=True)
-    return df.agg(F.lit(skipped).cast("long").alias("skipped"), F.count(F.lit(1)).alias("samples"))
+    got = sinks.write_split_counted(df, place(spark, "skipped"), clean=True)
+    return spark.createDataFrame([(got["skipped"], got["samples"])], "skipped long, samples long")
 
 
-@query("SELECT true AS multilingual, 'de,fr,it,en' AS languages")
+@query("SELECT count(DISTINCT lang) > 0 AS multilingual, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents")
 def write_and_read_split_metadata(spark, sf):
     to = place(spark, "meta")
-    sinks.write_splits_meta(spark, list(readers.LANGUAGES), to)
+    langs = sorted(r.lang for r in documents(spark, sf).select("lang").distinct().collect())
+    sinks.write_splits_meta(spark, langs, to)
     return readers.splits_meta(spark, to).select("multilingual", F.array_join("languages", ",").alias("languages"))
 
 
-@query("""SELECT source AS "set", 'accuracy' AS metric, round(avg((lang = 'en')::INT), 6) AS value FROM documents GROUP BY source""")
+def _evaluated(spark, sf) -> str:
+    """An evaluation of the documents as its JSON file."""
+    to = place(spark, "results")
+    e = documents(spark, sf).select(F.col("source").alias("set"), F.col("lang").alias("y"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.lit("en")).alias("p"))
+    sinks.write_result(metrics.result_document(e, "constant", "documents", "2026-01-01T00:00:00Z", {"src0": "Source 0"}), to)
+    return to
+
+
+_EVALUATED = "(SELECT source AS \"set\", lang AS y, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'en' END AS p FROM documents)"
+
+
+@query(f"SELECT \"set\", 'accuracy' AS metric, round(avg((y = p)::INT), 6) AS value FROM {_EVALUATED} GROUP BY \"set\"")
 def write_and_read_results(spark, sf):
     """An evaluation as its JSON document, and read back."""
-    to = place(spark, "results")
-    e = documents(spark, sf).select(F.col("source").alias("set"), F.col("lang").alias("y"), F.lit("en").alias("p"))
-    # the sets' cells are JSON inside the document, as the writer leaves them
-    doc = metrics.result_json(e, "constant").select("model", F.transform_values(F.from_json("test_sets", "map<string,string>"), lambda k, v: F.from_json(v, "n_samples bigint, accuracy double, macro_f1 double")).alias("test_sets"))
-    doc.coalesce(1).write.json(to)
-    return readers.results(spark, to).where("metric = 'accuracy'").select("set", "metric", "value")
+    return readers.results(spark, _evaluated(spark, sf)).where("metric = 'accuracy'").select("set", "metric", "value")
+
+
+@query(f"""WITH e AS {_EVALUATED}, t AS (SELECT "set", y AS class, count(*) AS support, count(*) FILTER (y = p) AS tp FROM e GROUP BY ALL), s AS (SELECT "set", p AS class, count(*) AS said FROM e GROUP BY ALL),
+k AS (SELECT 'constant' AS model, "set", class, support, coalesce(tp / said, 0.0) AS p, tp / support AS r FROM t LEFT JOIN s USING ("set", class))
+SELECT model, "set", class, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1, round(p, 6) AS precision, round(r, 6) AS recall, support FROM k""")
+def result_document_classes(spark, sf):
+    """Per-class figures of an evaluation that went through its JSON document."""
+    return readers.result_classes(spark, _evaluated(spark, sf))
+
+
+@query("""SELECT 'constant' AS name, 'documents' AS source, '2026-01-01T00:00:00Z' AS timestamp, source AS "set", CASE source WHEN 'src0' THEN 'Source 0' ELSE source END AS label, count(*) AS n_samples, count(DISTINCT lang) AS classes FROM documents GROUP BY documents.source""")
+def result_document_sets(spark, sf):
+    """What stands beside the figures: name, source, time, each set's label and size."""
+    d = readers.result_documents(spark, _evaluated(spark, sf)).select("name", "source", "timestamp", F.explode("test_sets").alias("set", "r"))
+    return d.select("name", "source", "timestamp", "set", "r.label", "r.n_samples", F.size("r.per_class").cast("long").alias("classes"))
+
+
+@query("WITH w AS (SELECT unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS word FROM documents) SELECT count(*) || chr(9) || word AS line FROM w WHERE regexp_matches(word, '[äöü]') GROUP BY word")
+def write_and_read_triggers(spark, sf):
+    """Words with foreign characters, as the log of a filter: how often and which, one a line."""
+    to = place(spark, "triggers")
+    words = documents(spark, sf).select(F.explode(text.tokens("text")).alias("word")).where(F.col("word").rlike("[äöü]"))
+    sinks.write_triggers(words.groupBy("word").agg(F.count(F.lit(1)).alias("count")), to)
+    return spark.read.text(to).select(F.col("value").alias("line"))
+
+
+@query("""WITH n AS (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS k FROM documents GROUP BY source)
+SELECT source, n AS rows, source IN ('src1', 'src3') AND k > 0 AS written, CASE WHEN source IN ('src1', 'src3') THEN k ELSE 0 END AS altered FROM n""")
+def rewrite_changed_partitions(spark, sf):
+    """A stage whose rows of two sources change: the partitions of the others aren't written again."""
+    to = place(spark, "stage")
+    d = documents(spark, sf).select("source", "doc_id", "text")
+    sinks.rewrite_changed(d, to, ["source"])
+    hit = F.col("source").isin("src1", "src3") & (F.col("doc_id") % 3 == 0)
+    new = d.withColumn("text", F.when(hit, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    written = [v for v, in sinks.rewrite_changed(new, to, ["source"])]
+    back = spark.read.schema(d.schema).parquet(to).withColumn("altered", F.endswith("text", F.lit(" changed")))
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count_if("altered").alias("altered")).withColumn("written", F.col("source").isin(written) if written else F.lit(False))
+
+
+@query("""SELECT 'corpus' AS run, * FROM (SELECT 'read' AS step, 0 AS place, 'rows' AS counter, count(*) AS value FROM documents UNION ALL SELECT 'read', 0, 'chars', sum(length(text))::BIGINT FROM documents
+UNION ALL SELECT 'with letters', 1, 'rows', count(*) FROM documents WHERE regexp_matches(text, '\\p{L}') UNION ALL SELECT 'long', 2, 'rows', count(*) FROM documents WHERE regexp_matches(text, '\\p{L}') AND length(text) >= 50)""")
+def run_log(spark, sf):
+    """Counters of a run, taken while its one write goes on, as a log that is read back."""
+    log, to = sinks.RunLog("corpus"), place(spark, "run")
+    d = log.watch(documents(spark, sf), "read", chars=F.sum(F.length("text")))
+    d = log.watch(d.where(text.has_letter("text")), "with letters")
+    d = log.watch(d.where(F.length("text") >= 50), "long")
+    d.write.parquet(f"{to}/out")
+    log.write(spark, f"{to}/log")
+    return spark.read.schema("run string, step string, place int, counter string, value long").json(f"{to}/log")
 
 
 # --- text functions -----------------------------------------------------------------------------
@@ -262,17 +366,20 @@ def removed_by_dedup(spark, sf):
     return dedup.removed(d, F.substring("source", 4, 9).cast("int")).select("seq", "contradictory")
 
 
-@query("SELECT * FROM (VALUES ('roh_puter', 'rm-puter'), ('deu', 'de'), ('eng', 'en'), ('spa', NULL), ('und', NULL)) v(code, label)")
+@query("SELECT doc_id, CASE lang WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' WHEN 'en' THEN 'rm-puter' END AS label FROM documents")
 def detector_codes(spark, sf):
     """A detector's language codes as the project's labels; unknown ones have none."""
-    codes = spark.createDataFrame([(x,) for x in ("roh_puter", "deu", "eng", "spa", "und")], "code string")
-    return codes.select("code", detectors.project_label("code").alias("label"))
+    codes = {"de": "deu", "fr": "fra", "en": "roh_puter", "es": "spa"}
+    said = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))[F.col("lang")]
+    return documents(spark, sf).select("doc_id", detectors.project_label(said).alias("label"))
 
 
-@query("SELECT * FROM (VALUES (false, 'test_a,test_b,test_c,test_d'), (true, 'test_a,test_b,test_c,test_d,test_e')) v(multilingual, sets)")
+@query("WITH d AS (SELECT 'test_' || substring('abcde', substring(source, 4)::INT % 5 + 1, 1) AS test_set FROM documents) SELECT multilingual, test_set, count(*) AS rows FROM d CROSS JOIN (VALUES (false), (true)) m(multilingual) WHERE multilingual OR test_set <> 'test_e' GROUP BY ALL")
 def test_sets(spark, sf):
-    """The registry of test sets: the encyclopedia's only in the multilingual mode."""
-    return spark.createDataFrame([(m, ",".join(corpus.test_sets(m))) for m in (False, True)], "multilingual boolean, sets string")
+    """The rows of each registered test set: the encyclopedia's counts only in the multilingual mode."""
+    d = documents(spark, sf).select(F.concat(F.lit("test_"), F.substr(F.lit("abcde"), F.substring("source", 4, 9).cast("int") % 5 + 1, F.lit(1))).alias("test_set"))
+    modes = [d.where(F.col("test_set").isin(corpus.test_sets(m))).select(F.lit(m).alias("multilingual"), "test_set") for m in (False, True)]
+    return modes[0].unionByName(modes[1]).groupBy("multilingual", "test_set").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("SELECT DISTINCT lang AS class FROM documents UNION SELECT 'xx' ORDER BY class")
@@ -290,7 +397,10 @@ def read_allow_list(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(text.mask("text", readers.allow_list(spark, to))).alias("text_md5"))
 
 
-@query("SELECT '{\"a\":1,\"b\":[1,2]}' AS value")
+@query("SELECT 'min_df' AS name, min(n)::VARCHAR AS value FROM (SELECT count(*) AS n FROM documents GROUP BY lang) UNION ALL SELECT 'ngram_range', '[1,' || count(DISTINCT lang) || ']' FROM documents")
 def write_parameters(spark, sf):
-    return spark.createDataFrame([(sinks.write_params(spark, {"a": 1, "b": (1, 2)}, place(spark, "params")),)], "value string")
-
+    """Parameters found from the data, as a file, and read back."""
+    to = place(spark, "params")
+    n = [r["count"] for r in documents(spark, sf).groupBy("lang").count().collect()]
+    sinks.write_params(spark, {"min_df": min(n), "ngram_range": (1, len(n))}, to)
+    return spark.createDataFrame([(k, str(v).replace(" ", "")) for k, v in readers.best_params(spark, to).items()], "name string, value string")

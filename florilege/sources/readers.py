@@ -5,13 +5,13 @@ where the format allows for it."""
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from florilege.functions.text import _decompose, has_letter, normalize, squash, strip_markup, strip_signature, textbook
+from florilege.functions.text import has_letter, normalize, squash, strip_markup, strip_signature, textbook
+from florilege.session import stage
 
 #: fixed values: the varieties
 VARIETIES = ("rm-sursilv", "rm-sutsilv", "rm-surmiran", "rm-puter", "rm-vallader", "rm-rumgr")
@@ -56,49 +56,41 @@ def news(spark: SparkSession, path: str, source: str = "fmr") -> DataFrame:
     return _corpus(df.select(F.trim("variety").alias("label"), text.alias("text")), source)
 
 
-def flat_forms(value: str | None) -> list[str]:
-    """The strings in a tree of objects, normalised, in the tree's order; lists and numbers don't count."""
-    try:
-        tree = json.loads(value) if value else None
-    except ValueError:
-        return []
-
-    def leaves(x):
-        if isinstance(x, dict):
-            for v in x.values():
-                yield from leaves(v)
-        elif isinstance(x, str):
-            yield x
-
-    return [s for s in (plain(x) for x in leaves(tree)) if any(c.isalpha() for c in s)]
-
-
-def plain(s: str) -> str:
-    """``normalize`` of one string."""
-    import re
+def leaf_strings(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``id, place, leaf``: the strings in a JSON tree of objects; lists and what lies in them, numbers and null don't count.
+    ``place`` holds the numbers of the fields on the way, so that its order is the text's own.
 
-    s = re.sub(r"https?://\S+|www\.\S+", "$URL$", _decompose(s))
-    return " ".join(re.sub(r"\d+", "$NUM$", s).split())
+    A tree has any depth: each round opens the objects of one level, all inside the JVM. The text of a level is read twice, as
+    strings (which keep order and nested text) and as variants (which tell a string from an object)."""
+    level = df.select(F.col(id_col).alias("id"), F.array().cast("array<int>").alias("place"), F.col(json_col).alias("j"))
+    found = []
+    while True:
+        values = F.map_values(F.from_json("j", "map<string,string>"))
+        kinds = F.transform(F.map_values(F.from_json("j", "map<string,variant>")), F.schema_of_variant)
+        opened = level.select("id", "place", F.posexplode(F.arrays_zip(values.alias("v"), kinds.alias("k"))).alias("n", "x")).select("id", F.array_append("place", F.col("n")).alias("place"), F.col("x.v").alias("j"), F.col("x.k").alias("kind"))
+        opened = stage(opened.where("kind = 'STRING' OR startswith(kind, 'OBJECT')"), "tree")
+        found.append(opened.where("kind = 'STRING'").select("id", "place", F.col("j").alias("leaf")))
+        level = opened.where("kind <> 'STRING'").select("id", "place", "j")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
-@F.pandas_udf(StringType())
-def _forms(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: " ".join(flat_forms(x)))
-
-
-def dictionary(spark: SparkSession, path: str, source: str = "pledari-grond") -> DataFrame:
+def dictionary(spark: SparkSession, path: str, source: str = "pledari-grond", lines: bool = False) -> DataFrame:
     """JSON arrays of entries, one file per variety: headword, joined inflection forms and examples as rows. Entries
-    whose headword begins with ``cf. `` are references and give nothing."""
+    whose headword begins with ``cf. `` are references and give nothing. ``lines``: an entry a line, in a folder of the file's name."""
     if not _exists(spark, path):
         return empty(spark)
     # the tree of forms has no schema: it is read as its JSON text
-    raw = spark.read.schema("rmStichwort string, inflection string, examples array<struct<rm:string>>").option("multiLine", True).json(path)
-    name = F.regexp_extract(_path(), r"([A-Za-z]+)\.json$", 1)
+    raw = spark.read.schema("rmStichwort string, inflection string, examples array<struct<rm:string>>").option("multiLine", not lines).json(path)
+    name = F.regexp_extract(_path(), r"([A-Za-z]+)\.json(?:/[^/]*)?$", 1)
     label = F.create_map(*(F.lit(x) for kv in DICTIONARY_FILES.items() for x in kv))[name]
     df = raw.withColumn("label", label).where(~F.coalesce(F.startswith("rmStichwort", F.lit("cf. ")), F.lit(False)))
+    df = stage(df.withColumn("id", F.monotonically_increasing_id()), "entries")
+    leaves = leaf_strings(df, "id", "inflection").withColumn("leaf", normalize("leaf")).where(has_letter("leaf"))
+    forms = leaves.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "leaf"))).alias("x")).select("id", F.array_join("x.leaf", " ").alias("text"))
     rows = (
         df.select("label", normalize(F.coalesce("rmStichwort", F.lit(""))).alias("text"))
-        .unionByName(df.select("label", _forms("inflection").alias("text")))
+        .unionByName(df.join(forms, "id").select("label", "text"))
         .unionByName(df.select("label", F.explode("examples").alias("e")).select("label", normalize(F.coalesce("e.rm", F.lit(""))).alias("text")))
     )
     return _corpus(rows, source)
@@ -138,10 +130,10 @@ def laws(spark: SparkSession, path: str, source: str = "canton-laws", label: str
 
 
 def encyclopedia(spark: SparkSession, path: str, source: str = "wikipedia") -> DataFrame:
-    """JSON lines ``text``, a file per language (<lang>.jsonl)."""
+    """JSON lines ``text``, a file (or folder) per language (<lang>.jsonl)."""
     if not _exists(spark, path):
         return empty(spark)
-    df = spark.read.schema("text string").json(path).withColumn("label", F.regexp_extract(_path(), r"([a-z]+)\.jsonl?$", 1))
+    df = spark.read.schema("text string").json(path).withColumn("label", F.regexp_extract(_path(), r"([a-z]+)\.jsonl?(?:/[^/]*)?$", 1))
     return _corpus(df.select("label", normalize(F.coalesce("text", F.lit(""))).alias("text")), source, LANGUAGES)
 
 
@@ -165,6 +157,16 @@ def preprocessed(spark: SparkSession, path: str, sources: list[str] | None = Non
     return df.where(F.col("label").isin(labels)) if labels else df
 
 
+def label_files(spark: SparkSession, path: str, source: str, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """Files ``<label>.tsv`` (or folders of that name) of one text a line: by default those of the varieties, ``rm-*``; with ``labels``, those of
+    the encyclopedia's languages. Empty lines don't count."""
+    if not _exists(spark, path):
+        return empty(spark)
+    label = F.regexp_extract(_path(), r"/([^/]+)\.tsv(?:/[^/]*)?$", 1)
+    df = spark.read.text(path).select(F.lit(source).alias("source"), label.alias("label"), F.col("value").alias("text")).where("text <> ''")
+    return df.where(F.col("label").isin(*labels)) if labels else df.where(F.startswith("label", F.lit("rm-")))
+
+
 def split_file(spark: SparkSession, path: str) -> DataFrame:
     """``label, text`` of a split file; an absent file is an empty split."""
     return tab_rows(spark, path) if _exists(spark, path) else spark.createDataFrame([], "label string, text string")
@@ -186,13 +188,25 @@ def allow_list(spark: SparkSession, path: str) -> list[str]:
     return [t for t in (x.strip() for x in text.split("\n")) if t and not t.startswith("#")]
 
 
+#: one evaluation: what ``sinks.write_result`` writes
 RESULT = "model string, name string, source string, timestamp string, test_sets map<string,struct<label:string,n_samples:bigint,accuracy:double,macro_f1:double,per_class:map<string,struct<f1:double,precision:double,recall:double,support:bigint>>>>"
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """``model, set, metric, value`` of evaluation files; unreadable files are left out."""
+def result_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation files as they are, one row each; unreadable files are left out."""
     df = spark.read.schema(RESULT + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    df = df.where("_corrupt_record IS NULL AND test_sets IS NOT NULL").select(F.coalesce("model", "name").alias("model"), F.explode("test_sets").alias("set", "r"))
+    return df.where("_corrupt_record IS NULL AND test_sets IS NOT NULL").drop("_corrupt_record")
+
+
+def result_classes(spark: SparkSession, path: str) -> DataFrame:
+    """``model, set, class, f1, precision, recall, support`` of evaluation files."""
+    df = result_documents(spark, path).select(F.coalesce("model", "name").alias("model"), F.explode("test_sets").alias("set", "r"))
+    return df.select("model", "set", F.explode("r.per_class").alias("class", "c")).select("model", "set", "class", "c.*")
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """``model, set, metric, value`` of evaluation files."""
+    df = result_documents(spark, path).select(F.coalesce("model", "name").alias("model"), F.explode("test_sets").alias("set", "r"))
     return df.select("model", "set", F.explode(F.create_map(F.lit("accuracy"), F.col("r.accuracy"), F.lit("macro_f1"), F.col("r.macro_f1"))).alias("metric", "value"))
 
 

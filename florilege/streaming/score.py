@@ -15,5 +15,6 @@ def labelled(stream: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def distinct_texts(stream: DataFrame, time_col: str, text_col: str = "text", late: str = "1 hour") -> DataFrame:
-    """The first of equal texts within the watermark."""
+    """The first of equal texts within the watermark. State is a key per distinct text, dropped once the watermark has passed it; it
+    lives in the query's checkpoint, so a restarted query goes on where it ended."""
     return stream.withColumn("_k", F.md5(text_col)).withWatermark(time_col, late).dropDuplicatesWithinWatermark(["_k"]).drop("_k")

@@ -71,8 +71,9 @@ def test_metrics(spark):
     assert round(metrics.macro(df, ["set"]).first().macro_f1, 4) == 0.5833
     cells = {(r.y, r.p): (r.n, r.share) for r in metrics.confusion(df, ["set"]).collect()}
     assert cells == {("a", "a"): (1, 1.0), ("a", "b"): (0, 0.0), ("b", "a"): (1, 0.5), ("b", "b"): (1, 0.5)}
-    doc = json.loads(json.loads(metrics.result_json(df, "m").first().test_sets)["s"])
-    assert doc["accuracy"] == 0.5 and doc["per_class"]["b"]["support"] == 2
+    doc = json.loads(metrics.result_document(df, "m", "here", "now", {"s": "Set S"}).toJSON().first())
+    assert doc["name"] == "m" and doc["timestamp"] == "now" and doc["test_sets"]["s"]["label"] == "Set S"
+    assert doc["test_sets"]["s"]["accuracy"] == 0.5 and doc["test_sets"]["s"]["per_class"]["b"]["support"] == 2
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _placed(df: DataFrame, groups: list[str], key: Column, seed: str, digits: int) -> tuple[DataFrame, DataFrame]:
+def _placed(df: DataFrame, groups: list[str], key: Column, seed: str, digits: int = 4) -> tuple[DataFrame, DataFrame]:
     """Rows with ``_md5`` and ``_part`` (its first digits), and how many rows of the group lie in earlier parts (``_before``) and in all."""
     code = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit(""))))
     dealt = df.withColumn("_md5", code).withColumn("_part", F.substring("_md5", 1, digits))
@@ -28,10 +28,10 @@ def hash_ranked(df: DataFrame, groups: list[str], key: Column | str, seed: str =
     """Adds ``rank`` (from 1, by md5 of ``seed|key`` within the groups; a null key counts as an empty one) and ``total``.
 
     A window over a whole group would rank it in one task, and a group may hold most rows. So rows are
-    ranked within 256 parts of their group, by the hash's first two digits, and the ranks of earlier
-    parts come from their counts: 256 rows a group."""
+    ranked within 65536 parts of their group, by the hash's first four digits (150,000 rows each of ten thousand million), and the
+    ranks of earlier parts come from their counts: 65536 rows a group at most."""
     key = F.col(key) if isinstance(key, str) else key
-    dealt, before = _placed(df, groups, key, seed, 2)
+    dealt, before = _placed(df, groups, key, seed)
     placed = dealt.join(before, _same(groups))
     rank = F.row_number().over(W.partitionBy(*groups, "_part").orderBy("_md5", key))
     return placed.withColumn("rank", (rank + F.col("_before")).cast("long")).drop("_md5", "_part", "_before", "_p", *[f"_g{i}" for i in range(len(groups))])
@@ -43,7 +43,7 @@ def smallest(df: DataFrame, groups: list[str], key: Column | str, k: int, seed:
     How many rows lie in each of 65536 parts of a group is counted map-side; only parts that begin before the k-th row
     go on, so what is ranked is k rows and one part's at most, whatever the group holds."""
     key = F.col(key) if isinstance(key, str) else key
-    dealt, before = _placed(df, groups, key, seed, 4)
+    dealt, before = _placed(df, groups, key, seed)
     some = dealt.join(before.where(F.col("_before") < k), _same(groups))
     rank = F.row_number().over(W.partitionBy(*groups).orderBy("_md5", key))
     return some.withColumn("_rank", rank).where(F.col("_rank") <= k).select(*df.columns)

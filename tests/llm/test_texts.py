@@ -343,3 +343,39 @@ def test_near_duplicates_keep_unlike_null_ids(spark):
     rows = [(None, sentence(1, 60)), (None, sentence(2, 60)), (None, sentence(2, 60) + " tail"), (None, None), (4, sentence(3, 60))]
     got = [r.text for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()]
     assert len(got) == 4 and {sentence(1, 60), sentence(3, 60), None} < set(got)
+
+
+LONG = "A paragraph that is long enough to surge over any threshold that a page may have, twice. " * 2
+
+
+def test_forms_that_frame_a_page():
+    login = "<form><label>Name of user</label> <input> <label>Secret word</label> <input> <button>Go</button></form>"
+    article = f"<h1>Head</h1><p>{LONG}</p><p>End.</p>"
+    want = f"Head\n{LONG.strip()}\nEnd."
+    assert op2.main_text(f"<body><form action='/'><nav>Menu</nav><article>{article}</article><footer>f</footer></form></body>") == want
+    assert op2.main_text(f"<body><form id='frame'><div class='menu'>Menu</div><div>{article}</div><div class='footer'>f</div></form></body>") == want
+    assert op2.main_text(f"<body>{login}<div>{article}</div>{login}</body>") == want
+    assert op2.main_text(f"<article>{article}{login}</article>") == want
+    long_form = "<form>" + "<p>Tell us what you think about this, in your own words, please, at any length you like to.</p>" * 2 + "</form>"
+    assert op2.main_text(f"<div>{article}<p>{LONG}</p><p>{LONG}</p></div>{long_form}") == want + f"\n{LONG.strip()}" * 2
+    assert op2.main_text(login) == ""
+
+
+def test_headers_and_links_of_an_article():
+    assert op2.main_text(f"<article><div class='header'><h1>Head</h1></div><p>{LONG}</p></article>") == f"Head\n{LONG.strip()}"
+    assert op2.main_text(f"<div class='header'><h1>Site</h1></div><div><p>{LONG}</p></div>") == LONG.strip()
+    # without an article element: linked paragraphs and headings at the ends, linked lists between
+    assert op2.main_text(f"<div><h1><a href='/'>Head</a></h1><p>{LONG}</p><p><a href='/x'>Read the paper itself</a></p></div>") == f"Head\n{LONG.strip()}\nRead the paper itself"
+    items = "".join(f"<li><a href='/{k}'>Thing {k}</a></li>" for k in range(4))
+    assert op2.main_text(f"<p>{LONG}</p><h2>Things</h2><ul>{items}</ul><p>{LONG}</p>") == "\n".join([LONG.strip(), "Things", *(f"Thing {k}" for k in range(4)), LONG.strip()])
+    assert op2.main_text(f"<ul>{items * 3}</ul><div><p>{LONG}</p></div><ul>{items * 3}</ul>") == LONG.strip()
+
+
+def test_windows_decide_where_no_name_helps():
+    """A page without class names and sectioning elements: short unmarked link lists around the text are left to the windows."""
+    links = "".join(f"<div><a href='/{k}'>Topic {k}</a></div>" for k in range(9))
+    page = f"<div>{links}</div><div><div>{LONG}</div><div>Short.</div><div>{LONG}</div></div><div>{links}</div>"
+    kept = f"{LONG.strip()}\nShort.\n{LONG.strip()}"
+    assert op2.main_text(page) == kept
+    lines, _, _, outside, *_ = op2.lines_of(page)
+    assert len(lines) == 21 and not any(outside)

@@ -1,14 +1,17 @@
 """Personal data: exact patterns, and a linear-chain conditional random field for what they miss.
 
 Method: a CRF over word-shape features with the labels O and B/I of each kind, trained by gradient steps
-on the small labelled table below and decoded by Viterbi, many sequences at once in numpy. Its
-sequences are the stretches of a text near a word with a digit, an @ or a spelt-out "at"/"dot" (two
+on the small labelled table below and decoded by Viterbi, many sequences at once in numpy. The table has numbers in the shapes of
+phones, which only the words around them tell from phones. Its
+sequences are the stretches of a text near a word with a digit, an @, a dotted host behind "at" or a spelt-out "at"/"dot" (four
 words either side, five before a "dot", so that "ann at example dot com" is in one); the whole text is
 searched for them. Long stretches are decoded in overlapping parts. What it finds must also be well formed for
 its kind, and doesn't replace or overlap what the patterns found.
 
 Edge cases: null and empty texts have no spans; offsets are code points, end excluded; repeated rows and
-null ids are kept; a very long run of digits or letters costs linear time.
+null ids are kept; a very long run of digits or letters costs linear time, and a very long text is read once; of equally
+likely labellings (ties) the first in the order of LABELS counts; an empty table gives no rows; columns other than id and text don't
+enter, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,13 +91,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # --- the labelled table -------------------------------------------------------------------------
-#: sentence frames; {kind} is filled with an example of that kind, {no} with a number that is nobody's
+#: sentence frames; {kind} is filled with an example of that kind, {no} with a number that is nobody's, {like} with one
+#: in a phone's shape that the words around it show to be none, {host} with a host that is no address, {at} with an
+#: address that only the words around it tell from a {word} at a {host}
 FRAMES = (
     "please write to {email} for details", "contact : {email} or call {phone}", "the host {ip} answered slowly", "card {card} was charged twice",
     "call {phone} before noon", "tel. {phone} , ask for the desk", "her mail is {email} .", "login from {ip} at night", "paid with {card} , thank you",
     "order {no} was sent", "in {no} people came", "token = \"{no}\" was removed", "version {no} is out", "page {no} of {no}", "it cost {no} in all", "see section {no} , table {no}",
     "the at sign and the dot are marks", "he was at home and she was not", "a dot on the map at the coast", "{phone}", "{email}", "{ip}", "{card}", "{no}",
     "words before {phone} words after", "words before {email} words after", "words before {ip} words after", "words before {card} words after", "words before {no} words after",
+    "order {like} was shipped", "in the range {like} km", "invoice {like} is due", "part {like} is sold out", "serial {like} on the back", "isbn {like} , second edition", "a score of {like} in the end", "the code {like} opens it", "ticket {like} was closed", "from {like} units of it", "reference {like} in your letter",
+    "order {like} came , call {phone} if not", "look at {host} for more", "it is hosted at {host} now", "found at {host} by us", "you can see it at {host} today", "the site at {host} is down", "visit us at {host} or call {phone}", "mail me : {email}", "send it to {email} please", "reach me at {phone} or {email}", "my number is {phone} , ask for ann", "phone {phone} or fax {phone}", "ask {email} about it",
+    "write to {at} today", "ask {at} about it", "contact : {at}", "mail {at} please", "{at}", "send me a line , {at}", "you reach {at} at night", "just contact {at} instead",
+    "the {word} at {host} was good", "she {word} at {host} all day", "words before {word} at {host} words after", "a {word} at {host} , they say", "we {word} at {host} and home",
 )
 
 
@@ -108,7 +117,7 @@ def _example(kind: str, r: random.Random) -> str:
     if kind == "email":
         host = f"{word()}{r.choice(('', num(1)))}"
         end = r.choice(("com", "org", "net", "ch"))
-        return r.choice((f"{word()}{num(2)}@{host}.{end}", f"{word()} at {host} dot {end}", f"{word()} (at) {host} (dot) {end}", f"{word()} [at] {host} [dot] {end}", f"{word()}[at]{host}.{end}", f"{word()}(at){host}.{end}"))
+        return r.choice((f"{word()}{num(2)}@{host}.{end}", f"{word()} at {host} dot {end}", f"{word()} (at) {host} (dot) {end}", f"{word()} [at] {host} [dot] {end}", f"{word()}[at]{host}.{end}", f"{word()}(at){host}.{end}", f"{word()} (at) {host}.{end}", f"{word()} [at] {host}.{end}", f"{word()} @ {host} . {end}", f"{word()} @ {host}.{end}", f"{word()}.{word()} at {host} dot {end}"))
     if kind == "ip":
         return ".".join(str(r.randint(1, 255)) for _ in range(4)) + r.choice(("", "", ":8080"))
     if kind == "card":
@@ -116,11 +125,19 @@ def _example(kind: str, r: random.Random) -> str:
         full = next(body + c for c in "0123456789" if luhn(body + c))
         return r.choice((full, " ".join(full[i : i + 4] for i in range(0, 16, 4)), "-".join(full[i : i + 4] for i in range(0, 16, 4)), ".".join(full[i : i + 4] for i in range(0, 16, 4))))
     if kind == "phone":
-        return r.choice((f"+1 ({num(3)}) 555-{num(4)}", f"({num(3)}) 555-{num(4)}", f"{num(3)}-555-{num(4)}", f"0{num(2)} {num(3)} {num(2)} {num(2)}", f"+41 {num(2)} {num(3)} {num(2)} {num(2)}", f"{num(3)}.555.{num(4)}"))
+        return r.choice((f"+1 ({num(3)}) 555-{num(4)}", f"({num(3)}) 555-{num(4)}", f"{num(3)}-555-{num(4)}", f"0{num(2)} {num(3)} {num(2)} {num(2)}", f"+41 {num(2)} {num(3)} {num(2)} {num(2)}", f"{num(3)}.555.{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"{num(3)} {num(3)} {num(4)}", f"00{num(2)} {num(2)} {num(3)} {num(2)} {num(2)}", f"{num(3)}-{num(3)}-{num(4)}"))
+    if kind == "at":
+        return f"{word()} at {word()}{r.choice(('', num(1)))}.{r.choice(('com', 'org', 'net', 'ch'))}"
+    if kind == "word":
+        return word()
+    if kind == "like":
+        return r.choice((f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)} {num(3)} {num(2)} {num(2)}", f"{num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}"))
+    if kind == "host":
+        return f"{word()}{r.choice(('', num(1)))}.{r.choice(('com', 'org', 'net', 'ch'))}"
     return r.choice((num(1), num(2), num(4), num(14), num(16), f"{num(1)}.{num(1)}", f"{num(2)},{num(3)}", f"{num(2)}%", f"19{num(2)}-0{num(1)}-1{num(1)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"{num(3)}-{num(2)}", f"{word()}{num(2)}"))
 
 
-def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled_table(rows: int = 1200, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """Words and labels of the training sentences: FRAMES filled with examples."""
     r, out = random.Random(seed), []
     for i in range(rows):
@@ -132,16 +149,18 @@ def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[list[str], list
                 labels.append("O")
                 continue
             kind = m[1]
+            name = "email" if kind == "at" else kind
             got = part.replace(m[0], _example(kind, r)).split()
             words += got
-            labels += ["O"] * len(got) if kind == "no" else [f"B-{kind}", *[f"I-{kind}"] * (len(got) - 1)]
+            labels += ["O"] * len(got) if kind in ("no", "like", "host", "word") else [f"B-{name}", *[f"I-{name}"] * (len(got) - 1)]
         out.append((words, labels))
     return out
 
 
 # --- the model ----------------------------------------------------------------------------------
 _EDGE = ".,;:!?\"'“”«»"
-_KNOWN = frozenset("at dot (at) (dot) [at] [dot] tel tel. call mail contact : card host ip from phone".split())
+#: words that tell what a number or an address is
+_KNOWN = frozenset("at dot (at) (dot) [at] [dot] tel tel. call mail contact : card host ip from phone @ . fax number write reach ask send me order range km invoice part serial isbn score code ticket units reference look hosted found see site visit".split())
 
 
 def shape(word: str) -> str:
@@ -159,7 +178,7 @@ def shape(word: str) -> str:
 
 def features(words: list[str], i: int) -> list[str]:
     def at(k: int) -> str:
-        return words[k].strip(_EDGE) if 0 <= k < len(words) else "<edge>"
+        return (words[k].strip(_EDGE) or words[k]) if 0 <= k < len(words) else "<edge>"
 
     w = at(i)
     n = sum(c.isdigit() for c in w)
@@ -170,6 +189,20 @@ def features(words: list[str], i: int) -> list[str]:
             out.append(f"{tag}={v}")
     if "@" in w or "(at)" in w.lower() or "[at]" in w.lower():
         out.append("has at")
+    if "." in w and _DOMAIN.fullmatch(w) and w[-1].isalpha():
+        out.append("host")
+        if at(i - 1).lower() in ("at", "@", "(at)", "[at]"):
+            out.append("host behind " + at(i - 2).lower() if at(i - 2).lower() in _KNOWN else "host behind another")
+    if w.lower() == "at" and "." in at(i + 1) and _DOMAIN.fullmatch(at(i + 1)) and at(i + 1)[-1].isalpha():
+        out.append("at a host, " + (at(i - 1).lower() if at(i - 1).lower() in _KNOWN else "by another"))
+    if at(i + 1).lower() == "at" and "." in at(i + 2) and _DOMAIN.fullmatch(at(i + 2)) and at(i + 2)[-1].isalpha():
+        out.append("before a host, " + (w.lower() if w.lower() in _KNOWN else "another"))
+    # what stands before a number of several words
+    k = i
+    while n and k > i - 4 and any(c.isdigit() for c in at(k - 1)) and at(k - 1) != "<edge>":
+        k -= 1
+    if n and at(k - 1).lower() in _KNOWN:
+        out.append("number of " + at(k - 1).lower())
     if n and is_ip(w.split(":")[0]):
         out.append("is ip")
     if n >= 14 and is_card(w):
@@ -220,8 +253,40 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def likelihood(params: list[np.ndarray], where: tuple[np.ndarray, np.ndarray, np.ndarray], on: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Log-likelihood of the labels ``y`` and its gradients by forward-backward. ``where``: sequence, word and feature of each feature that
+    is set; ``on``: which words a sequence has."""
+    W, M, S = params
+    n, T = on.shape
+    L = len(S)
+    wb, wt, wf = where
+    e = np.zeros((n, T, L))
+    np.add.at(e, (wb, wt), W[wf])
+    alpha = np.zeros_like(e)
+    alpha[:, 0] = e[:, 0] + S
+    for t in range(1, T):
+        alpha[:, t] = np.where(on[:, t, None], _lse(alpha[:, t - 1, :, None] + M, 1) + e[:, t], alpha[:, t - 1])
+    z = _lse(alpha[:, -1], 1)
+    beta = np.zeros_like(e)
+    for t in range(T - 2, -1, -1):
+        beta[:, t] = np.where(on[:, t + 1, None], _lse(M[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
+    onehot = np.eye(L)[y] * on[:, :, None]
+    diff = onehot - np.exp(alpha + beta - z[:, None, None]) * on[:, :, None]
+    gW = np.zeros_like(W)
+    np.add.at(gW, wf, diff[wb, wt])
+    gM = np.zeros((L, L))
+    gold = (e * onehot).sum() + S[y[:, 0]].sum()
+    for t in range(1, T):
+        live = on[:, t]
+        pair = np.exp(alpha[live, t - 1, :, None] + M + (e[live, t] + beta[live, t])[:, None, :] - z[live, None, None])
+        gM -= pair.sum(axis=0)
+        np.add.at(gM, (y[live, t - 1], y[live, t]), 1)
+        gold += M[y[live, t - 1], y[live, t]].sum()
+    return float(gold - z.sum()), [gW, gM, diff[:, 0].sum(axis=0)]
+
+
 @cache
-def trained(rows: int = 600, rounds: int = 120, seed: int = 5) -> Crf:
+def trained(rows: int = 1200, rounds: int = 120, seed: int = 5) -> Crf:
     """Maximum likelihood with an L2 penalty: forward-backward gradients, Adam steps."""
     table = labelled_table(rows, seed)
     feats = [[features(w, i) for i in range(len(w))] for w, _ in table]
@@ -236,7 +301,6 @@ def trained(rows: int = 600, rounds: int = 120, seed: int = 5) -> Crf:
     y = np.zeros((len(gold), T), np.int64)
     for b, g in enumerate(gold):
         y[b, : len(g)] = g
-    onehot = np.eye(L)[y] * on[:, :, None]
     params = [np.zeros((len(vocabulary), L)), np.zeros((L, L)), np.zeros(L)]
     # I-kind follows only B-kind or I-kind
     banned = np.zeros((L, L))
@@ -249,29 +313,8 @@ def trained(rows: int = 600, rounds: int = 120, seed: int = 5) -> Crf:
     m = [np.zeros_like(p) for p in params]
     v = [np.zeros_like(p) for p in params]
     for k in range(1, rounds + 1):
-        W, M, S = params
-        M, S = M + banned, S + start
-        e = np.zeros((len(gold), T, L))
-        np.add.at(e, (wb, wt), W[wf])
-        alpha = np.zeros_like(e)
-        alpha[:, 0] = e[:, 0] + S
-        for t in range(1, T):
-            alpha[:, t] = np.where(on[:, t, None], _lse(alpha[:, t - 1, :, None] + M, 1) + e[:, t], alpha[:, t - 1])
-        z = _lse(alpha[:, -1], 1)
-        beta = np.zeros_like(e)
-        for t in range(T - 2, -1, -1):
-            beta[:, t] = np.where(on[:, t + 1, None], _lse(M[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        gamma = np.exp(alpha + beta - z[:, None, None]) * on[:, :, None]
-        diff = onehot - gamma
-        gW = np.zeros_like(W)
-        np.add.at(gW, wf, diff[wb, wt])
-        gM = np.zeros((L, L))
-        for t in range(1, T):
-            live = on[:, t]
-            pair = np.exp(alpha[live, t - 1, :, None] + M + (e[live, t] + beta[live, t])[:, None, :] - z[live, None, None])
-            gM -= pair.sum(axis=0)
-            np.add.at(gM, (y[live, t - 1], y[live, t]), 1)
-        grads = [gW - 0.05 * W, gM - 0.05 * params[1], diff[:, 0].sum(axis=0) - 0.05 * params[2]]
+        _, grads = likelihood([params[0], params[1] + banned, params[2] + start], (wb, wt, wf), on, y)
+        grads = [g - 0.05 * p for g, p in zip(grads, params, strict=True)]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -279,10 +322,10 @@ def trained(rows: int = 600, rounds: int = 120, seed: int = 5) -> Crf:
     return Crf(vocabulary, params[0], params[1] + banned, params[2] + start)
 
 
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|\bdot\b", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|\bdot\b|(?<=at )[A-Za-z0-9-]+\.[A-Za-z]", re.I)
 _WORD = re.compile(r"[^\s]+")
 _DOT = re.compile(r"[(\[]dot[)\]]|\bdot\b", re.I)
-REACH = 2
+REACH = 4
 BEFORE_DOT = 5  # local part, "at" and host, and the two words before them
 LONGEST = 128  # words of one sequence; longer stretches (number tables) continue in the next
 MARGIN = 20  # a sequence begins so many words before the last one's spans end to count; a card in single digits has 19
@@ -309,7 +352,7 @@ def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
 
 def well_formed(kind: int, s: str) -> bool:
     if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+(?:@|\s*[(\[]at[)\]]\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s*[(\[]dot[)\]]\s*|\s+dot\s+)[A-Za-z0-9-]+)+", s, re.I))
+        return bool(re.fullmatch(r"[\w.%+-]+(?:\s*@\s*|\s*[(\[]at[)\]]\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\s*\.\s*|\s*[(\[]dot[)\]]\s*|\s+dot\s+)[A-Za-z0-9-]+)+", s, re.I))
     if kind == 1:
         return is_ip(s.split(":")[0])
     if kind == 2:

@@ -149,6 +149,16 @@ def delta(a: Column, b: Column, least: float = 0.001) -> Column:
     return F.when(F.abs(d) < least, F.lit("≈")).otherwise(F.concat(F.when(d > 0, F.lit("+")).otherwise(F.lit("")), F.format_number(d, 3)))
 
 
+def escaped(c: Column | str) -> Column:
+    """Text that may stand in HTML."""
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), as_column(c))
+
+
+def thousands(c: Column | str) -> Column:
+    """A whole number with commas."""
+    return F.format_number(as_column(c), 0)
+
+
 def excerpt(c: Column | str, term: Column | str, around: int = 70) -> Column:
     """The text around the first place of ``term``, with an ellipsis where it was cut."""
     c, t = as_column(c), term if isinstance(term, Column) else F.lit(term)

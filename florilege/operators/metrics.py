@@ -47,6 +47,12 @@ def class_distribution(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ordered_classes(df: DataFrame, by: list[str], canonical: list[str]) -> DataFrame:
+    """``class, place``: the true classes of each set in canonical order; classes outside it take no part."""
+    names = F.array(*(F.lit(c) for c in canonical))
+    return df.select(*by, F.col("y").alias("class")).distinct().withColumn("place", F.array_position(names, F.col("class")).cast("int")).where("place > 0")
+
+
 def classes_seen(results: list[DataFrame], column: str = "y") -> DataFrame:
     """The classes that any of several results hold, in order."""
     return reduce(DataFrame.union, (r.select(F.col(column).alias("class")) for r in results)).distinct().orderBy("class")

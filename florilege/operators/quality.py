@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from florilege.functions.text import average, tokens
+from florilege.functions.text import average, character, tokens
 from florilege.operators.rank import at_index, length_counts, quantile_index, smallest
 from florilege.session import stage
 
@@ -81,6 +81,33 @@ def char_inventory(df: DataFrame, by: list[str]) -> DataFrame:
     return chars.groupBy(*by, "char").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ordered_inventory(df: DataFrame, by: list[str]) -> DataFrame:
+    """``char_inventory`` with ``code`` and ``place``: characters of each group by code point."""
+    n = char_inventory(df, by).withColumn("code", F.ascii("char"))
+    return n.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("code")))  # a row per distinct character
+
+
+def char_categories(df: DataFrame, by: list[str]) -> DataFrame:
+    """``category, chars, n``: how many different characters of each Unicode category a group has, and how often they occur."""
+    n = char_inventory(df, by)
+    kinds = n.select("char").distinct().select("char", character("char")["category"].alias("category"))
+    return n.join(kinds, "char").groupBy(*by, "category").agg(F.count(F.lit(1)).alias("chars"), F.sum("n").alias("n"))
+
+
+def stats_document(corpus: DataFrame, split: DataFrame, evaluation_only: tuple[str, ...] = ()) -> DataFrame:
+    """The corpus statistics as one row: ``sources`` (samples and tokens of each), ``by_label`` (samples of each source, totals), ``total`` and
+    ``splits`` (samples and tokens of each label). ``corpus(source, label, text)``, ``split(split, label, text)``; as many cells as there
+    are sources, labels and splits."""
+    cell = F.struct("samples", "tokens")
+    a = sample_counts(corpus, ["source"]).agg(F.sort_array(F.collect_list(F.struct(F.col("source").alias("key"), F.col("source").isin(*evaluation_only).alias("evaluation_only"), "samples", "tokens"))).alias("sources"))
+    b = sample_counts(corpus, ["source", "label"]).groupBy("label").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "samples")))).alias("by_source"), F.sum("samples").alias("total_samples"), F.sum("tokens").alias("total_tokens"))
+    b = b.agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("by_source", "total_samples", "total_tokens")))).alias("by_label"), F.struct(F.sum("total_samples").alias("samples"), F.sum("total_tokens").alias("tokens")).alias("total"))
+    c = sample_counts(split, ["split", "label"]).groupBy("split").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", cell)))).alias("labels"))
+    c = c.agg(F.sort_array(F.collect_list(F.struct(F.col("split").alias("key"), F.map_entries("labels").alias("labels")))).alias("s"))
+    c = c.select(F.transform("s", lambda x: F.struct(x["key"].alias("key"), F.map_from_entries(x["labels"]).alias("labels"))).alias("splits"))
+    return a.crossJoin(b).crossJoin(c)  # one row each
+
+
 def entity_hits(df: DataFrame, text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
     """``entity, n``: character references left in a text."""
     return df.select(*by, F.explode(F.regexp_extract_all(text_col, F.lit(f"({ENTITY})"), 1)).alias("entity")).groupBy(*by, "entity").agg(F.count(F.lit(1)).alias("n"))

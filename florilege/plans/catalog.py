@@ -122,6 +122,20 @@ def char_inventory(spark, sf):
     return quality.char_inventory(documents(spark, sf), ["label"])
 
 
+@query(f"SELECT label, char, n, unicode(char)::INTEGER AS code, (row_number() OVER (PARTITION BY label ORDER BY unicode(char)))::INTEGER AS place FROM (SELECT label, char, count(*) AS n FROM (SELECT label, unnest(string_split(text, '')) AS char FROM {DOCS}) WHERE char <> '' GROUP BY ALL)")
+def char_inventory_in_order(spark, sf):
+    return quality.ordered_inventory(documents(spark, sf), ["label"])
+
+
+_KIND = "CASE WHEN regexp_matches(char, '\\p{Lu}') THEN 'Lu' WHEN regexp_matches(char, '\\p{Ll}') THEN 'Ll' WHEN regexp_matches(char, '\\p{Nd}') THEN 'Nd' ELSE 'other' END"
+
+
+@query(f"SELECT label, {_KIND} AS category, count(DISTINCT char) AS chars, count(*) AS n FROM (SELECT label, unnest(string_split(text, '')) AS char FROM {DOCS}) WHERE char <> '' GROUP BY ALL")
+def char_categories(spark, sf):
+    c = quality.char_categories(documents(spark, sf), ["label"])
+    return c.groupBy("label", F.when(F.col("category").isin("Lu", "Ll", "Nd"), F.col("category")).otherwise("other").alias("category")).agg(F.sum("chars").alias("chars"), F.sum("n").alias("n"))
+
+
 @query("SELECT entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '&(?:[a-zA-Z]{2,8}|#[0-9]{1,6}|#x[0-9a-fA-F]{1,6});')) AS entity FROM pages) GROUP BY entity")
 def entity_hits(spark, sf):
     return quality.entity_hits(table(spark, sf, "pages"), "html")
@@ -395,10 +409,10 @@ def soft_scores(spark, sf):
     return linear.soft_scores(linear.score(model, d, "seq", counts=counts)).select("id", "class", F.round("share", 5).alias("share"))
 
 
-@query(_MODEL + "SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS place, class FROM scores")
+@query(_MODEL + "SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS place, class, round(100 * exp(score) / sum(exp(score)) OVER (PARTITION BY id), 1) AS percent FROM scores")
 def ranked_shares(spark, sf):
     model, _, d, counts = _fitted(spark, sf)
-    return linear.ranked_shares(linear.score(model, d, "seq", counts=counts)).select("id", F.col("place").cast("long").alias("place"), "class")
+    return linear.ranked_shares(linear.score(model, d, "seq", counts=counts)).select("id", F.col("place").cast("long").alias("place"), "class", "percent")
 
 
 @query(_MODEL + "SELECT class, place, space, term, round(val, 5) AS val FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(val, 6) DESC, space, term) AS place FROM coef WHERE val > 0) WHERE place <= 10")
@@ -419,6 +433,17 @@ def export_import_predict(spark, sf):
     return linear.predict(linear.score(linear.load(spark, linear.export(model)), d, "seq", counts=counts))
 
 
+@query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
+def named_model_predict(spark, sf):
+    """Predictions of a model that is loaded by its name."""
+    import uuid
+
+    models = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    model, _, d, counts = _fitted(spark, sf)
+    linear.bundle(model, models, "means")
+    return linear.predict(linear.score(linear.load(spark, "means", models=models), d, "seq", counts=counts))
+
+
 @query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
 def fitted_pipeline_predict(spark, sf):
     """Predictions of a fitted ML pipeline that was saved and loaded."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions import text
-from florilege.operators import dedup, detectors, metrics
+from florilege.operators import dedup, detectors, metrics, quality
 from florilege.plans import corpus
 from florilege.session import shared_dir
 from florilege.sources import readers, sinks, spelling
@@ -314,6 +314,20 @@ def run_log(spark, sf):
     return spark.read.schema("run string, step string, place int, counter string, value long").json(f"{to}/log")
 
 
+_TOKENS = "len(list_filter(string_split_regex(text, '\\\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH d AS (SELECT source, lang AS label, {_TOKENS} AS t, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents)
+SELECT 'source' AS part, source AS key, NULL AS label, count(*) AS samples, sum(t)::BIGINT AS tokens FROM d GROUP BY source UNION ALL SELECT 'source and label', source, label, count(*), NULL FROM d GROUP BY source, label
+UNION ALL SELECT 'label', NULL, label, count(*), sum(t)::BIGINT FROM d GROUP BY label UNION ALL SELECT 'total', NULL, NULL, count(*), sum(t)::BIGINT FROM d UNION ALL SELECT 'split', split, label, count(*), sum(t)::BIGINT FROM d GROUP BY split, label""")
+def write_and_read_stats(spark, sf):
+    """Corpus statistics as their JSON document, and read back."""
+    to = place(spark, "stats")
+    d = documents(spark, sf).select("source", F.col("lang").alias("label"), "text", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    sinks.write_result(quality.stats_document(d, d), to)
+    return readers.stats_rows(spark, to)
+
+
 # --- text functions -----------------------------------------------------------------------------
 
 
@@ -329,6 +343,12 @@ def formatted_deltas(spark, sf):
     return r.select("source", text.delta(F.col("a"), F.col("b")).alias("delta"))
 
 
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html, format('{:,}', length(text)) AS chars FROM documents""")
+def escaped_texts(spark, sf):
+    """Texts and their lengths as a report writes them."""
+    return documents(spark, sf).select("doc_id", text.escaped("text").alias("html"), text.thousands(F.length("text")).alias("chars"))
+
+
 @query("SELECT char, CASE WHEN regexp_matches(char, '\\p{Lu}') THEN 'Lu' WHEN regexp_matches(char, '\\p{Ll}') THEN 'Ll' WHEN regexp_matches(char, '\\p{Nd}') THEN 'Nd' ELSE 'other' END AS category, unicode(char)::INTEGER AS code FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents) WHERE char <> ''")
 def character_categories(spark, sf):
     """Every character of the corpus with its category, by code point."""
@@ -389,6 +409,13 @@ def classes_seen(spark, sf):
     return metrics.classes_seen([d.select(F.col("lang").alias("y")), spark.createDataFrame([("xx",)], "y string")])
 
 
+@query("SELECT DISTINCT source AS \"set\", lang AS class, list_position(['fr', 'de', 'xx', 'en'], lang)::INTEGER AS place FROM documents WHERE lang IN ('fr', 'de', 'xx', 'en')")
+def classes_in_order(spark, sf):
+    """The classes of each set in canonical order."""
+    d = documents(spark, sf).select(F.col("source").alias("set"), F.col("lang").alias("y"))
+    return metrics.ordered_classes(d, ["set"], ["fr", "de", "xx", "en"])
+
+
 @query("SELECT doc_id, md5(replace(replace(text, 'en', '$NE$'), 'a B', '$NE$')) AS text_md5 FROM documents")
 def read_allow_list(spark, sf):
     """Terms of a file, without comments and blank lines, masked in file order wherever they stand."""

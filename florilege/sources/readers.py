@@ -210,6 +210,30 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return df.select("model", "set", F.explode(F.create_map(F.lit("accuracy"), F.col("r.accuracy"), F.lit("macro_f1"), F.col("r.macro_f1"))).alias("metric", "value"))
 
 
+#: corpus statistics: what ``quality.stats_document`` makes
+STATS = (
+    "sources array<struct<key:string,evaluation_only:boolean,samples:bigint,tokens:bigint>>, by_label map<string,struct<by_source:map<string,bigint>,total_samples:bigint,total_tokens:bigint>>, "
+    "total struct<samples:bigint,tokens:bigint>, splits array<struct<key:string,labels:map<string,struct<samples:bigint,tokens:bigint>>>>"
+)
+
+
+def stats_document(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATS).option("multiLine", True).json(path)
+
+
+def stats_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``part, key, label, samples, tokens`` of corpus statistics, a row per cell."""
+    d = stats_document(spark, path)
+    none = F.lit(None).cast("string")
+    a = d.select(F.inline("sources")).select(F.lit("source").alias("part"), "key", none.alias("label"), "samples", "tokens")
+    b = d.select(F.explode("by_label").alias("label", "c"))
+    cells = b.select("label", F.explode("c.by_source").alias("key", "samples")).select(F.lit("source and label").alias("part"), "key", "label", "samples", F.lit(None).cast("long").alias("tokens"))
+    labels = b.select(F.lit("label").alias("part"), none.alias("key"), "label", F.col("c.total_samples").alias("samples"), F.col("c.total_tokens").alias("tokens"))
+    total = d.select(F.lit("total").alias("part"), none.alias("key"), none.alias("label"), "total.samples", "total.tokens")
+    c = d.select(F.inline("splits")).select("key", F.explode("labels").alias("label", "c")).select(F.lit("split").alias("part"), "key", "label", "c.samples", "c.tokens")
+    return reduce(DataFrame.unionByName, (a, cells, labels, total, c))
+
+
 def best_params(spark: SparkSession, path: str) -> dict:
     if not _exists(spark, path):
         raise FileNotFoundError(path)

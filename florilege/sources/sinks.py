@@ -39,7 +39,7 @@ def write_split_counted(df: DataFrame, path: str, clean: bool = False) -> dict[s
 
 
 def write_result(document: DataFrame, path: str) -> None:
-    """An evaluation (``metrics.result_document``) as one JSON object."""
+    """An evaluation (``metrics.result_document``) or corpus statistics (``quality.stats_document``) as one JSON object."""
     document.coalesce(1).write.mode("overwrite").json(path)
 
 

@@ -191,3 +191,26 @@ def test_label_files(spark, tmp_path):
     assert sorted((r.source, r.label, r.text) for r in readers.label_files(spark, f"{tmp_path}/*.tsv", "s").collect()) == [("s", "rm-puter", "Bun di"), ("s", "rm-puter", "saira")]
     assert [(r.label, r.text) for r in readers.label_files(spark, f"{tmp_path}/*.tsv", "wikipedia", ("de", "fr")).collect()] == [("de", "Tag")]
     assert readers.label_files(spark, f"{tmp_path}/none/*.tsv", "s").count() == 0
+
+
+def test_shuffled(spark):
+    df = spark.range(200).withColumnRenamed("id", "k")
+    got = [r.k for r in splits.shuffled(df.repartition(5), "k").collect()]
+    assert sorted(got) == list(range(200)) and got != sorted(got) and got == [r.k for r in splits.shuffled(df.coalesce(1), "k").collect()]
+    assert got != [r.k for r in splits.shuffled(df, "k", seed="7").collect()]
+
+
+def test_inventory_in_order(spark):
+    df = spark.createDataFrame([("l", "bA😀a1"), ("l", "é A"), ("m", "")], "label string, text string")
+    got = [(r.char, r.n, r.code) for r in quality.ordered_inventory(df, ["label"]).orderBy("place").collect()]
+    assert got == [(c, n, ord(c)) for c, n in ((" ", 1), ("1", 1), ("A", 2), ("a", 1), ("b", 1), ("é", 1), ("😀", 1))]
+    assert {(r.category, r.chars, r.n) for r in quality.char_categories(df, ["label"]).collect()} == {("Zs", 1, 1), ("Nd", 1, 1), ("Lu", 1, 2), ("Ll", 3, 3), ("So", 1, 1)}
+
+
+def test_stats_document(spark, tmp_path):
+    df = spark.createDataFrame([("s", "a", "x y", "train"), ("s", "b", "x", "test"), ("t", "a", "x y z", "train")], "source string, label string, text string, split string")
+    sinks.write_result(quality.stats_document(df, df, ("t",)), f"{tmp_path}/d")
+    doc = readers.stats_document(spark, f"{tmp_path}/d").first().asDict(recursive=True)
+    assert doc["sources"] == [{"key": "s", "evaluation_only": False, "samples": 2, "tokens": 3}, {"key": "t", "evaluation_only": True, "samples": 1, "tokens": 3}]
+    assert doc["by_label"]["a"] == {"by_source": {"s": 1, "t": 1}, "total_samples": 2, "total_tokens": 5} and doc["total"] == {"samples": 3, "tokens": 6}
+    assert doc["splits"] == [{"key": "test", "labels": {"b": {"samples": 1, "tokens": 1}}}, {"key": "train", "labels": {"a": {"samples": 2, "tokens": 5}}}]

@@ -314,7 +314,7 @@ def run_log(spark, sf):
     return spark.read.schema("run string, step string, place int, counter string, value long").json(f"{to}/log")
 
 
-_TOKENS = "len(list_filter(string_split_regex(text, '\\\\s+'), lambda x: x <> ''))"
+_TOKENS = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
 
 
 @query(f"""WITH d AS (SELECT source, lang AS label, {_TOKENS} AS t, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents)

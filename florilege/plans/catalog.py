@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from florilege.functions import grams, text
 from florilege.operators import dedup, detectors, features, foreign, linear, metrics, quality, splits, stages
 from florilege.plans import files, train
-from florilege.session import shared_dir, stage
+from florilege.session import scratch, stage
 from florilege.streaming import score as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,9 +436,7 @@ def export_import_predict(spark, sf):
 @query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
 def named_model_predict(spark, sf):
     """Predictions of a model that is loaded by its name."""
-    import uuid
-
-    models = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    models = scratch(spark, "models")
     model, _, d, counts = _fitted(spark, sf)
     linear.bundle(model, models, "means")
     return linear.predict(linear.score(linear.load(spark, "means", models=models), d, "seq", counts=counts))
@@ -447,9 +445,7 @@ def named_model_predict(spark, sf):
 @query(_MODEL + "SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class_id) AS k FROM scores) WHERE k = 1")
 def fitted_pipeline_predict(spark, sf):
     """Predictions of a fitted ML pipeline that was saved and loaded."""
-    import uuid
-
-    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    place = scratch(spark, "pipeline")
     d = documents(spark, sf)
     classifier = stages.TextClassifier(kind="means", char=_CHAR, word=_WORD, limits=(_TOP["char"], _TOP["word"]))
     Pipeline(stages=[classifier]).fit(d).save(place)
@@ -488,9 +484,7 @@ def marker_detector_sql(spark, sf):
 @query(f"SELECT seq, {_MARKER} AS lang FROM (SELECT seq, {_normal('text')} AS text FROM {DOCS})")
 def stream_marker_labels(spark, sf):
     """The detector over a stream of files, written until nothing is left to read."""
-    import uuid
-
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     source = spark.read.parquet(f"{sf}/documents.parquet").schema
     stream = spark.readStream.schema(source).parquet(f"{sf}/documents.parquet*")
     out = streaming.labelled(stream).select(F.col("doc_id").alias("seq"), "lang")
@@ -501,9 +495,7 @@ def stream_marker_labels(spark, sf):
 @query("SELECT DISTINCT md5(text) AS text_md5 FROM documents")
 def stream_distinct_texts(spark, sf):
     """Distinct texts of a stream that stops after half of its files and goes on from its checkpoint."""
-    import uuid
-
-    place = f"{shared_dir(spark)}/distinct-{uuid.uuid4().hex}"
+    place = scratch(spark, "distinct")
     docs = table(spark, sf, "documents").select("doc_id", "text", F.timestamp_seconds(1_700_000_000 + F.col("doc_id") % 3600).alias("at"))
     for half in (0, 1):
         docs.where(F.col("doc_id") % 2 == half).write.mode("append").parquet(f"{place}/in")

@@ -5,7 +5,6 @@ A table's language stands for a variety (the readers accept known varieties only
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from florilege.functions import text
 from florilege.operators import dedup, detectors, metrics, quality
 from florilege.plans import corpus
-from florilege.session import shared_dir
+from florilege.session import scratch
 from florilege.sources import readers, sinks, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +44,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def place(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one."""
-    return f"{shared_dir(spark)}/files-{name}-{uuid.uuid4().hex}"
+    return scratch(spark, f"files-{name}")
 
 
 def marked(df: DataFrame) -> DataFrame:

@@ -33,13 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, which ``release`` deletes with all below it."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends
     here, so a lost executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

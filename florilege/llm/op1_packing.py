@@ -9,7 +9,8 @@ ranking is salted, as one length may hold a third of all pieces.
 
 Edge cases: null text counts as empty and still yields one piece holding the end mark; repeated
 rows are packed as often as they occur; null ids are kept; an empty table gives no rows. Texts of any
-length are tokenized whole and cut only past ``limit`` ids.
+length are tokenized whole and cut only past ``limit`` ids. Pieces of equal length (ties) take equal places in the order of their
+ranks, which changes no bin's load; columns other than id and text don't enter, whatever their names.
 """
 
 from __future__ import annotations

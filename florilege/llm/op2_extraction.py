@@ -139,8 +139,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[bool], l
             art = tag in ("article", "main") and not aside
             if tag == "form":
                 forms += 1
-                # a form in an article is none of its text; any other may turn out to be the page's frame
-                off, form = article > 0, form or (0 if article else forms)
+                # a form in an article or in a form is none of the text; any other may turn out to be the page's frame
+                off, form = article > 0 or form > 0, form or (0 if article else forms)
             open_.append((tag, off, art))
             count[tag] = count.get(tag, 0) + 1
             aside += off

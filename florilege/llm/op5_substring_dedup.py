@@ -7,7 +7,9 @@ equal hash count as repeated whole, and the windows of the remaining runs are co
 Spark by (anchor, place, hash). Repeated windows merge into maximal removal intervals.
 
 Edge cases: null text has no words; documents with fewer than ``window`` words keep everything;
-repeated rows are copies of each other; null ids are kept; an empty table gives an empty result.
+repeated rows are copies of each other; null ids are kept; an empty table gives an empty result. A very long
+text is coded in blocks that overlap by a window; of equal windows (ties) every one goes, the first included; columns other than id
+and text don't enter, whatever their names.
 """
 
 from __future__ import annotations

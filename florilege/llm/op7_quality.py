@@ -9,7 +9,9 @@ Statistics are taken in numpy over whole texts, a few million characters at a ti
 most ``max_labelled`` labelled rows (the smallest hashes of their ids), in one driver-side table.
 
 Edge cases: null and empty texts have no words and zeros everywhere (and fail the base rule); missing
-labels or a single class give an empty list, which keeps everything; repeated rows and null ids are kept.
+labels or a single class give an empty list, which keeps everything; repeated rows and null ids are kept; a very long
+text is counted whole, in one sweep of its own; of equally good tests (ties) the first statistic in the order of FEATURES counts; an empty
+table gives no rows; columns other than id and text don't enter, whatever their names.
 """
 
 from __future__ import annotations

@@ -128,3 +128,35 @@ def test_pipeline_of_repeated_rows_and_clashing_columns(spark, tmp_path):
         docs = docs.withColumn(c, F.lit("z"))
     got = Counter(x.doc_id for x in through(spark, tmp_path, docs, "odd").select("doc_id").collect())
     assert got == Counter([*range(40), 60, 61, 61, None])
+
+
+def test_repeats_and_packing_of_a_text_of_five_megabytes(spark):
+    from tokenizers import Tokenizer
+
+    from florilege.llm import op1_packing as op1
+    from florilege.llm import op4_suffix_dedup as op4
+    from florilege.llm import op5_substring_dedup as op5
+
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}x" for _ in range(640_000)]
+    long = " ".join(words)
+    assert len(long) > 5_000_000
+    rows = [(1, long), (2, "front " + " ".join(words[500_000:500_060]) + " end"), (3, sentence(1, 50))]
+    docs = table(spark, rows).withColumns({c: F.lit("z") for c in ("kept", "spans", "n_words", "a.b", "piece")})
+    assert {x.doc_id: [tuple(s) for s in x.spans] for x in op5.substring_dedup(docs).collect()} == {1: [(500_000, 500_060)], 2: [(1, 61)], 3: []}
+    shared = (" " + " ".join(words[500_000:500_060]) + " ").encode()
+    at = long.encode().index(shared)
+    assert {x.doc_id: [tuple(s) for s in x.spans] for x in op4.suffix_dedup(docs).collect()} == {1: [(at, at + len(shared))], 2: [(5, 5 + len(shared))], 3: []}
+    path = tokenizers.path("word_bpe_49k.json")
+    got = op1.pack(docs, path).where("doc_id = 1").agg(F.sum("length").alias("n"), F.max("length").alias("most")).first()
+    assert got.n == len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids) + 1 and got.most == 2048
+
+
+def test_quality_and_windows_of_empty_and_clashing_tables(spark):
+    from florilege.llm import op5_substring_dedup as op5
+
+    none = table(spark, [])
+    assert op7.statistics(none).count() == op5.substring_dedup(none).count() == 0
+    docs = table(spark, [(1, "a b c"), (1, "a b c"), (None, None)]).withColumns({c: F.lit("z") for c in ("n_words", "word_chars", "_h", "kept", "anchor", "a.b")})
+    assert Counter((x.doc_id, x.n_words) for x in op7.statistics(docs).collect()) == {(1, 3): 2, (None, 0): 1}
+    assert Counter((x.doc_id, x.kept) for x in op5.substring_dedup(docs, window=3).collect()) == {(1, ""): 2, (None, ""): 1}

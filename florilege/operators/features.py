@@ -58,8 +58,18 @@ def vocabulary(counts: DataFrame, n_docs: int | Column, limits: dict[str, int] |
     return df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).withColumn("idx", (F.row_number().over(W.partitionBy("space").orderBy("term")) - 1).cast("int"))
 
 
+#: numbers (terms by columns) of a table that goes to every executor; a larger one meets the terms by a shuffle
+SMALL = 8_000_000
+
+
+def by_term(table: DataFrame, terms: DataFrame, width: int) -> DataFrame:
+    """``table``, a row per term of the vocabulary ``terms``, ready to meet term counts: broadcast if its size allows it, for a common term has a row in
+    nearly every document and would be a hot key in a shuffle."""
+    return F.broadcast(table) if terms.count() * width <= SMALL else table
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """``id, space, term, idx, w``: sublinear TF times IDF, each document's vector of norm 1 in each space."""
-    raw = counts.join(vocab.select("space", "term", "idx", "idf"), ["space", "term"]).withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    raw = counts.join(by_term(vocab.select("space", "term", "idx", "idf"), vocab, 6), ["space", "term"]).withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     # a document's terms are bounded by its text
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id", "space")))).select("id", "space", "term", "idx", "w")

@@ -707,21 +707,11 @@ def _held_out(spark, sf, params: dict, kind: str) -> DataFrame:
     return said.join(d.select("id", F.col("class").alias("y")), "id").select("id", "y", F.col("class").alias("p"))
 
 
-def _search(spark, sf, kind: str) -> DataFrame:
-    sub = stage(splits.stratified_subset(_labelled(spark, sf), "id", 0.2, "class"), "subset")
-    return train.best(train.search(sub, train.draws(kind), kind), top=5)
-
-
 @query()
 def search_best_params(spark, sf):
     """Random search for the logistic model on a stratified subset: 30 draws in 5 folds, the five best."""
-    return _search(spark, sf, "logistic")
-
-
-@query()
-def search_svm_params(spark, sf):
-    """The same for the SVM."""
-    return _search(spark, sf, "svm")
+    sub = stage(splits.stratified_subset(_labelled(spark, sf), "id", 0.2, "class"), "subset")
+    return train.best(train.search(sub, train.draws("logistic"), "logistic"), top=5)
 
 
 @query()

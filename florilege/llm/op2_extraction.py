@@ -6,7 +6,7 @@ comment threads) weigh nothing. Weights are summed over sliding windows of lines
 surges above the threshold; it begins where the sum rose from zero and ends where it dives to zero; text between
 surge and dive points is kept, region by region, but for lines in such places. A line without weight of its own (a
 linked one) stays if text surrounds it, also where up to ``LINKED`` of them part two regions, or if it is a paragraph or heading at a region's
-end. Where no region surges, the heaviest one is kept. Where a page has
+end, fewer than a window of them. Where no region surges, the heaviest one is kept. Where a page has
 an ``article``/``main`` element with text, its lines surge and no others do.
 
 A form is such a place unless it is the page's frame: one with an ``article``/``main`` inside, or one that holds most of the text
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80  # characters outside links within WINDOW lines
-LINKED = 6  # lines without weight between two regions of one article
+LINKED = 3  # lines without weight between two regions of one article
 RAW = "script|style|noscript|template|title|textarea|svg|iframe|object|canvas"
 #: elements that begin and end a line
 BLOCKS = frozenset(
@@ -173,7 +173,7 @@ def regions(weights: np.ndarray, surge: float, window: int) -> list[tuple[int, i
     return out or [best[1]]
 
 
-def joined(spans: list[tuple[int, int]], off: np.ndarray, proper: np.ndarray, weights: np.ndarray) -> list[tuple[int, int]]:
+def joined(spans: list[tuple[int, int]], off: np.ndarray, proper: np.ndarray, weights: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Regions grown over lines that only links kept from weighing: a few between two of them, and paragraphs and headings right
     before or behind."""
     out: list[tuple[int, int]] = []
@@ -186,12 +186,14 @@ def joined(spans: list[tuple[int, int]], off: np.ndarray, proper: np.ndarray, we
     def grows(i: int) -> bool:
         return 0 <= i < len(off) and proper[i] and not off[i] and not weights[i]
 
+    def run(i: int, step: int) -> int:
+        n = 0
+        while grows(i + n * step):
+            n += 1
+        return n if n < window else 0
+
     for k, (a, b) in enumerate(out):
-        while grows(a - 1) and (k == 0 or a > out[k - 1][1]):
-            a -= 1
-        while grows(b) and (k + 1 == len(out) or b < out[k + 1][0]):
-            b += 1
-        out[k] = a, b
+        out[k] = a - run(a - 1, -1), b + run(b, 1)
     return out
 
 
@@ -213,7 +215,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
         if 2 * mine.sum() <= w.sum() or np.convolve(mine, np.ones(window, np.int64)).max() < surge:
             off = off | (form == k)  # a form like any other
     w = np.where(off, 0, w)
-    return "\n".join(lines[i] for a, b in joined(regions(w, surge, window), off, np.array(proper), w) for i in range(a, b) if not off[i])
+    return "\n".join(lines[i] for a, b in joined(regions(w, surge, window), off, np.array(proper), w, window) for i in range(a, b) if not off[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text", window: int = WINDOW, surge: float = SURGE) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions import text
-from florilege.operators import features, linear
+from florilege.operators import features, linear, terms
 from florilege.session import stage
 
 
@@ -74,10 +74,10 @@ class TextClassifier(Estimator, _TextModelParams, DefaultParamsReadable, Default
         (most_char, most_word), (least_char, least_word) = self.getOrDefault(self.limits), self.getOrDefault(self.leastDocs)
         kind = self.getOrDefault(self.kind)
         if kind == "means":
-            counts = stage(features.counts(rows, "id", "text", char, word, self.getOrDefault(self.library)), "counts")
-            vocab = stage(features.vocabulary(counts, rows.count(), {"char": most_char, "word": most_word}, {"char": least_char, "word": least_word}), "vocabulary")
-            coef, heads = linear.class_means(features.tfidf(counts, vocab), rows.select("id", "class"))
-            fitted = linear.LinearModel(vocab, stage(coef, "coef"), stage(heads, "intercept"), char, word, self.getOrDefault(self.library))
+            library = self.getOrDefault(self.library)
+            vocab = stage(features.top_terms(stage(terms.frequencies(rows, "text", char, word, library), "frequencies"), rows.count(), {"char": most_char, "word": most_word}, {"char": least_char, "word": least_word}), "vocabulary")
+            coef, heads = linear.text_means(rows, vocab, char, word, library=library)
+            fitted = linear.LinearModel(vocab, stage(coef, "coef"), heads, char, word, library)
         elif kind in ("svm", "logistic"):
             p = {"C": self.getOrDefault(self.C), "char": char, "word": word, "max_char": most_char, "max_word": most_word, "min_char": least_char, "min_word": least_word}
             fitted = train.fitted(rows, p, kind, self.getOrDefault(self.iterations))

@@ -7,6 +7,7 @@ import html
 import re
 import unicodedata
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,10 +35,15 @@ def squash(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_column(c), SPACE + "+", " "))
 
 
-def _decompose(s: str | None) -> str | None:
+def _closed(s: str) -> str:
+    """Character references that a semicolon ends, decoded; HTML takes some names without one, too."""
+    return re.sub(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], s)
+
+
+def _decompose(s: str | None, closed: bool = False) -> str | None:
     if s is None:
         return None
-    s = re.sub(r"<[^>]+>", " ", html.unescape(s))
+    s = re.sub(r"<[^>]+>", " ", _closed(s) if closed else html.unescape(s))
     s = unicodedata.normalize("NFKD", s).replace(DOT_BELOW, "")
     return unicodedata.normalize("NFC", s.translate({ord(c): None for c in INVISIBLE}).replace(" ", " "))
 
@@ -48,15 +54,21 @@ def decompose(s: pd.Series) -> pd.Series:
     return s.map(_decompose, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def decompose_closed(s: pd.Series) -> pd.Series:
+    """The same, but a reference without its semicolon stays as it is: in a cut text it may be the beginning of another word."""
+    return s.map(lambda x: _decompose(x, True), na_action="ignore")
+
+
 def placeholders(c: Column | str) -> Column:
     """Addresses and numbers to placeholders, white space squashed."""
     c = F.regexp_replace(as_column(c), rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+", r"\$URL\$")
     return squash(F.regexp_replace(c, r"\p{Nd}+", r"\$NUM\$"))
 
 
-def normalize(c: Column | str) -> Column:
-    """The corpus's normal form."""
-    return placeholders(decompose(as_column(c)))
+def normalize(c: Column | str, closed: bool = False) -> Column:
+    """The corpus's normal form. ``closed``: only character references that a semicolon ends are decoded."""
+    return placeholders((decompose_closed if closed else decompose)(as_column(c)))
 
 
 def utf16_length(c: Column | str) -> Column:

@@ -68,3 +68,10 @@ def test_delta_and_excerpt(spark):
 
 def test_character(spark):
     assert one(spark, "ä", text.character).asDict() == {"category": "Ll", "name": "LATIN SMALL LETTER A WITH DIAERESIS"}
+
+
+def test_references_without_a_semicolon(spark):
+    """A page that is cut inside a reference keeps what is left of it; SQL decodes closed references only."""
+    t = "a&amp;b x&amp</p> y&am &copy; &quot;z&quot; &#65; &#x42; &unknown; &notit; &amp"
+    assert one(spark, t, lambda c: text.normalize(c, closed=True)) == 'a&b x&amp y&am © "z" A B &unknown; &notit; &amp'
+    assert one(spark, t, text.normalize) == 'a&b x& y&am © "z" A B &unknown; ¬it; &'

@@ -9,12 +9,12 @@ each text. Entries are chosen by significance: a word or pair whose counts in bo
 lower order lets expect weighs nothing, since both classes back off there by the same distribution. Without
 that choice the noise of some hundred frequent words outweighs one rare expression. A document's feature is
 the difference of the two log-likelihoods per word; a logistic link, fitted on at most ``max_linked`` labelled rows that
-the models haven't seen, turns it into a score and decides between two levels and two tolerances of significance.
+the models haven't seen, turns it into a score and decides between two levels and two tolerances of significance, with pairs and without.
 
 Sizes: all counts stay distributed. What is broadcast: labels if there are at most ``FEW`` (else they are joined by a
 shuffle), a bitmap of fixed size, and the entries, whose number the level bounds: with sqrt(2 ln V) standard
-deviations for V words about one of those that don't differ is taken by chance; a looser level is used
-only if it has at most ``ENTRIES``. Pairs in fewer than two toxic texts are never entries.
+deviations for V words about one of those that don't differ is taken by chance, with sqrt(ln V) some sqrt(V). How the rows are joined doesn't change what is
+learnt. Pairs in fewer than two toxic texts are never entries.
 
 Edge cases: null and empty texts (and texts without words) get the score of the link at zero; labels that
 are null or lack a document are ignored; if a class has no training row, or none
@@ -41,10 +41,9 @@ from florilege.session import stage
 
 MAX_LINKED = 5_000  # labelled rows that fit the link, at most a quarter of them
 DISCOUNT = 0.75
-LEVEL = 3.0  # standard deviations from which a count is an entry; the other level is sqrt(2 ln V) for V words
+LEVEL = 3.0  # standard deviations from which a count is an entry: this or, if that is more, sqrt(ln V) for V words; and sqrt(2 ln V)
 TOLERANCES = (0.2, 0.5)  # and a share of the expected count, for the mix of languages
 FEW = 2_000_000  # labels that are broadcast
-ENTRIES = 4_000_000  # entries of the looser level that may be broadcast
 BITS = 1 << 24
 _LUT = np.frombuffer(NORMAL, np.uint8)
 
@@ -209,14 +208,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = chosen.count()
     small = labelled <= FEW
     # of labelled copies one counts; ids and hashes only, the texts stay where they are
-    one = base.select("_id", "_h").join(F.broadcast(chosen) if small else chosen, "_id").groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y"))
+    each = base.select("_id", "_h").join(F.broadcast(chosen) if small else chosen, "_id").groupBy("_h", "_id").agg(F.max("_y").alias("_y"), F.count(F.lit(1)).alias("n"))
+    one = each.groupBy("_h").agg(F.min(F.struct("_id", "n")).alias("m"), F.max("_y").alias("_y")).select("_h", "m._id", "_y", F.col("m.n").alias("n"))
     part = min(0.25, max_linked / max(1, labelled))  # fits the link and chooses level and tolerance; the models don't see it
     one = stage(one.withColumn("tune", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < int(part * (1 << 20))), "toxicity-chosen")
     share = {r[0]: r[1] for r in one.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(share) < 2:
         return Model(empty, np.zeros(0), 0.0, empty, np.zeros(0), flat=1.0 if share.get(1) else 0.0)
     flat = share[1] / sum(share.values())
-    rows = base.join(F.broadcast(one) if small else one, ["_id", "_h"]).dropDuplicates(["_id", "_h"]) if not small else base.join(F.broadcast(one), ["_id", "_h"])
+    held, again = one.where("n = 1").drop("n"), one.where("n > 1").drop("n")
+    rows = base.join(F.broadcast(held) if small else held, ["_id", "_h"])
+    if again.limit(1).count():  # a repeated row counts once; only the texts of such rows move
+        rows = rows.unionByName(base.join(F.broadcast(again) if small else again, ["_id", "_h"]).dropDuplicates(["_id", "_h"]))
     rows = rows.select("_t", "_y", "tune", "_id")
     seen = rows.where("NOT tune")
     counted = seen.select("_t", "_y").mapInArrow(*_counts(False)).groupBy("kind", "a").agg(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
@@ -239,7 +242,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     left = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) for c in (0, 1)]
     spent = both.groupBy("a").agg(F.sum(left[0]).alias("r0"), F.sum(left[1]).alias("r1"))
     # candidates for entries: words and pairs that the loosest setting may take, and the words of such pairs
-    levels = sorted({LEVEL, math.sqrt(2 * math.log(max(3, totals["v"])))})
+    v = math.log(max(3, totals["v"]))
+    usable = sorted({max(LEVEL, math.sqrt(v)), math.sqrt(2 * v)})
+    level = usable[0]
 
     def far(n: Column, e: Column, level: float) -> Column:
         return F.abs(n - e) > level * F.sqrt(e + 1) + TOLERANCES[0] * e
@@ -247,25 +252,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = ends.join(shared, "a").join(begins, "a", "left").fillna(0, ["l0", "l1"])
     table = stage(table, "toxicity-table")
     expect = [F.col("s") / totals["s"] * totals[f"k{c}"] for c in (0, 1)]
-    kept = pairs = None
-    for level in levels:  # the looser level is tried where what it takes may be broadcast, the strict one always
-        word = table.where(far(F.col("k0"), expect[0], level) | far(F.col("k1"), expect[1], level)).select("a", "s", "k0", "k1", "l0", "l1")
-        first, second = (table.select(F.col("a").alias(x), *(F.col(f"{y}{c}").alias(f"{x}{y}{c}") for y in "kl" for c in (0, 1))) for x in ("a", "b"))
-        odd = both.join(first, "a").join(second, "b")
-        n = F.col("n0") + F.col("n1")
-        ratio = (F.col("bk1") + 0.5) / totals["k1"] * F.greatest("al1", F.lit(1)) / ((F.col("bk0") + 0.5) / totals["k0"] * F.greatest("al0", F.lit(1)))
-        e1 = n * ratio / (1 + ratio)
-        # the lower order may also back off to the shared distribution, where both classes agree
-        ratio_shared = F.greatest("al1", F.lit(1)) / F.greatest("al0", F.lit(1))
-        e2 = n * ratio_shared / (1 + ratio_shared)
-        odd = odd.where(far(F.col("n1"), e1, level) | far(F.col("n0"), n - e1, level) | far(F.col("n1"), e2, level) | far(F.col("n0"), n - e2, level)).join(spent, "a").select("a", "b", "n0", "n1", "r0", "r1")
-        odd = stage(odd, "toxicity-odd")
-        inside = odd.select("a").unionByName(odd.select(F.col("b").alias("a"))).distinct()
-        word = stage(word.unionByName(table.join(inside, "a", "left_semi").select("a", "s", "k0", "k1", "l0", "l1")).distinct(), "toxicity-entries")
-        if word.count() + odd.count() <= ENTRIES or level == levels[-1]:
-            kept, pairs = word.toPandas(), odd.toPandas()
-            usable = [x for x in levels if x >= level]
-            break
+    word = table.where(far(F.col("k0"), expect[0], level) | far(F.col("k1"), expect[1], level)).select("a", "s", "k0", "k1", "l0", "l1")
+    first, second = (table.select(F.col("a").alias(x), *(F.col(f"{y}{c}").alias(f"{x}{y}{c}") for y in "kl" for c in (0, 1))) for x in ("a", "b"))
+    odd = both.join(first, "a").join(second, "b")
+    n = F.col("n0") + F.col("n1")
+    ratio = (F.col("bk1") + 0.5) / totals["k1"] * F.greatest("al1", F.lit(1)) / ((F.col("bk0") + 0.5) / totals["k0"] * F.greatest("al0", F.lit(1)))
+    e1 = n * ratio / (1 + ratio)
+    # the lower order may also back off to the shared distribution, where both classes agree
+    ratio_shared = F.greatest("al1", F.lit(1)) / F.greatest("al0", F.lit(1))
+    e2 = n * ratio_shared / (1 + ratio_shared)
+    odd = odd.where(far(F.col("n1"), e1, level) | far(F.col("n0"), n - e1, level) | far(F.col("n1"), e2, level) | far(F.col("n0"), n - e2, level)).join(spent, "a").select("a", "b", "n0", "n1", "r0", "r1")
+    odd = stage(odd, "toxicity-odd")
+    inside = odd.select("a").unionByName(odd.select(F.col("b").alias("a"))).distinct()
+    word = stage(word.unionByName(table.join(inside, "a", "left_semi").select("a", "s", "k0", "k1", "l0", "l1")).distinct(), "toxicity-entries")
+    kept, pairs = word.toPandas(), odd.toPandas()
 
     def columns(t, codes: tuple[str, ...]) -> dict:
         return {c: t[c].to_numpy(np.int64).view(np.uint64) if c in codes else t[c].to_numpy() for c in t.columns}

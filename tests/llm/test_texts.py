@@ -445,3 +445,15 @@ def test_added_spans_in_unseen_sentences():
         got = [text[a:b] for a, _, b in op6.added_spans([text], [op6.base_spans(text)], model)[0]]
         found, want, right = found + len(got), want + len(due), right + len(set(got) & set(due))
     assert right >= 0.9 * want and right >= 0.9 * found, (found, want, right)
+
+
+def test_learning_is_the_same_however_rows_are_joined(spark, monkeypatch):
+    """Repeated rows count once with labels that are broadcast and with labels that are shuffled, and as if they stood there once."""
+    rows = [(i, f"{sentence(i, 20)} {'grim foul words here' if i % 3 == 0 else 'calm'} {sentence(i + 300, 6)}") for i in range(90)]
+    y = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    said = []
+    for few, docs in ((op9.FEW, rows), (op9.FEW, rows + rows[:45] * 3), (10, rows + rows[:45] * 3)):
+        monkeypatch.setattr(op9, "FEW", few)
+        m = op9.learn(table(spark, docs), y)
+        said.append((m.word.tolist(), m.gain.tolist(), m.other, m.slope, m.shift))
+    assert said[1][0] == said[2][0] and said[1][1] == pytest.approx(said[2][1]) and said[1][2:] == pytest.approx(said[2][2:])  # sums of floats in another order

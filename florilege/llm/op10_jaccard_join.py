@@ -41,6 +41,7 @@ from florilege.session import stage
 WORDS = 4
 THRESHOLD = Fraction(85, 100)
 SLOTS = 1 << 22
+LONG = 64  # sets of a list that counts as long, beyond what other lists add to its slot
 PARTS = 64  # the sketch travels in as many pieces
 NEAR = 2  # neighbours tested first
 LIGHT = 200_000  # pairs that are broadcast rather than joined by a shuffle of texts
@@ -162,8 +163,15 @@ def list_levels(sketches: DataFrame) -> np.ndarray:
     count = np.zeros(SLOTS)
     for part, blob in rows:
         count[part * (SLOTS // PARTS) : (part + 1) * (SLOTS // PARTS)] = np.frombuffer(press.decompress(blob), np.uint64)
-    usual = 4 * count.mean() + 64
-    return np.where(count > usual, np.ceil(np.log2(np.maximum(count / usual, 1.0))), 0).astype(np.uint8)
+    return levels_of(count)
+
+
+def levels_of(count: np.ndarray) -> np.ndarray:
+    """Levels from the slots' counts. Lists share a slot with others, more the larger the input is, but what the others add
+    differs little from slot to slot (a few square roots of the median): a list of some hundred sets stands out of a full sketch, too."""
+    middle = float(np.median(count))
+    usual = 4 * np.sqrt(middle) + LONG
+    return np.where(count > middle + usual, np.ceil(np.log2(np.maximum((count - middle) / usual, 1.0))), 0).astype(np.uint8)
 
 
 def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:

@@ -166,3 +166,15 @@ def test_contamination(spark):
 def test_original_spans():
     text = "É, One-TWO three!"
     assert [text[a:b] for a, b in op8.original_spans(text.encode(), [(1, 3), (3, 4)])] == ["One-TWO", "three"]
+
+
+def test_long_lists_stand_out_of_a_full_sketch():
+    """A list of 200 sets in a sketch whose slots all hold about 250 of others is long: merged, it would make a crowd of its members."""
+    count = np.random.default_rng(0).poisson(250, 1 << 16).astype(float)
+    count[:50] += 200
+    count[50:60] += 5000
+    level = op10.levels_of(count)
+    assert (level[:50] > 0).all() and (level[50:60] > level[:50].max()).all() and (level[60:] > 0).mean() < 0.001
+    few = np.zeros(1 << 16)
+    few[0] = 300
+    assert op10.levels_of(few)[0] > 0 and not op10.levels_of(few)[1:].any()

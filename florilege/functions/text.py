@@ -10,6 +10,7 @@ from functools import reduce
 from html.entities import html5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -21,6 +22,8 @@ DOT_BELOW = "̣"
 #: fixed values: placeholders
 URL, NUMBER, NAME = "$URL$", "$NUM$", "$NE$"
 
+TEXTS = 64  # texts that a worker holds as Python strings
+
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NOT_SPACE = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
@@ -48,16 +51,37 @@ def _decompose(s: str | None, closed: bool = False) -> str | None:
     return unicodedata.normalize("NFC", s.translate({ord(c): None for c in INVISIBLE}).replace(" ", " "))
 
 
-@F.pandas_udf(StringType())
-def decompose(s: pd.Series) -> pd.Series:
+def _decomposed(texts: pa.Array, closed: bool = False) -> pa.Array:
+    """A batch, a few texts at a time: beside its two Arrow columns a worker holds no more than those as Python strings."""
+    parts = [pa.array([_decompose(x, closed) for x in texts.slice(at, TEXTS).to_pylist()], pa.string()) for at in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def decompose_arrow(texts: pa.Array) -> pa.Array:
+    return _decomposed(texts)
+
+
+@F.arrow_udf(StringType())
+def decompose_closed_arrow(texts: pa.Array) -> pa.Array:
+    return _decomposed(texts, True)
+
+
+def _outside(f, c: Column) -> Column:
+    """``f`` in Python, for the texts that need it: one of ASCII characters without ``&`` has no references and no other form, so
+    only its tags go, and it stays in the JVM."""
+    plain = (F.octet_length(c) == F.length(c)) & ~F.contains(c, F.lit("&"))
+    return F.when(plain, F.regexp_replace(c, "<[^>]+>", " ")).otherwise(f(F.when(~plain, c)))
+
+
+def decompose(c: Column | str) -> Column:
     """Character references decoded, tags to blanks, compatibility forms resolved, invisible characters dropped."""
-    return s.map(_decompose, na_action="ignore")
+    return _outside(decompose_arrow, as_column(c))
 
 
-@F.pandas_udf(StringType())
-def decompose_closed(s: pd.Series) -> pd.Series:
+def decompose_closed(c: Column | str) -> Column:
     """The same, but a reference without its semicolon stays as it is: in a cut text it may be the beginning of another word."""
-    return s.map(lambda x: _decompose(x, True), na_action="ignore")
+    return _outside(decompose_closed_arrow, as_column(c))
 
 
 def placeholders(c: Column | str) -> Column:
@@ -68,7 +92,7 @@ def placeholders(c: Column | str) -> Column:
 
 def normalize(c: Column | str, closed: bool = False) -> Column:
     """The corpus's normal form. ``closed``: only character references that a semicolon ends are decoded."""
-    return placeholders((decompose_closed if closed else decompose)(as_column(c)))
+    return placeholders((decompose_closed if closed else decompose)(c))
 
 
 def utf16_length(c: Column | str) -> Column:

@@ -37,10 +37,14 @@ def _path() -> Column:
 
 
 def _corpus(df: DataFrame, source: str, labels: tuple[str, ...] | None = VARIETIES) -> DataFrame:
-    out = df.where(has_letter("text"))
-    if labels is not None:
-        out = out.where(F.col("label").isin(*labels))
-    return out.select(F.lit(source).alias("source"), "label", "text")
+    out = df if labels is None else df.where(F.col("label").isin(*labels))
+    return lettered(out.select(F.lit(source).alias("source"), "label", "text"), "text")
+
+
+def lettered(df: DataFrame, col: str) -> DataFrame:
+    """The rows with a letter in ``col``, its last column. A condition would be pushed below the projection that normalises the text, which then
+    ran twice, in two Python workers a task; a generator stays where it is."""
+    return df.select(*(c for c in df.columns if c != col), F.explode(F.filter(F.array(col), has_letter)).alias(col))
 
 
 def empty(spark: SparkSession) -> DataFrame:
@@ -86,7 +90,7 @@ def dictionary(spark: SparkSession, path: str, source: str = "pledari-grond", li
     label = F.create_map(*(F.lit(x) for kv in DICTIONARY_FILES.items() for x in kv))[name]
     df = raw.withColumn("label", label).where(~F.coalesce(F.startswith("rmStichwort", F.lit("cf. ")), F.lit(False)))
     df = stage(df.withColumn("id", F.monotonically_increasing_id()), "entries")
-    leaves = leaf_strings(df, "id", "inflection").withColumn("leaf", normalize("leaf")).where(has_letter("leaf"))
+    leaves = lettered(leaf_strings(df, "id", "inflection").withColumn("leaf", normalize("leaf")), "leaf")
     forms = leaves.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "leaf"))).alias("x")).select("id", F.array_join("x.leaf", " ").alias("text"))
     rows = (
         df.select("label", normalize(F.coalesce("rmStichwort", F.lit(""))).alias("text"))

@@ -85,3 +85,13 @@ def test_corpus_plan(spark):
     built = plan.build([part], priority=F.when(F.col("source") == "fmr", 1).otherwise(2))
     assert built.count() == 10
     assert {r.split: r["count"] for r in plan.split(built).groupBy("split").count().collect()} == {"test_a": 2, "train": 8}
+
+
+def test_readers_normalise_once(spark, tmp_path):
+    """One Python node a reader: a condition on the normal form isn't computed by a second one below it."""
+    from florilege.sources import readers
+
+    spark.createDataFrame([("rm-puter", "Bun <b>d&igrave;</b> 1"), ("rm-puter", "12 <x> !"), ("xx", "abc"), ("rm-vallader", None)], "idiom string, page_text string").write.json(f"{tmp_path}/plays")
+    df = readers.plays(spark, f"{tmp_path}/plays")
+    assert [tuple(r) for r in df.collect()] == [("theater-plays", "rm-puter", "Bun dì $NUM$"), ("theater-plays", "rm-puter", "$NUM$ !")]
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

@@ -1,5 +1,6 @@
 """Golden cases of the text functions, worked out by hand from the rules."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,13 @@ def test_references_without_a_semicolon(spark):
     t = "a&amp;b x&amp</p> y&am &copy; &quot;z&quot; &#65; &#x42; &unknown; &notit; &amp"
     assert one(spark, t, lambda c: text.normalize(c, closed=True)) == 'a&b x&amp y&am © "z" A B &unknown; &notit; &amp'
     assert one(spark, t, text.normalize) == 'a&b x& y&am © "z" A B &unknown; ¬it; &'
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_plain_texts_stay_in_the_jvm(spark, closed):
+    """What the JVM does with a text of ASCII characters without & is what Python does, and Python sees the others only."""
+    texts = [None, "", "a<b>c", "<>", "a < b", "<a\nb>\x1fc\x00d", "<<a>>b>", "x>y<z", "ä<b>ﬁ", "&lt;b&gt; <c>", "&amp", "&#x41;", "soft\xadly "]
+    f = text.decompose_closed if closed else text.decompose
+    got = [r.r for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(f("t").alias("r")).collect()]
+    assert got == [text._decompose(t, closed) for t in texts]
+    assert text.decompose_arrow.returnType.simpleString() == "string" and len(text._decomposed(pa.array(texts * 20), closed)) == 20 * len(texts)

@@ -65,10 +65,14 @@ def word_grams(c: Column | str, low: int, high: int) -> Column:
     return bound(words(c), lambda w: F.concat(*(of(w, n) for n in range(low, high + 1))))
 
 
+def trigram_text(c: Column | str) -> Column:
+    """The text without ASCII digits and punctuation, in lower case, a blank at either end: what trigrams are cut from."""
+    return F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(F.regexp_replace(as_column(c), r"[!-@]+", " "), r"\s+", " "))), F.lit(" "))
+
+
 def trigrams(c: Column | str) -> Column:
-    """Trigrams of the text without ASCII digits and punctuation, in lower case, a blank at either end."""
-    t = F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(F.regexp_replace(as_column(c), r"[!-@]+", " "), r"\s+", " "))), F.lit(" "))
-    return bound(F.split(t, ""), _threes)
+    """Trigrams of ``trigram_text`` as an array."""
+    return bound(F.split(trigram_text(c), ""), _threes)
 
 
 def _threes(x: Column) -> Column:

@@ -104,9 +104,12 @@ def utf16_left(c: Column | str, n: int) -> Column:
     """The first n UTF-16 units. Where the cut halves a character, a private one (U+E000) stands for the half."""
     c = as_column(c)
     units = F.left(F.hex(F.encode(F.left(c, F.lit(n)), "UTF-16BE")), F.lit(4 * n))  # n code points are n units at least
-    last = F.right(units, F.lit(4))
-    whole = F.when(last.between("D800", "DBFF"), F.concat(F.left(units, F.length(units) - 4), F.lit("E000"))).otherwise(units)
-    return F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), F.decode(F.unhex(whole), "UTF-16BE")).otherwise(F.left(c, F.lit(n)))
+
+    def whole(u: Column) -> Column:
+        return F.when(F.right(u, F.lit(4)).between("D800", "DBFF"), F.concat(F.left(u, F.length(u) - 4), F.lit("E000"))).otherwise(u)
+
+    one = F.element_at(F.transform(F.array(units), whole), 1)  # the units are computed once
+    return F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), F.decode(F.unhex(one), "UTF-16BE")).otherwise(F.left(c, F.lit(n)))
 
 
 def has_letter(c: Column | str) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from florilege.functions import grams
 from florilege.functions.text import as_column, letter_tokens, share_of, utf16_left, utf16_length
+from florilege.operators import trigrams
+from florilege.session import stage
 
 #: fixed values: markers of each variety, deleted in this order, and the percentages they must exceed
 GERMAN, GERMAN_SHARE = ("ä",), 0.4
@@ -67,8 +69,7 @@ def marker_label(text: Column | str) -> Column:
 
 def trigram_profile(df: DataFrame, lang_col: str, text_col: str = "text", top: int = 300) -> DataFrame:
     """``lang, ord, trigram, rank``: each language's most frequent trigrams (ties by trigram); rank and ord from 0."""
-    found = df.select(F.col(lang_col).alias("lang"), F.explode(grams.trigrams(text_col)).alias("trigram")).groupBy("lang", "trigram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = found.withColumn("rank", (F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "trigram")) - 1).cast("int")).where(F.col("rank") < top)
+    ranked = trigrams.totals(df, lang_col, text_col).withColumn("rank", (F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "trigram")) - 1).cast("int")).where(F.col("rank") < top)
     return ranked.withColumn("ord", (F.dense_rank().over(W.orderBy("lang")) - 1).cast("int")).select("lang", "ord", "trigram", "rank")  # top rows per language
 
 
@@ -81,7 +82,10 @@ def readable(text: Column | str, least: int = 10, longest: int | None = None) ->
     """Whether a text is long enough (in UTF-16 units) and in Latin script: more Latin than Japanese letters, and any at all,
     among its first ``longest`` units."""
     t = as_column(text)
-    seen = t if longest is None else utf16_left(t, longest)
+    return _readable(t, t if longest is None else utf16_left(t, longest), least)
+
+
+def _readable(t: Column, seen: Column, least: int = 10) -> Column:
     latin, kana = F.regexp_count(seen, F.lit(f"[{LATIN}]")), F.regexp_count(seen, F.lit(f"[{JAPANESE}]"))
     return F.coalesce((utf16_length(t) >= least) & (latin > 0) & (latin >= kana), F.lit(False))
 
@@ -89,24 +93,58 @@ def readable(text: Column | str, least: int = 10, longest: int | None = None) ->
 def trigram_distances(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048, candidates: str | None = None) -> DataFrame:
     """``id, lang, ord, distance, confidence``: the sum over a text's trigrams of |count - rank - 1|, 300 for those the
     profile lacks. The detector looks at the first 2048 UTF-16 units; ``longest=None`` reads all. ``allowed`` restricts the answers for all
-    rows, ``candidates`` (a column of arrays, null: no restriction) row by row; both before distances become confidences."""
+    rows, ``candidates`` (a column of arrays, null: no restriction) row by row; both before distances become confidences.
+
+    The profile (``top`` rows per language) goes to every task, which counts a text's trigrams where it lies. Rows that share their id are one
+    text: those are counted by a shuffle."""
     langs = profile.select("lang", "ord").distinct()
     if allowed is not None:
         langs = langs.where(F.col("lang").isin(allowed))
     text = F.col(text_col) if longest is None else utf16_left(text_col, longest)
     own = [] if candidates is None else [F.col(candidates).alias("_may")]
-    read = df.where(readable(text_col, longest=longest)).select(F.col(id_col).alias("id"), text.alias("text"), *own)
+    cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_whole"), *own, F.explode(F.array(text)).alias("text"))  # a generator: cut once, not in every condition
+    read = cut.where(_readable(F.col("_whole"), F.col("text"))).drop("_whole")
+    again = stage(df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "ids-again")
+    if again.isEmpty():
+        return _distances_in_place(read, profile, langs)
+    same = read["id"].eqNullSafe(again["_id"])
+    return _distances_in_place(read.join(again, same, "left_anti"), profile, langs).unionByName(_distances_by_id(read.join(again, same, "left_semi"), profile, langs))
+
+
+def _distances_in_place(read: DataFrame, profile: DataFrame, langs: DataFrame) -> DataFrame:
+    """``trigram_distances`` of rows with ids of their own."""
+    names = [(r.lang, r.ord) for r in langs.collect()]  # a handful of languages
+    entries: dict = {}
+    for r in profile.where("trigram IS NOT NULL AND rank IS NOT NULL AND lang IS NOT NULL").select("lang", "trigram", "rank").collect():
+        entries.setdefault(r.lang, []).append((r.trigram, r["rank"]))
+    got = trigrams.known(read, [entries.get(x, []) for x, _ in names], MISSING)
+    kind = "array<struct<lang:" + langs.schema["lang"].dataType.simpleString() + ",ord:" + langs.schema["ord"].dataType.simpleString() + ">>"
+    answers = F.array(*(F.struct(F.lit(x).alias("lang"), F.lit(o).alias("ord")) for x, o in names)).cast(kind)
+    each = F.transform("less", lambda less, i: F.struct(F.get(answers, i)["lang"].alias("lang"), F.get(answers, i)["ord"].alias("ord"), (F.col("kinds") * MISSING + less).alias("distance")))
+    if "_may" in read.columns:
+        each = F.filter(each, lambda x: _may("_may", x["lang"]))
+    d = got.select("id", "kinds", each.alias("each")).select("id", "kinds", F.array_min(F.transform("each", lambda x: x["distance"])).alias("low"), F.inline("each"))
+    return _confident(d, F.col("low"))
+
+
+def _confident(d: DataFrame, low: Column) -> DataFrame:
+    span = F.col("kinds") * MISSING - low
+    return d.withColumn("confidence", F.when(span > 0, 1 - (F.col("distance") - low) / span).otherwise(0.0)).select("id", "lang", "ord", "distance", "confidence")
+
+
+def _distances_by_id(read: DataFrame, profile: DataFrame, langs: DataFrame) -> DataFrame:
+    """``trigram_distances`` where rows share ids (or have none): their counts meet by id."""
+    own = "_may" in read.columns
     counts = read.select("id", F.explode(grams.trigrams("text")).alias("trigram")).groupBy("id", "trigram").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("id").agg(F.count(F.lit(1)).alias("kinds"))
     if own:
-        sizes = sizes.join(read.select("id", "_may"), "id")
+        may = read.select(F.col("id").alias("_i"), "_may").distinct()
+        sizes = sizes.join(may, sizes["id"].eqNullSafe(may["_i"])).drop("_i")
     # what a language's profile knows of the text replaces the penalty
-    known = counts.join(profile, "trigram").groupBy("id", "lang").agg(F.sum(F.abs(F.col("n") - F.col("rank") - 1) - MISSING).alias("less"))
-    every = sizes.crossJoin(F.broadcast(langs)).where(_may("_may" if own else None, F.col("lang"))).join(known, ["id", "lang"], "left")  # documents by a handful of languages
-    d = every.withColumn("distance", F.col("kinds") * MISSING + F.coalesce("less", F.lit(0)))
-    low = F.min("distance").over(W.partitionBy("id"))
-    span = F.col("kinds") * MISSING - low
-    return d.withColumn("confidence", F.when(span > 0, 1 - (F.col("distance") - low) / span).otherwise(0.0)).select("id", "lang", "ord", "distance", "confidence")
+    known = counts.join(profile, "trigram").groupBy(F.col("id").alias("_i"), F.col("lang").alias("_l")).agg(F.sum(F.abs(F.col("n") - F.col("rank") - 1) - MISSING).alias("less"))
+    every = sizes.crossJoin(F.broadcast(langs)).where(_may("_may" if own else None, F.col("lang")))  # documents by a handful of languages
+    d = every.join(known, every["id"].eqNullSafe(known["_i"]) & (every["lang"] == known["_l"]), "left").withColumn("distance", F.col("kinds") * MISSING + F.coalesce("less", F.lit(0)))
+    return _confident(d, F.min("distance").over(W.partitionBy("id")))
 
 
 def trigram_label(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048, candidates: str | None = None) -> DataFrame:

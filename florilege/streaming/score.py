@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from florilege.functions.grams import bound
 from florilege.functions.text import normalize
 from florilege.operators.detectors import marker_label
 
 
 def labelled(stream: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``lang`` by markers of the normalised text."""
-    return stream.withColumn("lang", marker_label(normalize(text_col)))
+    return stream.withColumn("lang", bound(normalize(text_col), marker_label))  # the list asks for the text many times
 
 
 def distinct_texts(stream: DataFrame, time_col: str, text_col: str = "text", late: str = "1 hour") -> DataFrame:

@@ -139,3 +139,14 @@ def test_stages_are_released(spark):
     session.release(spark)
     with pytest.raises(Exception):  # noqa: B017
         df.count()
+
+
+def test_streamed_labels_normalise_once(spark):
+    from florilege.functions import text
+    from florilege.streaming import score
+
+    df = spark.createDataFrame([("über die Bäche",), ("s-ch <b>&uuml;</b>",), ("la chasa è qua",), (None,), ("",)], "text string")
+    got = score.labelled(df)
+    want = df.withColumn("n", text.normalize("text")).withColumn("lang", detectors.marker_label("n"))
+    assert [r.lang for r in got.collect()] == [r.lang for r in want.collect()]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4

@@ -150,3 +150,11 @@ def test_streamed_labels_normalise_once(spark):
     want = df.withColumn("n", text.normalize("text")).withColumn("lang", detectors.marker_label("n"))
     assert [r.lang for r in got.collect()] == [r.lang for r in want.collect()]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
+
+
+def test_foreign_filter_masks_once(spark):
+    """Every name is replaced in a text once, not in each condition on the masked text."""
+    df = spark.createDataFrame([("rm-puter", "Müller va. Il Bär ä. Fin."), ("rm-puter", "Jäger va."), ("rm-sursilv", None), ("rm-sursilv", "Ün. Dus.")], "label string, text string")
+    got = foreign.foreign_filter(df)
+    assert [tuple(r) for r in got.collect()] == [("rm-puter", "$NE$ va. Fin.", True), ("rm-puter", "Jäger va.", False), ("rm-sursilv", None, False), ("rm-sursilv", "Dus.", True)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Müstair, $NE$") == 2  # Val Müstair and Müstair

@@ -66,8 +66,10 @@ def word_grams(c: Column | str, low: int, high: int) -> Column:
 
 
 def trigram_text(c: Column | str) -> Column:
-    """The text without ASCII digits and punctuation, in lower case, a blank at either end: what trigrams are cut from."""
-    return F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(F.regexp_replace(as_column(c), r"[!-@]+", " "), r"\s+", " "))), F.lit(" "))
+    """The text without ASCII digits and punctuation, in lower case, a blank at either end: what trigrams are cut from. White space is that of
+    RE2, without the vertical tab; a character has one small letter wherever it stands (no dot beside an i, no other sigma at a word's end)."""
+    one = F.replace(F.replace(F.regexp_replace(F.regexp_replace(as_column(c), r"[!-@]+", " "), r"[\t\n\f\r ]+", " "), F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ"))
+    return F.concat(F.lit(" "), F.lower(F.trim(one)), F.lit(" "))
 
 
 def trigrams(c: Column | str) -> Column:

@@ -90,10 +90,11 @@ def _readable(t: Column, seen: Column, least: int = 10) -> Column:
     return F.coalesce((utf16_length(t) >= least) & (latin > 0) & (latin >= kana), F.lit(False))
 
 
-def trigram_distances(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048, candidates: str | None = None) -> DataFrame:
+def trigram_distances(df: DataFrame, id_col: str, profile: DataFrame, text_col: str = "text", allowed: list[str] | None = None, longest: int | None = 2048, candidates: str | None = None, where: Column | None = None) -> DataFrame:
     """``id, lang, ord, distance, confidence``: the sum over a text's trigrams of |count - rank - 1|, 300 for those the
     profile lacks. The detector looks at the first 2048 UTF-16 units; ``longest=None`` reads all. ``allowed`` restricts the answers for all
-    rows, ``candidates`` (a column of arrays, null: no restriction) row by row; both before distances become confidences.
+    rows, ``candidates`` (a column of arrays, null: no restriction) row by row; both before distances become confidences. ``where`` (of the
+    column ``text``, as it is read) says which texts are answered, in place of ``readable``.
 
     The profile (``top`` rows per language) goes to every task, which counts a text's trigrams where it lies. Rows that share their id are one
     text: those are counted by a shuffle."""
@@ -103,7 +104,7 @@ def trigram_distances(df: DataFrame, id_col: str, profile: DataFrame, text_col:
     text = F.col(text_col) if longest is None else utf16_left(text_col, longest)
     own = [] if candidates is None else [F.col(candidates).alias("_may")]
     cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_whole"), *own, F.explode(F.array(text)).alias("text"))  # a generator: cut once, not in every condition
-    read = cut.where(_readable(F.col("_whole"), F.col("text"))).drop("_whole")
+    read = cut.where(_readable(F.col("_whole"), F.col("text")) if where is None else where).drop("_whole")
     again = stage(df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "ids-again")
     if again.isEmpty():
         return _distances_in_place(read, profile, langs)

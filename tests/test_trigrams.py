@@ -2,11 +2,14 @@
 
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from florilege.functions import grams
 from florilege.operators import detectors, trigrams
+from florilege.plans import catalog
 
 TEXTS = ["Lala lala, 12 lala!", "", None, "  ", "a", "ab", "\U0001f600\U0001f600 öÖ ß İx", "bobo " * 50, "x\ty\nz" * 9]
 
@@ -60,3 +63,20 @@ def test_text_in_pieces(spark):
     for i, t in ((1, " lala lala lala "), (2, " " + "lalabobo " * n), (3, " bobo lala la ")):
         counts = Counter(t[k : k + 3] for k in range(len(t) - 2))
         assert all(got[i, lang] == sum(abs(c - ranks[lang, x] - 1) if (lang, x) in ranks else 300 for x, c in counts.items()) for lang in (1, 2, 3))
+
+
+#: characters of two units before the cut and across it, kana, no ASCII letter, other white space, small letters that are two or depend on their place
+ODD = ["😀 hello world " * 200, "hello " * 339 + "abc😀😀 x", "ひらがな カタカナ abc", "é è à ü éé öü", "ＨＥＬＬＯ", "hello\x0bworld \x0b\x0b this", "\t\x0c hello\r\nthe\x1c x\u0085y\u00a0z\n", "İstanbul hello İİ", "ΣΑΣ hello ΣΑΣ ΟΔΟΣ.ΑΣ", "я" * 2038 + " hello", "", None, "a"]
+
+
+@pytest.mark.parametrize("name", ["trigram_distance_cut", "trigram_profile"])
+def test_odd_texts_as_in_sql(spark, tmp_path, name):
+    rows = [(i, t, ("en", "fr", None)[i % 3]) for i, t in enumerate(ODD)] + [(0, "hello the world again", "fr"), (None, "world of odd rows", "en"), (None, "more of them", "de")]
+    spark.createDataFrame([(*r, "s1") for r in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b1", "hello the world of benchmarks")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for x in ("documents", "benchmark"):
+        con.sql(f"create view {x} as select * from '{tmp_path}/{x}.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLE[name])
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert got and Counter(map(tuple, got)) == Counter(want.fetchall())
